@@ -1,2 +1,174 @@
-def register(query, features, marts):
-    pass
+"""Registered model jobs. Fits have no SQL form; the steps around them do."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tillmart.models import anomaly, churn, ltv, segments
+from tillmart.plans import facts
+
+from .oracles import div, rnd, with_ctes
+
+_MEDIANS = ", ".join(f"median({c}::DOUBLE) AS m_{c}" for c in churn.FEATURES)
+_IMPUTED = ", ".join(f"coalesce({c}::DOUBLE, m_{c}) AS {c}" for c in churn.FEATURES)
+
+# One score per customer that SQL can also compute.
+_SCORE_SQL = "1.0::DOUBLE / (1 + count_lifetime_orders)"
+_THRESHOLD = 0.1
+
+
+def register(query, features, marts) -> None:
+    def scored(spark, d) -> DataFrame:
+        return features(spark, d).select(
+            "customer_id", "customer_name", "is_churned",
+            (1.0 / (1 + F.col("count_lifetime_orders"))).alias("churn_probability"))
+
+    def summary(spark, d) -> DataFrame:
+        return ltv.purchase_summary(marts(spark, d)["orders"])
+
+    def series(spark, d, key: str | None = None) -> DataFrame:
+        m = marts(spark, d)
+        return anomaly.daily_series(facts.daily_revenue(m["orders"], m["locations"]), key)
+
+    @query("churn_imputed", with_ctes(f"""SELECT customer_id, customer_name, is_churned, {_IMPUTED}
+        FROM fct_customer_churn_features, (SELECT {_MEDIANS} FROM fct_customer_churn_features)"""))
+    def _(spark, d):
+        return churn.impute_medians(features(spark, d))
+
+    @query("churn_split", with_ctes("""
+      WITH n AS (SELECT is_churned, customer_id, count(*) OVER () AS total, count(*) OVER (PARTITION BY is_churned)
+                          AS size, row_number() OVER (PARTITION BY is_churned ORDER BY md5('42-' || customer_id),
+                          customer_id) AS r FROM fct_customer_churn_features),
+      q AS (SELECT DISTINCT is_churned, ceil(total * 0.25)::BIGINT AS test, total, size FROM n),
+      f AS (SELECT *, test * size // total AS base,
+                   row_number() OVER (ORDER BY test * size % total DESC, is_churned DESC) AS turn FROM q),
+      g AS (SELECT is_churned, base + CASE WHEN turn <= test - (SELECT sum(base) FROM f) THEN 1 ELSE 0 END AS quota
+            FROM f)
+      SELECT customer_id, is_churned, r <= quota AS is_test FROM n JOIN g USING (is_churned)"""))
+    def _(spark, d):
+        return churn.stratified_split(features(spark, d).select("customer_id", "is_churned"))
+
+    @query("churn_score_metrics", with_ctes(f"""
+      WITH s AS (SELECT is_churned AS y, {_SCORE_SQL} AS p FROM fct_customer_churn_features),
+      c AS (SELECT count(*) FILTER (y AND p > {_THRESHOLD}) AS tp, count(*) FILTER (NOT y AND p > {_THRESHOLD}) AS fp,
+                   count(*) FILTER (y) AS pos, count(*) FILTER (NOT y) AS neg FROM s),
+      u AS (SELECT sum(CASE WHEN a.p > b.p THEN 2 WHEN a.p = b.p THEN 1 ELSE 0 END) AS twice
+            FROM s a, s b WHERE a.y AND NOT b.y)
+      SELECT coalesce({div('tp', 'tp + fp')}, 0) AS precision, coalesce({div('tp', 'pos')}, 0) AS recall,
+             coalesce({div('2 * tp', 'tp + fp + pos')}, 0) AS f1, {div('twice', '2 * pos * neg')} AS roc_auc
+      FROM c, u"""))
+    def _(spark, d):
+        return churn.score_metrics(scored(spark, d), threshold=_THRESHOLD)
+
+    @query("churn_at_risk", with_ctes(f"""SELECT * FROM (SELECT customer_id, customer_name, is_churned,
+        {_SCORE_SQL} AS churn_probability FROM fct_customer_churn_features) WHERE churn_probability >= {_THRESHOLD}"""))
+    def _(spark, d):
+        return churn.at_risk(scored(spark, d), _THRESHOLD)
+
+    @query("churn_model_metrics")
+    def _(spark, d):
+        return churn.train(features(spark, d)).metrics()
+
+    @query("churn_feature_importance")
+    def _(spark, d):
+        return churn.train(features(spark, d)).feature_importance()
+
+    @query("churn_top_risk")
+    def _(spark, d):
+        return churn.at_risk(churn.train(features(spark, d)).scores(), 0.0).limit(10)
+
+    @query("kmeans_features", with_ctes(f"""
+      WITH x AS (SELECT customer_id, days_since_last_order::DOUBLE AS recency,
+                        count_lifetime_orders::DOUBLE AS frequency, lifetime_spend::DOUBLE AS monetary,
+                        coalesce(food_item_pct, 0) AS food_item_pct
+                 FROM fct_customer_churn_features WHERE lifetime_spend > 0)
+      SELECT customer_id, {", ".join(
+          rnd(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()", 6) + f" AS {c}_z" for c in segments.DIMS)}
+      FROM x"""))
+    def _(spark, d):
+        from tillmart.functions import round_half_away
+
+        return segments.segment_features(features(spark, d)).select(
+            "customer_id", *[round_half_away(f"{c}_z", 6).alias(f"{c}_z") for c in segments.DIMS])
+
+    @query("kmeans_segments")
+    def _(spark, d):
+        return segments.kmeans_segments(features(spark, d))
+
+    @query("kmeans_elbow")
+    def _(spark, d):
+        return segments.elbow(features(spark, d))
+
+    @query("cluster_profiles")
+    def _(spark, d):
+        return segments.cluster_profiles(segments.kmeans_segments(features(spark, d)))
+
+    @query("cluster_radar")
+    def _(spark, d):
+        return segments.cluster_radar(segments.cluster_profiles(segments.kmeans_segments(features(spark, d))))
+
+    summary_sql = f"""
+      SELECT customer_id, count(*) - 1 AS frequency, datediff('day', min(t), max(t)) AS recency,
+             datediff('day', min(t), (SELECT max(ordered_at) FROM stg_orders)) AS T,
+             coalesce({div('sum(v) FILTER (i > 1)', 'count(*) FILTER (i > 1)')}, 0) AS monetary_value
+      FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY t) AS i FROM (
+              SELECT customer_id, ordered_at AS t, sum(order_total) AS v FROM stg_orders GROUP BY 1, 2))
+      GROUP BY 1"""
+
+    query("ltv_summary", with_ctes(summary_sql))(summary)
+
+    @query("ltv_correlation", with_ctes(f"""
+      SELECT count(*) AS customers, count(*) FILTER (frequency > 0) AS repeat_customers,
+             count(*) FILTER (frequency = 0) AS one_time_customers,
+             {rnd('corr(frequency, monetary_value) FILTER (frequency > 0)', 6)} AS freq_monetary_corr
+      FROM ({summary_sql})"""))
+    def _(spark, d):
+        from tillmart.functions import round_half_away
+
+        return ltv.repeat_correlation(summary(spark, d)).withColumn(
+            "freq_monetary_corr", round_half_away("freq_monetary_corr", 6))
+
+    def forecasts(spark, d) -> DataFrame:
+        from tillmart.operators.shared_storage import materialize
+
+        rows = materialize(summary(spark, d))
+        return ltv.forecast(rows, ltv.fit(rows))
+
+    query("ltv_forecast")(forecasts)
+
+    @query("ltv_report")
+    def _(spark, d):
+        return ltv.report(forecasts(spark, d))
+
+    @query("ltv_describe")
+    def _(spark, d):
+        return ltv.describe(forecasts(spark, d))
+
+    @query("ltv_top_customers")
+    def _(spark, d):
+        return ltv.top_customers(forecasts(spark, d))
+
+    @query("daily_series", with_ctes("""
+      WITH r AS (SELECT location_id, ordered_at AS t, sum(order_total) AS v FROM stg_orders GROUP BY 1, 2),
+      s AS (SELECT location_id, unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) AS t FROM r GROUP BY 1)
+      SELECT location_id::VARCHAR AS series, s.t AS date_day, coalesce(v, 0)::DOUBLE AS revenue
+      FROM s LEFT JOIN r USING (location_id, t)"""))
+    def _(spark, d):
+        return series(spark, d, "location_id").withColumn("date_day", F.col("date_day").cast("timestamp_ntz"))
+
+    @query("revenue_anomalies")
+    def _(spark, d):
+        return anomaly.revenue_anomalies(series(spark, d))
+
+    @query("revenue_anomalies_by_location")
+    def _(spark, d):
+        return anomaly.revenue_anomalies(series(spark, d, "location_id"))
+
+    @query("anomaly_top_days")
+    def _(spark, d):
+        return anomaly.top_anomalies(anomaly.revenue_anomalies(series(spark, d)))
+
+    @query("anomaly_summary")
+    def _(spark, d):
+        return anomaly.anomaly_summary(anomaly.revenue_anomalies(series(spark, d, "location_id")))

@@ -785,8 +785,8 @@ def _(spark, d):
 
 
 @query("metric_revenue_growth_mom", with_ctes(f"""
-  WITH m AS (SELECT date_trunc('month', ordered_at) AS t, sum(product_price)::DOUBLE AS r FROM m_order_items GROUP BY 1)
-  SELECT m.t AS metric_time, m.r AS current_revenue, p.r AS revenue_prev_month,
+  WITH m AS (SELECT date_trunc('month', ordered_at) AS t, sum(product_price) AS r FROM m_order_items GROUP BY 1)
+  SELECT m.t AS metric_time, m.r::DOUBLE AS current_revenue, p.r::DOUBLE AS revenue_prev_month,
          {div('(m.r - p.r) * 100', 'p.r')} AS revenue_growth_mom
   FROM m LEFT JOIN m p ON p.t = m.t - INTERVAL 1 MONTH"""))
 def _(spark, d):
@@ -794,8 +794,8 @@ def _(spark, d):
 
 
 @query("metric_revenue_growth_mom_daily", with_ctes(f"""
-  WITH m AS (SELECT ordered_at AS t, sum(product_price)::DOUBLE AS r FROM m_order_items GROUP BY 1)
-  SELECT m.t AS metric_time, m.r AS current_revenue, p.r AS revenue_prev_month,
+  WITH m AS (SELECT ordered_at AS t, sum(product_price) AS r FROM m_order_items GROUP BY 1)
+  SELECT m.t AS metric_time, m.r::DOUBLE AS current_revenue, p.r::DOUBLE AS revenue_prev_month,
          {div('(m.r - p.r) * 100', 'p.r')} AS revenue_growth_mom
   FROM m LEFT JOIN m p ON p.t = m.t - INTERVAL 1 MONTH"""))
 def _(spark, d):

@@ -73,9 +73,9 @@ def prefix_sum(df: DataFrame, order: Sequence[Column], value: str, name: str, to
 def number_rows_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "row_number"
                        ) -> DataFrame:
     """``row_number() over (partition by ... order by ...)`` for groups of any size. ``by`` holds no NULL."""
-    rows = number_rows(df, [F.col(b).asc() for b in by] + list(order), "_n")
-    first = rows.groupBy(*by).agg(F.min("_n").alias("_first"))
-    return (rows.join(first, list(by)).withColumn(name, F.col("_n") - F.col("_first") + 1).drop("_n", "_first"))
+    rows = number_rows(df, [F.col(b).asc() for b in by] + list(order), "_at")
+    first = rows.groupBy(*by).agg(F.min("_at").alias("_first"))
+    return rows.join(first, list(by)).withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_at", "_first")
 
 
 def rank_rows(df: DataFrame, value: str, name: str, by: Sequence[str] = (), *, descending: bool = True,
@@ -117,8 +117,9 @@ def ntile_rows(df: DataFrame, tiles: int, order: Sequence[Column], name: str) ->
     return numbered.withColumn(name, tile.cast("bigint")).drop("_r", "_total")
 
 
-def exact_medians(df: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Exact medians of several numeric columns, one row per group of ``by`` (one row in all without it).
+def exact_quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
+                    ) -> DataFrame:
+    """Exact quantiles with linear interpolation: columns ``<value>_q<i>``, one row per group of ``by``.
 
     Equal values are counted before the sort, so neither a frequent value nor a large group reaches one task.
     """
@@ -135,12 +136,22 @@ def exact_medians(df: DataFrame, values: Sequence[str], by: Sequence[str] = ())
         F.min("_from").alias("_start"), F.sum("_count").alias("_size"))
     located = running.join(groups, _all_equal(list(aliases.items())))
 
-    def holds(rank: Column) -> Column:
+    def value_at(rank: Column) -> Column:
         at = F.col("_start") + rank
-        return (F.col("_from") < at) & (F.col("_to") >= at)
+        return F.max(F.when((F.col("_from") < at) & (F.col("_to") >= at), F.col("_value")))
+
+    picks = []
+    for j, p in enumerate(probs):
+        place = (F.col("_size") - 1) * F.lit(float(p))
+        picks += [value_at(F.floor(place) + 1).alias(f"_lo{j}"), value_at(F.ceil(place) + 1).alias(f"_hi{j}"),
+                  F.max(place - F.floor(place)).alias(f"_part{j}")]
+    found = located.groupBy(*keys).agg(*picks)
+    result = [F.max(F.when(F.col("_which") == i, F.col(f"_lo{j}") * (1 - F.col(f"_part{j}"))
+                           + F.col(f"_hi{j}") * F.col(f"_part{j}"))).alias(f"{v}_q{j}")
+              for i, v in enumerate(values) for j in range(len(probs))]
+    return found.groupBy(*by).agg(*result)
 
-    lower, upper = holds(F.expr("(_size + 1) div 2")), holds(F.expr("_size div 2 + 1"))
-    middle = located.filter(lower | upper).groupBy(*keys).agg(
-        ((F.max(F.when(lower, F.col("_value"))) + F.max(F.when(upper, F.col("_value")))) / 2).alias("_median"))
-    return middle.groupBy(*by).agg(*[
-        F.max(F.when(F.col("_which") == i, F.col("_median"))).alias(v) for i, v in enumerate(values)])
+
+def exact_medians(df: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Exact medians of several numeric columns under their own names, one row per group of ``by``."""
+    return exact_quantiles(df, values, [0.5], by).select(*by, *[F.col(f"{v}_q0").alias(v) for v in values])
