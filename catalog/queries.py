@@ -51,13 +51,16 @@ def _marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return marts.build_marts(_stg(spark, sf_dir))
 
 
-def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sales(spark, sf_dir, orders: DataFrame | None = None, monthly: bool = False) -> DataFrame:
     s = _stg(spark, sf_dir)
-    return marts.price_items(s["stg_order_items"], s["stg_products"], s["stg_supplies"])
+    how = "left" if orders is None else "inner"
+    if monthly and orders is None:
+        orders = s["stg_orders"]
+    return marts.sales(s["stg_order_items"], s["stg_products"], s["stg_supplies"], orders, how)
 
 
 def _cogs(spark, sf_dir) -> DataFrame:
-    return facts.supply_cogs(_priced(spark, sf_dir), _stg(spark, sf_dir)["stg_supplies"])
+    return facts.supply_cogs(_sales(spark, sf_dir), _stg(spark, sf_dir)["stg_supplies"])
 
 
 def _features(spark, sf_dir, days: int = 30) -> DataFrame:
@@ -286,12 +289,26 @@ def _(spark, d):
 @query("fct_product_performance",
        whole("fct_product_performance", "total_revenue total_supply_cost gross_profit"))
 def _(spark, d):
-    return facts.product_performance(_marts(spark, d)["order_items"])
+    return facts.product_performance(_sales(spark, d, monthly=True))
 
 
 _COGS_MONEY = ("total_revenue total_supply_cost perishable_cost_per_unit non_perishable_cost_per_unit "
                "total_perishable_cost total_non_perishable_cost gross_profit")
 query("fct_supply_cogs", whole("fct_supply_cogs", _COGS_MONEY))(_cogs)
+
+
+@query("fct_product_performance_from_mart",
+       whole("fct_product_performance", "total_revenue total_supply_cost gross_profit"))
+def _(spark, d):
+    return facts.product_performance(_marts(spark, d)["order_items"])
+
+
+@query("fct_supply_cogs_from_mart", whole("fct_supply_cogs", _COGS_MONEY))
+def _(spark, d):
+    m = _marts(spark, d)
+    return facts.supply_cogs(m["order_items"], m["supplies"])
+
+
 query("fct_location_performance",
       whole("fct_location_performance", "total_revenue total_cost total_gross_profit"))(_locations_fact)
 query("fct_cohorts", whole("fct_cohorts", ""))(_cohorts)
@@ -377,7 +394,7 @@ def _(spark, d):
          rank() OVER (PARTITION BY month ORDER BY perishable_pct_of_revenue DESC NULLS LAST) AS perishable_risk_rank
   FROM q WINDOW w AS (PARTITION BY product_id ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"""))
 def _(spark, d):
-    return analyses.margin_erosion(_marts(spark, d)["order_items"], _cogs(spark, d))
+    return analyses.margin_erosion(_sales(spark, d, monthly=True), _cogs(spark, d))
 
 
 # -- dashboard and report queries -------------------------------------------------------------------------------------
@@ -483,7 +500,7 @@ def _(spark, d):
          {rnd('sum(product_price)')} AS revenue, count(order_item_id) AS units
   FROM m_order_items i JOIN m_orders o USING (order_id) JOIN stg_locations USING (location_id) GROUP BY 1, 2, 3"""))
 def _(spark, d):
-    return reports.product_monthly(_scoped(spark, d), _marts(spark, d)["order_items"])
+    return reports.product_monthly(_sales(spark, d, _scoped(spark, d)))
 
 
 @query("product_treemap", with_ctes(f"""
@@ -492,7 +509,7 @@ def _(spark, d):
                {rnd('sum(product_price)')} AS revenue FROM m_order_items GROUP BY 1, 2)
   GROUP BY ROLLUP (category, product_name)"""))
 def _(spark, d):
-    return reports.product_treemap(_priced(spark, d))
+    return reports.product_treemap(_sales(spark, d))
 
 
 @query("product_ranking", with_ctes(f"""SELECT product_name, product_type, units_sold,
@@ -534,7 +551,7 @@ def _(spark, d):
     SELECT product_name FROM (SELECT product_name, row_number() OVER (ORDER BY month, product_id) AS r
                               FROM fct_product_performance) GROUP BY 1 ORDER BY min(r) LIMIT 5)"""))
 def _(spark, d):
-    return reports.product_trends(facts.product_performance(_marts(spark, d)["order_items"]))
+    return reports.product_trends(facts.product_performance(_sales(spark, d, monthly=True)))
 
 
 @query("retention_heatmap", with_ctes("SELECT strftime(cohort_month, '%b %Y') AS cohort_label, " + ", ".join(
@@ -657,7 +674,7 @@ def _(spark, d):
          {rnd(div('sum(order_total)', 'count(*)'), 2)} AS avg_order_value,
          {rnd(div('sum(order_total)', 'count(DISTINCT customer_id)'), 2)} AS avg_ltv FROM m_orders"""))
 def _(spark, d):
-    return reports.dataset_overview(_marts(spark, d)["orders"], _priced(spark, d))
+    return reports.dataset_overview(_marts(spark, d)["orders"], _stg(spark, d)["stg_order_items"])
 
 
 @query("customer_breakdown", with_ctes(f"""

@@ -10,6 +10,7 @@ from ..functions import month_key, months_between_boundaries, ratio_pct, round_h
 from ..operators.aggregates import lag_growth
 from ..operators.ordered import exact_medians, ntile_rows, rank_rows
 from ..operators.shared_storage import materialize
+from .facts import product_sales
 
 
 def revenue_trends(orders: DataFrame) -> DataFrame:
@@ -124,11 +125,13 @@ def rfm_segments(features: DataFrame) -> DataFrame:
 
 
 def margin_erosion(order_items: DataFrame, cogs: DataFrame) -> DataFrame:
-    """Product by month: margin, its change, the declining flag and the perishable-risk rank in the month."""
-    monthly = (order_items.groupBy("product_id", "product_name", "is_food_item",
-                                   truncate_to("ordered_at", "month").alias("month"))
-               .agg(F.sum("product_price").alias("revenue"), F.sum("supply_cost").alias("supply_cost"),
-                    F.count("order_item_id").alias("units_sold")))
+    """Product by month: margin, its change, the declining flag and the perishable-risk rank in the month.
+
+    Takes the item mart or monthly sales.
+    """
+    monthly = product_sales(order_items, True).select(
+        "product_id", "product_name", "is_food_item", "month", F.col("total_revenue").alias("revenue"),
+        F.col("total_supply_cost").alias("supply_cost"), "units_sold")
     unit = cogs.select("product_id", "perishable_cost_per_unit", "non_perishable_cost_per_unit")
     perishable = (F.col("perishable_cost_per_unit") * F.col("units_sold").cast("decimal(18,0)")).cast("decimal(38,2)")
     facts = (monthly.join(unit, "product_id", "left")

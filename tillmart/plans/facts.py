@@ -43,35 +43,43 @@ def daily_revenue(orders: DataFrame, locations: DataFrame) -> DataFrame:
         "new_customer_orders", "returning_customer_orders", "food_only_orders", "drink_only_orders", "mixed_orders")
 
 
+def product_sales(order_items: DataFrame, monthly: bool) -> DataFrame:
+    """Units, revenue and cost per product (and month) from the item mart.
+
+    Sales already counted per product (``marts.sales``) pass through unchanged.
+    """
+    if "units_sold" in order_items.columns:
+        return order_items
+    keys = ["product_id", "product_name", "is_food_item", "is_drink_item"]
+    if monthly:
+        order_items = order_items.withColumn("month", truncate_to("ordered_at", "month"))
+        keys.append("month")
+    return order_items.groupBy(*keys).agg(
+        F.count("order_item_id").alias("units_sold"), F.sum("product_price").alias("total_revenue"),
+        F.sum("supply_cost").alias("total_supply_cost"),
+        F.sum(F.col("product_price") - F.col("supply_cost")).alias("gross_profit"))
+
+
 def product_performance(order_items: DataFrame) -> DataFrame:
-    """Product by month with the revenue rank in the month."""
-    monthly = (order_items.filter(F.col("ordered_at").isNotNull())
-               .groupBy("product_id", "product_name", "is_food_item", "is_drink_item",
-                        truncate_to("ordered_at", "month").alias("month"))
-               .agg(F.count("order_item_id").alias("units_sold"),
-                    F.sum("product_price").alias("total_revenue"),
-                    F.sum("supply_cost").alias("total_supply_cost"),
-                    F.sum(F.col("product_price") - F.col("supply_cost")).alias("gross_profit"))
+    """Product by month with the revenue rank in the month; takes the item mart or monthly sales."""
+    monthly = (product_sales(order_items, True).filter(F.col("month").isNotNull())
                .withColumn("gross_margin_pct", ratio_pct("gross_profit", "total_revenue", 2))
                .withColumn("avg_revenue_per_unit", round_half_away(safe_div("total_revenue", "units_sold"), 2)))
     return rank_rows(monthly, "total_revenue", "revenue_rank_in_month", ["month"], tie_break=["product_id"])
 
 
 def supply_cogs(order_items: DataFrame, supplies: DataFrame) -> DataFrame:
-    """Cost of goods per product, split into perishable and other supplies."""
+    """Cost of goods per product, split into perishable and other supplies; takes the item mart or sales."""
     perishable = F.col("is_perishable_supply")
     zero = F.lit(0).cast("decimal(16,2)")
     breakdown = supplies.groupBy("product_id").agg(
         F.sum(F.when(perishable, F.col("supply_cost")).otherwise(zero)).alias("perishable_cost_per_unit"),
         F.sum(F.when(~perishable, F.col("supply_cost")).otherwise(zero)).alias("non_perishable_cost_per_unit"))
-    sales = order_items.groupBy("product_id", "product_name", "is_food_item", "is_drink_item").agg(
-        F.count("order_item_id").alias("units_sold"), F.sum("product_price").alias("total_revenue"),
-        F.sum("supply_cost").alias("total_supply_cost"))
     profit = F.col("total_revenue") - F.col("total_supply_cost")
     units = F.col("units_sold").cast("decimal(18,0)")
     perishable_total = (F.col("perishable_cost_per_unit") * units).cast("decimal(38,2)")
     other_total = (F.col("non_perishable_cost_per_unit") * units).cast("decimal(38,2)")
-    return sales.join(breakdown, "product_id", "left").select(
+    return product_sales(order_items, False).join(breakdown, "product_id", "left").select(
         "product_id", "product_name",
         F.when(F.col("is_food_item"), "food").otherwise("beverage").alias("product_type"),
         "units_sold", "total_revenue", "total_supply_cost",

@@ -6,16 +6,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import truncate_to
+
+
+def product_dimension(products: DataFrame, supplies: DataFrame) -> DataFrame:
+    """One row per product: name, price, flags and the summed cost of its supplies.
+
+    A union and one aggregation rather than a join of the two tables: its size estimate is their sum, so Spark
+    broadcasts it to the items exactly when both are small, and otherwise the items meet one sort-merge join, which
+    adaptive execution splits where a product is hot (it does not split a chain of joins on one key).
+    """
+    attributes = ["product_name", "product_price", "is_food_item", "is_drink_item"]
+    types = dict(products.dtypes)
+    both = products.select("product_id", *attributes, F.lit(None).cast("decimal(16,2)").alias("supply_cost")).union(
+        supplies.select("product_id", *[F.lit(None).cast(types[a]).alias(a) for a in attributes], "supply_cost"))
+    return both.groupBy("product_id").agg(*[F.max(a).alias(a) for a in attributes],
+                                          F.sum("supply_cost").alias("supply_cost"))
+
 
 def price_items(items: DataFrame, products: DataFrame, supplies: DataFrame) -> DataFrame:
-    """Items with price, flags and the supply cost of their product; no join with the orders.
+    """Items with price, flags and the supply cost of their product; no join with the orders."""
+    return items.join(product_dimension(products, supplies), "product_id", "left")
+
+
+def sales(items: DataFrame, products: DataFrame, supplies: DataFrame, orders: DataFrame | None = None,
+          how: str = "left") -> DataFrame:
+    """Units, revenue and supply cost per product and, with ``orders``, per month of those orders. Items of other
+    orders have no month; ``how="inner"`` leaves them out.
 
-    Dimensions carry no broadcast hint: Spark broadcasts them when their measured size allows and otherwise runs a
-    sort-merge join that adaptive execution splits where a product is hot.
+    Items are counted per product before prices join: every item of a product has the same price and cost, so the
+    sums are products of the count, and the join sees one row per product and month instead of one per item.
     """
-    unit_cost = supplies.groupBy("product_id").agg(F.sum("supply_cost").alias("supply_cost"))
-    dims = products.select("product_id", "product_name", "product_price", "is_food_item", "is_drink_item")
-    return items.join(dims, "product_id", "left").join(unit_cost, "product_id", "left")
+    keys = ["product_id"]
+    if orders is not None:
+        days = orders.select("order_id", truncate_to("ordered_at", "month").alias("month"))
+        items, keys = items.join(days, "order_id", how), ["product_id", "month"]
+    counted = items.groupBy(*keys).agg(F.count("*").alias("_rows"), F.count("order_item_id").alias("units_sold"))
+    rows = F.col("_rows").cast("decimal(18,0)")
+
+    def total(unit) -> object:
+        return (unit * rows).cast("decimal(38,2)")
+
+    return counted.join(product_dimension(products, supplies), "product_id", "left").select(
+        *keys, "product_name", "is_food_item", "is_drink_item", "units_sold",
+        total(F.col("product_price")).alias("total_revenue"), total(F.col("supply_cost")).alias("total_supply_cost"),
+        total(F.col("product_price") - F.col("supply_cost")).alias("gross_profit"))
 
 
 def order_items(items: DataFrame, stg_orders: DataFrame, products: DataFrame, supplies: DataFrame) -> DataFrame:

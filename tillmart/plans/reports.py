@@ -15,6 +15,7 @@ from ..functions import (
 from ..operators.aggregates import hierarchy_totals, histogram, minmax_profile, pivot_first, unpivot
 from ..operators.ordered import exact_medians, prefix_sum
 from ..operators.scope import prior_scope, scope
+from .facts import product_sales
 
 
 def _aov(digits: int = 2):
@@ -130,20 +131,18 @@ def variance_decomposition(scoped: DataFrame) -> DataFrame:
 
 # -- products ---------------------------------------------------------------------------------------------------------
 
-def product_monthly(scoped: DataFrame, order_items: DataFrame) -> DataFrame:
-    """Monthly revenue and units per product for items of the orders in scope."""
-    items = order_items.select("order_id", "order_item_id", "product_name", "is_food_item", "product_price",
-                               truncate_to("ordered_at", "month").alias("month"))
-    return (items.join(scoped.select("order_id"), "order_id").groupBy("month", "product_name", "is_food_item")
-            .agg(round_half_away(F.sum("product_price"), 0).alias("revenue"),
-                 F.count("order_item_id").alias("units")).orderBy("month", "product_name", "is_food_item"))
+def product_monthly(monthly_sales: DataFrame) -> DataFrame:
+    """Monthly revenue and units per product name; takes ``marts.sales`` over the orders in scope."""
+    return (monthly_sales.groupBy("month", "product_name", "is_food_item")
+            .agg(round_half_away(F.sum("total_revenue"), 0).alias("revenue"), F.sum("units_sold").alias("units"))
+            .orderBy("month", "product_name", "is_food_item"))
 
 
 def product_treemap(order_items: DataFrame) -> DataFrame:
-    """Rounded product revenue rolled up to category and total."""
-    products = (order_items.groupBy("product_name", F.when(F.col("is_food_item"), "Food").otherwise("Beverage")
-                                    .alias("category"))
-                .agg(round_half_away(F.sum("product_price"), 0).alias("revenue")))
+    """Rounded product revenue rolled up to category and total; takes the item mart or sales."""
+    category = F.when(F.col("is_food_item"), "Food").otherwise("Beverage").alias("category")
+    products = product_sales(order_items, False).groupBy("product_name", category).agg(
+        round_half_away(F.sum("total_revenue"), 0).alias("revenue"))
     return hierarchy_totals(products, "category", "product_name", "revenue")
 
 
