@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,10 +44,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@lru_cache(maxsize=4)  # plans only: a query that uses several tables builds them once
 def _stg(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return staging.stage_all(fixture_tables(spark, sf_dir))
 
 
+@lru_cache(maxsize=4)
 def _marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return marts.build_marts(_stg(spark, sf_dir))
 

@@ -70,33 +70,56 @@ def prefix_sum(df: DataFrame, order: Sequence[Column], value: str, name: str, to
     return out.drop("_row", "_part", "_pos")
 
 
+def _heads(rows: DataFrame, by: Sequence[str], carry: str, value: str | None = None) -> DataFrame:
+    """One row per partition about the group its first row belongs to: the group's rows in earlier partitions.
+
+    Only the first group of a partition can reach back into earlier ones. The group columns come as ``_h0``, ...
+    """
+    keys = [*by, value] if value else list(by)
+    counts = rows.groupBy("_part", *keys).agg(F.count("*").alias("_c"), F.min("_pos").alias("_first"))
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    summed = counts.withColumn(carry, F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+    return summed.filter("_first = 0").select("_part", *[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], carry)
+
+
 def number_rows_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "row_number"
                        ) -> DataFrame:
-    """``row_number() over (partition by ... order by ...)`` for groups of any size. ``by`` holds no NULL."""
-    rows = number_rows(df, [F.col(b).asc() for b in by] + list(order), "_at")
-    first = rows.groupBy(*by).agg(F.min("_at").alias("_first"))
-    return rows.join(first, list(by)).withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_at", "_first")
+    """``row_number() over (partition by ... order by ...)`` for groups of any size. ``order`` must be unique.
+
+    Rows are numbered per (partition, group); a group that began in an earlier partition goes on from its count.
+    """
+    rows = _sorted(df, [F.col(b).asc_nulls_last() for b in by] + list(order))
+    head = _heads(rows, by, "_carry")
+    local = F.row_number().over(W.partitionBy("_part", *by).orderBy("_pos"))
+    in_head = _all_equal([(b, f"_h{i}") for i, b in enumerate(by)])
+    number = local + F.when(in_head, F.col("_carry")).otherwise(0)
+    return (rows.join(F.broadcast(head), "_part")  # one row per partition
+            .withColumn(name, number.cast("bigint")).select(*df.columns, name))
 
 
 def rank_rows(df: DataFrame, value: str, name: str, by: Sequence[str] = (), *, descending: bool = True,
               tie_break: Sequence[str]) -> DataFrame:
     """``rank() over (partition by ... order by value)``, NULL values last, for groups of any size.
 
-    A row's rank is the position of the first row with its value, counted from the first row of its group.
+    Rows are ranked per (partition, group). Rows of the partition's first group add the group's rows in earlier
+    partitions, except those that tie with them: these can only tie with the partition's first value.
     """
     key = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
     order = [F.col(b).asc_nulls_last() for b in by] + [key] + [F.col(t).asc_nulls_last() for t in tie_break]
-    rows = number_rows(df, order, "_n")
+    rows = _sorted(df, order)
     keys = [*by, value]
-    ties = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_n").alias("_tie"))
-    if by:
-        groups = (ties.groupBy(*[F.col(f"_k{i}").alias(f"_g{i}") for i in range(len(by))])
-                  .agg(F.min("_tie").alias("_first")))
-        ties = ties.join(groups, _all_equal([(f"_k{i}", f"_g{i}") for i in range(len(by))]))
-    else:
-        ties = ties.withColumn("_first", F.lit(1))
-    matched = rows.join(ties, _all_equal([(k, f"_k{i}") for i, k in enumerate(keys)]))
-    return matched.withColumn(name, F.col("_tie") - F.col("_first") + 1).select(*df.columns, name)
+    first_values = rows.filter("_pos = 0").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
+    tied = rows.join(F.broadcast(first_values),  # at most one row per partition
+                     _all_equal([(k, f"_k{i}") for i, k in enumerate(keys)]), "left_semi")
+    head = _heads(rows, by, "_carry").join(
+        _heads(tied, by, "_tie_carry", value).select("_part", F.col(f"_h{len(by)}").alias("_head_value"),
+                                                     "_tie_carry"), "_part")
+    local = F.rank().over(W.partitionBy("_part", *by).orderBy(key))
+    in_head = _all_equal([(b, f"_h{i}") for i, b in enumerate(by)])
+    ties = F.when(F.col(value).eqNullSafe(F.col("_head_value")), F.col("_tie_carry")).otherwise(0)
+    rank = local + F.when(in_head, F.col("_carry") - ties).otherwise(0)
+    return (rows.join(F.broadcast(head), "_part")  # one row per partition
+            .withColumn(name, rank.cast("bigint")).select(*df.columns, name))
 
 
 def _all_equal(pairs: Sequence[tuple[str, str]]) -> Column:
@@ -134,6 +157,8 @@ def exact_quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float]
     aliases = {k: f"_g{i}" for i, k in enumerate(keys)}
     groups = running.groupBy(*[F.col(k).alias(a) for k, a in aliases.items()]).agg(
         F.min("_from").alias("_start"), F.sum("_count").alias("_size"))
+    if not by:
+        groups = F.broadcast(groups)  # one row per value column
     located = running.join(groups, _all_equal(list(aliases.items())))
 
     def value_at(rank: Column) -> Column:
