@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import safe_div
+from ..operators.shared_storage import spread
 from ..sources.spine import spine_over
 from .decompose import decompose
 
@@ -35,7 +36,7 @@ def revenue_anomalies(series: DataFrame, period: int = PERIOD, threshold: float
         resid = pdf["revenue"] - trend - seasonal
         return pdf.assign(trend=trend, seasonal=seasonal, resid=resid, z_score=(resid - resid.mean()) / resid.std())
 
-    parts = series.groupBy("series").applyInPandas(
+    parts = spread(series, "series").groupBy("series").applyInPandas(
         split, "series string, date_day date, revenue double, trend double, seasonal double, resid double, "
                "z_score double")
     return parts.withColumn("is_anomaly", F.coalesce(F.abs("z_score") > threshold, F.lit(False)))

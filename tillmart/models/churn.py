@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import safe_div
 from ..operators.ordered import exact_medians, number_rows_within, prefix_sum
-from ..operators.shared_storage import materialize
+from ..operators.shared_storage import materialize, spread
 from .scaling import assemble, scale_parameters, standardize
 from .shapley import attributions, leaves_of_trees
 
@@ -149,7 +149,8 @@ class ChurnModel:
 
         key_type = dict(self.rows.dtypes)["customer_id"]
         schema = f"customer_id {key_type}, base_value double, " + ", ".join(f"{f} double" for f in FEATURES)
-        return self.rows.filter("is_test").select("customer_id", *FEATURES).mapInPandas(explain, schema)
+        test = spread(self.rows.filter("is_test").select("customer_id", *FEATURES), "customer_id")
+        return test.mapInPandas(explain, schema)
 
     def feature_importance(self) -> DataFrame:
         means = self.attributions().agg(*[F.avg(F.abs(f)).alias(f) for f in FEATURES])
@@ -162,5 +163,5 @@ def train(features: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     scale = scale_parameters(rows.filter(~F.col("is_test")), FEATURES)
     scaled = assemble(standardize(rows, FEATURES, scale), [f"{c}_z" for c in FEATURES], "scaled")
     ready = materialize(assemble(scaled, FEATURES, "features"))
-    training = materialize(with_class_weights(ready.filter(~F.col("is_test"))))
+    training = materialize(with_class_weights(spread(ready.filter(~F.col("is_test")), "customer_id")))
     return ChurnModel(ready, fit_logistic(training), fit_forest(training, trees, depth, seed))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import days_between, safe_div
 from ..operators.ordered import exact_medians, exact_quantiles
-from ..operators.shared_storage import materialize
+from ..operators.shared_storage import materialize, spread
 from .special import hyp2f1, lgamma, minimize
 
 PENALTY = 0.001
@@ -127,11 +127,13 @@ def fit(summary: DataFrame, penalty: float = PENALTY) -> LtvModel:
     """Fit both models. Ages are scaled to at most 10 for the fit, so that the penalty sees parameters of one size."""
     oldest = summary.agg(F.max("T")).first()[0] or 1
     scale = 10.0 / max(oldest, 1)
-    counted = materialize(summary.groupBy("frequency", "recency", "T").agg(F.count("*").alias("weight")).select(
-        "frequency", (F.col("recency") * scale).alias("recency"), (F.col("T") * scale).alias("T"), "weight"))
+    ages = summary.groupBy("frequency", "recency", "T").agg(F.count("*").alias("weight")).select(
+        "frequency", (F.col("recency") * scale).alias("recency"), (F.col("T") * scale).alias("T"), "weight")
+    counted = materialize(spread(ages, "frequency", "recency", "T"))
     r, alpha, a, b = fit_loglik(counted, bg_nbd_loglik, 4, penalty)
-    repeat = materialize(summary.filter("frequency > 0 and monetary_value > 0").groupBy(
-        "frequency", "monetary_value").agg(F.count("*").alias("weight")))
+    values = summary.filter("frequency > 0 and monetary_value > 0").groupBy("frequency", "monetary_value").agg(
+        F.count("*").alias("weight"))
+    repeat = materialize(spread(values, "frequency", "monetary_value"))
     p, q, v = fit_loglik(repeat, gamma_gamma_loglik, 3, penalty)
     return LtvModel(r, alpha / scale, a, b, p, q, v)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import round_half_even, value_map
 from ..operators.aggregates import minmax_profile
-from ..operators.shared_storage import materialize
+from ..operators.shared_storage import materialize, spread
 from .scaling import assemble, scale_parameters, standardize
 
 DIMS = ["recency", "frequency", "monetary", "food_item_pct"]
@@ -30,7 +30,7 @@ def segment_features(features: DataFrame) -> DataFrame:
 
 
 def _vectors(features: DataFrame) -> DataFrame:
-    return materialize(assemble(segment_features(features), [f"{c}_z" for c in DIMS]))
+    return materialize(spread(assemble(segment_features(features), [f"{c}_z" for c in DIMS]), "customer_id"))
 
 
 def _best_fit(rows: DataFrame, k: int, restarts: int, seed: int) -> KMeansModel:

@@ -18,3 +18,11 @@ def materialize(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="tillmart-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over ``spark.sql.shuffle.partitions`` tasks.
+
+    For steps that compute much per byte: adaptive execution sizes partitions by bytes and would leave few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
