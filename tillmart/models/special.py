@@ -35,7 +35,7 @@ def hyp2f1(a, b, c, z, max_terms: int = 100_000) -> np.ndarray:
     return (1 - z) ** (c - a - b) * total
 
 
-def minimize(losses: Callable[[np.ndarray], np.ndarray], start: np.ndarray, h: float = 1e-3, tol: float = 1e-10,
+def minimize(losses: Callable[[np.ndarray], np.ndarray], start: np.ndarray, h: float = 1e-3, tol: float = 1e-8,
              max_iter: int = 100) -> np.ndarray:
     """Newton's method on central differences. ``losses`` values many points in one call: the whole difference
     stencil, then all trial steps along the direction."""
@@ -55,7 +55,7 @@ def minimize(losses: Callable[[np.ndarray], np.ndarray], start: np.ndarray, h: f
             hessian[i, j] = hessian[j, i] = mixed
         scale, axes = np.linalg.eigh(hessian)
         step = -axes @ ((axes.T @ gradient) / np.maximum(np.abs(scale), 1e-8))
-        step *= min(1.0, 2.0 / max(np.linalg.norm(step), 1e-300))
+        step *= min(1.0, 4.0 / max(np.linalg.norm(step), 1e-300))
         lengths = np.array([1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001])
         trial = losses(at + lengths[:, None] * step)
         best = int(np.nanargmin(trial))
