@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillmart.functions import round_half_away
 from tillmart.models import anomaly, churn, ltv, segments
+from tillmart.operators.shared_storage import materialize
 from tillmart.plans import facts
 
 from .oracles import div, rnd, with_ctes
@@ -49,6 +51,12 @@ def register(query, features, marts) -> None:
     def _(spark, d):
         return churn.stratified_split(features(spark, d).select("customer_id", "is_churned"))
 
+    @query("churn_split_sizes", with_ctes("""SELECT count(*) - ceil(count(*) * 0.25)::BIGINT AS n_train,
+        ceil(count(*) * 0.25)::BIGINT AS n_test, avg(is_churned::INT) AS churn_rate
+        FROM fct_customer_churn_features"""))
+    def _(spark, d):
+        return churn.split_sizes(churn.stratified_split(features(spark, d).select("customer_id", "is_churned")))
+
     @query("churn_score_metrics", with_ctes(f"""
       WITH s AS (SELECT is_churned AS y, {_SCORE_SQL} AS p FROM fct_customer_churn_features),
       c AS (SELECT count(*) FILTER (y AND p > {_THRESHOLD}) AS tp, count(*) FILTER (NOT y AND p > {_THRESHOLD}) AS fp,
@@ -87,8 +95,6 @@ def register(query, features, marts) -> None:
           rnd(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()", 6) + f" AS {c}_z" for c in segments.DIMS)}
       FROM x"""))
     def _(spark, d):
-        from tillmart.functions import round_half_away
-
         return segments.segment_features(features(spark, d)).select(
             "customer_id", *[round_half_away(f"{c}_z", 6).alias(f"{c}_z") for c in segments.DIMS])
 
@@ -124,14 +130,10 @@ def register(query, features, marts) -> None:
              {rnd('corr(frequency, monetary_value) FILTER (frequency > 0)', 6)} AS freq_monetary_corr
       FROM ({summary_sql})"""))
     def _(spark, d):
-        from tillmart.functions import round_half_away
-
         return ltv.repeat_correlation(summary(spark, d)).withColumn(
             "freq_monetary_corr", round_half_away("freq_monetary_corr", 6))
 
     def forecasts(spark, d) -> DataFrame:
-        from tillmart.operators.shared_storage import materialize
-
         rows = materialize(summary(spark, d))
         return ltv.forecast(rows, ltv.fit(rows))
 

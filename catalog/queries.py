@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tillmart import functions as fn
 from tillmart.operators import aggregates, checks
 from tillmart.operators import scope as scopes
+from tillmart.operators.shared_storage import new_folder
 from tillmart.plans import analyses, facts, marts, metrics, reports, staging
-from tillmart.sources import date_spine, fixture_tables, read_raw, run_sql, save_table
+from tillmart.sources import date_spine, export_table, fixture_tables, read_raw, run_sql, save_table
 from tillmart.sources.spine import spine_over
 
 from . import models
@@ -86,14 +87,6 @@ def _scoped(spark, sf_dir) -> DataFrame:
     return scopes.scope(m["orders"], m["locations"], START, END)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder on the storage the cluster shares."""
-    import uuid
-
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 SCOPED = "m_orders JOIN stg_locations USING (location_id)"
 
 # -- sources and sinks ------------------------------------------------------------------------------------------------
@@ -106,7 +99,7 @@ for _name in ("raw_customers", "raw_orders", "raw_items", "raw_products", "raw_s
 @query("read_raw", with_ctes("""SELECT id::VARCHAR AS id, customer::VARCHAR AS customer, ordered_at,
     store_id::VARCHAR AS store_id, subtotal, tax_paid, order_total FROM raw_orders"""))
 def _(spark, d):
-    folder = _scratch(spark, "csv")
+    folder = new_folder(spark, "csv")
     fixture_tables(spark, d)["raw_orders"].select(
         "id", "customer", "ordered_at", "store_id", "subtotal", "tax_paid", "order_total",
     ).write.option("header", True).csv(f"{folder}/raw_orders.csv")
@@ -133,7 +126,7 @@ def _(spark, d):
 @query("save_table", with_ctes("""SELECT customer_id, customer_name, customer_type, count_lifetime_orders
     FROM m_customers"""))
 def _(spark, d):
-    saved = save_table(_marts(spark, d)["customers"], "customers", "marts", path=_scratch(spark, "tables"),
+    saved = save_table(_marts(spark, d)["customers"], "customers", "marts", path=new_folder(spark, "tables"),
                        partition_by=["customer_type"])
     return saved.select("customer_id", "customer_name", "customer_type", "count_lifetime_orders")
 
@@ -143,10 +136,8 @@ def _(spark, d):
     count(*) FILTER (is_food_order) AS food_orders, count(*) FILTER (is_drink_order) AS drink_orders
     FROM m_orders GROUP BY 1"""))
 def _(spark, d):
-    from tillmart.sources import export_table
-
     return export_table(metrics.saved_query(_marts(spark, d), "order_metrics"), "order_metrics",
-                        path=_scratch(spark, "exports"))
+                        path=new_folder(spark, "exports"))
 
 
 @query("adhoc_sql", with_ctes("""SELECT location_name, customer_type, count(*) AS orders,

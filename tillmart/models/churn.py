@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import safe_div
 from ..operators.ordered import exact_medians, number_rows_within, prefix_sum
-from ..operators.shared_storage import materialize, spread
+from ..operators.shared_storage import materialize, new_folder, spread
 from .scaling import assemble, scale_parameters, standardize
 from .shapley import attributions, leaves_of_trees
 
@@ -50,8 +49,9 @@ def stratified_split(df: DataFrame, label: str = LABEL, key: str = "customer_id"
     everything = W.partitionBy(F.lit(1))  # one row per class
     n = F.sum("_size").over(everything)
     sized = (classes.withColumn("_test", F.ceil(n * test_share).cast("bigint")).withColumn("_total", n)
-             .withColumn("_floor", F.expr("(_test * _size) div _total"))
-             .withColumn("_left", F.expr("(_test * _size) % _total"))
+             .withColumn("_product", F.col("_test").cast("decimal(19,0)") * F.col("_size").cast("decimal(19,0)"))
+             .withColumn("_floor", F.expr("_product div _total"))
+             .withColumn("_left", F.col("_product") - F.col("_floor") * F.col("_total"))
              .withColumn("_spare", F.col("_test") - F.sum("_floor").over(everything))
              .withColumn("_turn", F.row_number().over(everything.orderBy(F.col("_left").desc(), F.col(label).desc())))
              .select(label, (F.col("_floor") + (F.col("_turn") <= F.col("_spare")).cast("int")).alias("_quota")))
@@ -59,6 +59,12 @@ def stratified_split(df: DataFrame, label: str = LABEL, key: str = "customer_id"
         *df.columns, "is_test")
 
 
+def split_sizes(split: DataFrame, label: str = LABEL) -> DataFrame:
+    """Training and test rows, and the share of churned customers among all."""
+    return split.agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test"),
+                     F.avg(F.col(label).cast("double")).alias("churn_rate"))
+
+
 def with_class_weights(train: DataFrame, label: str = LABEL) -> DataFrame:
     """Add ``weight`` = rows / (2 * rows of the class), and a numeric label."""
     sizes = train.agg(F.struct(F.count_if(label).alias("yes"), F.count_if(~F.col(label)).alias("no"))).scalar()
@@ -95,12 +101,12 @@ def score_metrics(scored: DataFrame, label: str = LABEL, score: str = "churn_pro
         F.sum(F.when(picked, F.col("_yes")).otherwise(0)).alias("tp"),
         F.sum(F.when(picked, F.col("_no")).otherwise(0)).alias("fp"),
         F.sum("_yes").alias("yes"), F.sum("_no").alias("no"),
-        F.sum(F.col("_yes") * (F.col("_no_to") * 2 - F.col("_no"))).alias("_twice_above"))
+        F.sum(F.col("_yes").cast("double") * (F.col("_no_to") * 2 - F.col("_no"))).alias("_twice_above"))
     zero = F.lit(0.0)
     return (counts.withColumn("precision", F.coalesce(safe_div("tp", F.col("tp") + F.col("fp")), zero))
             .withColumn("recall", F.coalesce(safe_div("tp", "yes"), zero))
             .withColumn("f1", F.coalesce(safe_div(F.col("tp") * 2, F.col("tp") + F.col("fp") + F.col("yes")), zero))
-            .withColumn("roc_auc", safe_div("_twice_above", F.col("yes") * F.col("no") * 2))
+            .withColumn("roc_auc", safe_div("_twice_above", F.col("yes").cast("double") * F.col("no") * 2))
             .select("precision", "recall", "f1", "roc_auc"))
 
 
@@ -125,8 +131,7 @@ class ChurnModel:
         return parts[0].unionByName(parts[1]).select("model", "precision", "recall", "f1", "roc_auc")
 
     def sizes(self) -> DataFrame:
-        return self.rows.agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test"),
-                             F.avg(F.col(LABEL).cast("double")).alias("churn_rate"))
+        return split_sizes(self.rows)
 
     def scores(self) -> DataFrame:
         """Forest probability for every customer."""
@@ -136,7 +141,7 @@ class ChurnModel:
     def attributions(self) -> DataFrame:
         """Shapley values of the forest's churn probability for each test row, with the base value."""
         spark = self.rows.sparkSession
-        folder = f"{spark.sparkContext.getCheckpointDir()}/forest-{uuid.uuid4().hex}"
+        folder = new_folder(spark, "forest")
         self.forest.write().save(folder)
         nodes = spark.read.parquet(f"{folder}/data").select("treeID", "nodeData.*").toPandas()  # trees * 2^(depth+1)
         shared = spark.sparkContext.broadcast(leaves_of_trees(nodes, len(FEATURES)))

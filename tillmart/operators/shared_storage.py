@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and continue from the reliable checkpoint, so lost executors never replay its lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; a temporary one only in local mode without any setting."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
@@ -17,6 +17,17 @@ def materialize(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="tillmart-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path not used before, under the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and continue from the reliable checkpoint, so lost executors never replay its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

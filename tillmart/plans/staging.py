@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cents_to_dollars, surrogate_key, truncate_to
-
-# Product types that count as food and as drink.
-FOOD_TYPE = "jaffle"
-DRINK_TYPE = "beverage"
+from ..sources.raw import DRINK_TYPE, FOOD_TYPE
 
 
 def stage_customers(raw: DataFrame) -> DataFrame:

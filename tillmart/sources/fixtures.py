@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .raw import DRINK_TYPE, FOOD_TYPE
+
 # Declared schemas: without them every reader would first run a job over the file footers.
 SCHEMAS = {
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
@@ -56,7 +58,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     products = part.select(
         F.col("p_partkey").alias("sku"), F.col("p_name").alias("name"),
-        F.when(F.col("p_type").isin(FOOD_TYPES), "jaffle").when(F.col("p_type").isin(DRINK_TYPES), "beverage")
+        F.when(F.col("p_type").isin(FOOD_TYPES), FOOD_TYPE).when(F.col("p_type").isin(DRINK_TYPES), DRINK_TYPE)
         .otherwise("other").alias("type"),
         _cents("p_retailprice").alias("price"), F.col("p_brand").alias("description"))
 

@@ -15,6 +15,10 @@ RAW_SCHEMAS = {
     "raw_supplies": "id string, name string, cost bigint, perishable boolean, sku string",
 }
 
+# Raw product types that count as food and as drink.
+FOOD_TYPE = "jaffle"
+DRINK_TYPE = "beverage"
+
 
 def read_raw(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """Read ``<directory>/<name>.csv``, a file or a folder of part files. Quoted commas and outer blanks are kept."""
