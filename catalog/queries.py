@@ -55,6 +55,13 @@ def _marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return marts.build_marts(_stg(spark, sf_dir))
 
 
+def _revenue_marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The marts with an item mart that leaves supply costs out: revenue metrics do not need them."""
+    s = _stg(spark, sf_dir)
+    return {**_marts(spark, sf_dir),
+            "order_items": marts.order_items(s["stg_order_items"], s["stg_orders"], s["stg_products"])}
+
+
 def _sales(spark, sf_dir, orders: DataFrame | None = None, monthly: bool = False) -> DataFrame:
     s = _stg(spark, sf_dir)
     how = "left" if orders is None else "inner"
@@ -762,7 +769,7 @@ query("sample_rows")(lambda spark, d: reports.sample_rows(_marts(spark, d)["orde
 @query("metric_orders_simple", with_ctes("""SELECT sum(order_total)::DOUBLE AS order_total, count(*) AS orders,
     sum(tax_paid)::DOUBLE AS tax_paid, sum(order_cost)::DOUBLE AS order_cost FROM m_orders"""))
 def _(spark, d):
-    return metrics.metric_query(_marts(spark, d), ["order_total", "orders", "tax_paid", "order_cost"])
+    return metrics.metric_query(_revenue_marts(spark, d), ["order_total", "orders", "tax_paid", "order_cost"])
 
 
 @query("metric_orders_filtered", with_ctes("""SELECT location_name,
@@ -771,7 +778,7 @@ def _(spark, d):
     count(*) FILTER (is_drink_order) AS drink_orders FROM m_orders LEFT JOIN stg_locations USING (location_id)
     GROUP BY 1"""))
 def _(spark, d):
-    return metrics.metric_query(_marts(spark, d), ["new_customer_orders", "large_orders", "food_orders",
+    return metrics.metric_query(_revenue_marts(spark, d), ["new_customer_orders", "large_orders", "food_orders",
                                                    "drink_orders"], ["location_name"])
 
 
@@ -783,7 +790,7 @@ def _(spark, d):
     FROM m_order_items i LEFT JOIN (SELECT product_id, product_type FROM stg_products) USING (product_id)
     GROUP BY 1, 2"""))
 def _(spark, d):
-    return metrics.metric_query(_marts(spark, d), ["revenue", "food_revenue", "drink_revenue", "median_revenue"],
+    return metrics.metric_query(_revenue_marts(spark, d), ["revenue", "food_revenue", "drink_revenue", "median_revenue"],
                                 ["product_type"], "month")
 
 
@@ -792,7 +799,7 @@ def _(spark, d):
     {div('sum(CASE WHEN is_drink_item THEN product_price ELSE 0 END)', 'sum(product_price)')} AS drink_revenue_pct
     FROM m_order_items GROUP BY 1"""))
 def _(spark, d):
-    return metrics.metric_query(_marts(spark, d), ["food_revenue_pct", "drink_revenue_pct"], grain="month")
+    return metrics.metric_query(_revenue_marts(spark, d), ["food_revenue_pct", "drink_revenue_pct"], grain="month")
 
 
 @query("metric_revenue_growth_mom", with_ctes(f"""
@@ -801,7 +808,7 @@ def _(spark, d):
          {div('(m.r - p.r) * 100', 'p.r')} AS revenue_growth_mom
   FROM m LEFT JOIN m p ON p.t = m.t - INTERVAL 1 MONTH"""))
 def _(spark, d):
-    return doubles(metrics.revenue_growth_mom(_marts(spark, d)))
+    return doubles(metrics.revenue_growth_mom(_revenue_marts(spark, d)))
 
 
 @query("metric_revenue_growth_mom_daily", with_ctes(f"""
@@ -810,7 +817,7 @@ def _(spark, d):
          {div('(m.r - p.r) * 100', 'p.r')} AS revenue_growth_mom
   FROM m LEFT JOIN m p ON p.t = m.t - INTERVAL 1 MONTH"""))
 def _(spark, d):
-    return metrics.revenue_growth_mom(_marts(spark, d), "day")
+    return metrics.revenue_growth_mom(_revenue_marts(spark, d), "day")
 
 
 @query("metric_order_gross_profit", with_ctes("""
@@ -819,7 +826,7 @@ def _(spark, d):
   FROM (SELECT ordered_at AS t, sum(product_price) AS r FROM m_order_items GROUP BY 1) a
   FULL JOIN (SELECT ordered_at AS t, sum(order_cost) AS c FROM m_orders GROUP BY 1) b ON a.t = b.t"""))
 def _(spark, d):
-    return metrics.order_gross_profit(_marts(spark, d))
+    return metrics.order_gross_profit(_revenue_marts(spark, d))
 
 
 @query("metric_cumulative_revenue", with_ctes("""
@@ -828,7 +835,7 @@ def _(spark, d):
   SELECT s.t AS metric_time, (sum(v) OVER (ORDER BY s.t))::DOUBLE AS cumulative_revenue
   FROM s LEFT JOIN r ON r.t = s.t"""))
 def _(spark, d):
-    return metrics.cumulative_revenue(_marts(spark, d))
+    return metrics.cumulative_revenue(_revenue_marts(spark, d))
 
 
 @query("metric_customers", with_ctes(f"""
@@ -838,7 +845,7 @@ def _(spark, d):
          {div('sum(lifetime_spend_pretax)', 'sum(count_lifetime_orders)')} AS average_order_value
   FROM m_customers GROUP BY 1, 2"""))
 def _(spark, d):
-    return metrics.metric_query(_marts(spark, d), ["customers", "count_lifetime_orders", "lifetime_spend_pretax",
+    return metrics.metric_query(_revenue_marts(spark, d), ["customers", "count_lifetime_orders", "lifetime_spend_pretax",
                                                    "lifetime_spend", "average_order_value"],
                                 ["customer_type"], "month")
 
@@ -846,7 +853,7 @@ def _(spark, d):
 @query("metric_locations", with_ctes("""SELECT date_trunc('quarter', opened_date) AS metric_time,
     avg(tax_rate) AS average_tax_rate FROM stg_locations GROUP BY 1"""))
 def _(spark, d):
-    return metrics.metric_query(_marts(spark, d), ["average_tax_rate"], grain="quarter")
+    return metrics.metric_query(_revenue_marts(spark, d), ["average_tax_rate"], grain="quarter")
 
 
 @query("metric_across_marts", with_ctes("""
@@ -855,26 +862,26 @@ def _(spark, d):
         FROM m_order_items GROUP BY 1) a
   FULL JOIN (SELECT date_trunc('week', ordered_at) AS t, count(*) AS n FROM m_orders GROUP BY 1) b ON a.t = b.t"""))
 def _(spark, d):
-    return metrics.metric_query(_marts(spark, d), ["revenue", "orders", "median_revenue"], grain="week")
+    return metrics.metric_query(_revenue_marts(spark, d), ["revenue", "orders", "median_revenue"], grain="week")
 
 
 @query("saved_order_metrics", ORACLES["export_order_metrics"])
 def _(spark, d):
-    return metrics.saved_query(_marts(spark, d), "order_metrics")
+    return metrics.saved_query(_revenue_marts(spark, d), "order_metrics")
 
 
 @query("saved_revenue_metrics", with_ctes("""SELECT ordered_at AS metric_time, sum(product_price)::DOUBLE AS revenue,
     sum(CASE WHEN is_food_item THEN product_price ELSE 0 END)::DOUBLE AS food_revenue,
     sum(CASE WHEN is_drink_item THEN product_price ELSE 0 END)::DOUBLE AS drink_revenue FROM m_order_items GROUP BY 1"""))
 def _(spark, d):
-    return metrics.saved_query(_marts(spark, d), "revenue_metrics")
+    return metrics.saved_query(_revenue_marts(spark, d), "revenue_metrics")
 
 
 @query("saved_customer_order_metrics", with_ctes(f"""SELECT customer_id, count_lifetime_orders,
     lifetime_spend_pretax::DOUBLE AS lifetime_spend_pretax,
     {div('lifetime_spend_pretax', 'count_lifetime_orders')} AS average_order_value FROM m_customers"""))
 def _(spark, d):
-    return metrics.saved_query(_marts(spark, d), "customer_order_metrics")
+    return metrics.saved_query(_revenue_marts(spark, d), "customer_order_metrics")
 
 
 # -- data-quality checks ----------------------------------------------------------------------------------------------

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 from ..functions import truncate_to
 
 
-def product_dimension(products: DataFrame, supplies: DataFrame) -> DataFrame:
-    """One row per product: name, price, flags and the summed cost of its supplies.
+def product_dimension(products: DataFrame, supplies: DataFrame | None = None) -> DataFrame:
+    """One row per product: name, price, flags and, given supplies, their summed cost.
 
     A union and one aggregation rather than a join of the two tables: its size estimate is their sum, so Spark
     broadcasts it to the items exactly when both are small, and otherwise the items meet one sort-merge join, which
     adaptive execution splits where a product is hot (it does not split a chain of joins on one key).
     """
     attributes = ["product_name", "product_price", "is_food_item", "is_drink_item"]
+    if supplies is None:
+        return products.select("product_id", *attributes)
     types = dict(products.dtypes)
     both = products.select("product_id", *attributes, F.lit(None).cast("decimal(16,2)").alias("supply_cost")).union(
         supplies.select("product_id", *[F.lit(None).cast(types[a]).alias(a) for a in attributes], "supply_cost"))
@@ -24,7 +26,7 @@ def product_dimension(products: DataFrame, supplies: DataFrame) -> DataFrame:
                                           F.sum("supply_cost").alias("supply_cost"))
 
 
-def price_items(items: DataFrame, products: DataFrame, supplies: DataFrame) -> DataFrame:
+def price_items(items: DataFrame, products: DataFrame, supplies: DataFrame | None = None) -> DataFrame:
     """Items with price, flags and the supply cost of their product; no join with the orders."""
     return items.join(product_dimension(products, supplies), "product_id", "left")
 
@@ -53,12 +55,14 @@ def sales(items: DataFrame, products: DataFrame, supplies: DataFrame, orders: Da
         total(F.col("product_price") - F.col("supply_cost")).alias("gross_profit"))
 
 
-def order_items(items: DataFrame, stg_orders: DataFrame, products: DataFrame, supplies: DataFrame) -> DataFrame:
-    """Order item mart: priced items with the order day."""
+def order_items(items: DataFrame, stg_orders: DataFrame, products: DataFrame, supplies: DataFrame | None = None
+                ) -> DataFrame:
+    """Order item mart: priced items with the order day. Revenue queries may leave out the supplies and their cost."""
     days = stg_orders.select("order_id", "ordered_at")
+    costs = [] if supplies is None else ["supply_cost"]
     return price_items(items, products, supplies).join(days, "order_id", "left").select(
         "order_item_id", "order_id", "product_id", "ordered_at", "product_name", "product_price", "is_food_item",
-        "is_drink_item", "supply_cost")
+        "is_drink_item", *costs)
 
 
 def orders(stg_orders: DataFrame, priced_items: DataFrame) -> DataFrame:
