@@ -62,12 +62,12 @@ def _revenue_marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             "order_items": marts.order_items(s["stg_order_items"], s["stg_orders"], s["stg_products"])}
 
 
-def _sales(spark, sf_dir, orders: DataFrame | None = None, monthly: bool = False) -> DataFrame:
+def _sales(spark, sf_dir, orders: DataFrame | None = None, monthly: bool = False, costs: bool = True) -> DataFrame:
     s = _stg(spark, sf_dir)
     how = "left" if orders is None else "inner"
     if monthly and orders is None:
         orders = s["stg_orders"]
-    return marts.sales(s["stg_order_items"], s["stg_products"], s["stg_supplies"], orders, how)
+    return marts.sales(s["stg_order_items"], s["stg_products"], s["stg_supplies"] if costs else None, orders, how)
 
 
 def _cogs(spark, sf_dir) -> DataFrame:
@@ -501,7 +501,7 @@ def _(spark, d):
          {rnd('sum(product_price)')} AS revenue, count(order_item_id) AS units
   FROM m_order_items i JOIN m_orders o USING (order_id) JOIN stg_locations USING (location_id) GROUP BY 1, 2, 3"""))
 def _(spark, d):
-    return reports.product_monthly(_sales(spark, d, _scoped(spark, d)))
+    return reports.product_monthly(_sales(spark, d, _scoped(spark, d), costs=False))
 
 
 @query("product_treemap", with_ctes(f"""
@@ -510,7 +510,7 @@ def _(spark, d):
                {rnd('sum(product_price)')} AS revenue FROM m_order_items GROUP BY 1, 2)
   GROUP BY ROLLUP (category, product_name)"""))
 def _(spark, d):
-    return reports.product_treemap(_sales(spark, d))
+    return reports.product_treemap(_sales(spark, d, costs=False))
 
 
 @query("product_ranking", with_ctes(f"""SELECT product_name, product_type, units_sold,

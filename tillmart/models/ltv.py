@@ -124,7 +124,7 @@ class LtvModel:
 
 
 def fit(summary: DataFrame, penalty: float = PENALTY) -> LtvModel:
-    """Fit both models. Ages are scaled to at most 10 for the fit, so that the penalty sees parameters of one size."""
+    """Fit both models; reads the summary three times, so pass a stored one. Ages are scaled to at most 10 for the fit, so that the penalty sees parameters of one size."""
     oldest = summary.agg(F.max("T")).first()[0] or 1
     scale = 10.0 / max(oldest, 1)
     ages = summary.groupBy("frequency", "recency", "T").agg(F.count("*").alias("weight")).select(
@@ -164,6 +164,7 @@ REPORT_COLUMNS = ["predicted_avg_order_value", "expected_purchases", "clv_foreca
 
 def describe(forecasts: DataFrame, columns: Sequence[str] = REPORT_COLUMNS) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles, one row per column."""
+    forecasts = materialize(forecasts.select(*columns))  # read twice
     quartiles = exact_quantiles(forecasts, columns, [0.25, 0.5, 0.75]).select(F.struct("*")).scalar()
     one = forecasts.agg(*[F.struct(
         F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
@@ -176,6 +177,7 @@ def describe(forecasts: DataFrame, columns: Sequence[str] = REPORT_COLUMNS) -> D
 
 def report(forecasts: DataFrame) -> DataFrame:
     """Customers modelled, total and median forecast value."""
+    forecasts = materialize(forecasts.select("clv_forecast"))  # read twice
     median = exact_medians(forecasts, ["clv_forecast"]).select("clv_forecast").scalar()
     return forecasts.agg(F.count("*").alias("repeat_customers"), F.sum("clv_forecast").alias("total_clv")).withColumn(
         "median_clv", median)

@@ -22,10 +22,11 @@ def share_of_total(df: DataFrame, keys: Sequence[str], digits: int = 1) -> DataF
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Fixed-width histogram between the smallest and the largest value; the last bin is closed on both sides."""
     v = F.col(value).cast("double")
+    df = materialize(df.select(value).filter(v.isNotNull()))  # read twice: for the ends and for the counts
     ends = df.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))).scalar()
     lo, width = ends.getField("lo"), (ends.getField("hi") - ends.getField("lo")) / bins
     bin_no = F.least(F.coalesce(F.floor(F.try_divide(v - lo, width)), F.lit(0)), F.lit(bins - 1)).cast("bigint")
-    return (df.filter(v.isNotNull()).groupBy(bin_no.alias("bin")).agg(F.count("*").alias("rows"))
+    return (df.groupBy(bin_no.alias("bin")).agg(F.count("*").alias("rows"))
             .select("bin", (lo + width * F.col("bin")).alias("bin_start"), "rows"))
 
 

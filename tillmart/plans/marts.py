@@ -31,10 +31,10 @@ def price_items(items: DataFrame, products: DataFrame, supplies: DataFrame | Non
     return items.join(product_dimension(products, supplies), "product_id", "left")
 
 
-def sales(items: DataFrame, products: DataFrame, supplies: DataFrame, orders: DataFrame | None = None,
+def sales(items: DataFrame, products: DataFrame, supplies: DataFrame | None = None, orders: DataFrame | None = None,
           how: str = "left") -> DataFrame:
-    """Units, revenue and supply cost per product and, with ``orders``, per month of those orders. Items of other
-    orders have no month; ``how="inner"`` leaves them out.
+    """Units, revenue and, given supplies, supply cost per product and, with ``orders``, per month of those orders.
+    Items of other orders have no month; ``how="inner"`` leaves them out.
 
     Items are counted per product before prices join: every item of a product has the same price and cost, so the
     sums are products of the count, and the join sees one row per product and month instead of one per item.
@@ -49,10 +49,12 @@ def sales(items: DataFrame, products: DataFrame, supplies: DataFrame, orders: Da
     def total(unit) -> object:
         return (unit * rows).cast("decimal(38,2)")
 
+    costs = [] if supplies is None else [
+        total(F.col("supply_cost")).alias("total_supply_cost"),
+        total(F.col("product_price") - F.col("supply_cost")).alias("gross_profit")]
     return counted.join(product_dimension(products, supplies), "product_id", "left").select(
         *keys, "product_name", "is_food_item", "is_drink_item", "units_sold",
-        total(F.col("product_price")).alias("total_revenue"), total(F.col("supply_cost")).alias("total_supply_cost"),
-        total(F.col("product_price") - F.col("supply_cost")).alias("gross_profit"))
+        total(F.col("product_price")).alias("total_revenue"), *costs)
 
 
 def order_items(items: DataFrame, stg_orders: DataFrame, products: DataFrame, supplies: DataFrame | None = None
