@@ -124,7 +124,10 @@ class LtvModel:
 
 
 def fit(summary: DataFrame, penalty: float = PENALTY) -> LtvModel:
-    """Fit both models; reads the summary three times, so pass a stored one. Ages are scaled to at most 10 for the fit, so that the penalty sees parameters of one size."""
+    """Fit both models; reads the summary three times, so pass a stored one.
+
+    Ages are scaled to at most 10 for the fit, so that the penalty sees parameters of one size.
+    """
     oldest = summary.agg(F.max("T")).first()[0] or 1
     scale = 10.0 / max(oldest, 1)
     ages = summary.groupBy("frequency", "recency", "T").agg(F.count("*").alias("weight")).select(

@@ -26,7 +26,7 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     ends = df.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))).scalar()
     lo, width = ends.getField("lo"), (ends.getField("hi") - ends.getField("lo")) / bins
     bin_no = F.least(F.coalesce(F.floor(F.try_divide(v - lo, width)), F.lit(0)), F.lit(bins - 1)).cast("bigint")
-    return (df.groupBy(bin_no.alias("bin")).agg(F.count("*").alias("rows"))
+    return (df.withColumn("bin", bin_no).groupBy("bin").agg(F.count("*").alias("rows"))
             .select("bin", (lo + width * F.col("bin")).alias("bin_start"), "rows"))
 
 
