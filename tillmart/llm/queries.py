@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules
+from . import bpe, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,8 @@ def _byte_bpe(spark, sf_dir):
         "doc_id", F.size("tokens").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("tokens").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op4_simhash_bk_tree")
+def _simhash(spark, sf_dir):
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
