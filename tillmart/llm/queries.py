@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, simhash
+from . import bpe, quality_rules, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,10 @@ def _byte_bpe(spark, sf_dir):
 @query("op4_simhash_bk_tree")
 def _simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op6_secret_scan")
+def _secret_scan(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
