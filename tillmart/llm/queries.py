@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, secret_scan, simhash
+from . import bpe, quality_rules, secret_scan, simhash, source_mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,8 @@ def _secret_scan(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_assign", "n_access", "n_hex",
         F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+@query("op8_source_mix", source_mix.ORACLE)
+def _source_mix(spark, sf_dir):
+    return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
