@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from tillmart.deploy import ship
+
 BATCH_ROWS = 1000
 CHUNK_BYTES = 1 << 21
 
@@ -26,7 +28,9 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Hand texts to Python tasks in batches of at most ``BATCH_ROWS`` rows, so long texts fit in a worker."""
+    """Hand texts to Python tasks in batches of at most ``BATCH_ROWS`` rows, so long texts fit in a worker; also see
+    that the tasks have this package."""
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
