@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, quality_rules, secret_scan, simhash, source_mix, substring_dedup
+from . import bpe, chat_format, exact_topk, quality_rules, secret_scan, simhash, source_mix, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,9 @@ def _chat_format(spark, sf_dir):
         F.char_length("loss_text").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op5_exact_topk", exact_topk.ORACLE)
+def _exact_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", exact_topk.quantized(F.col("embedding")).alias("vector"))
+    return exact_topk.top_k(vectors.filter("vec_id % 20 = 0"), vectors, k=20)
