@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_topk, quality_rules, secret_scan, simhash, source_mix, substring_dedup
+from . import bpe, chat_format, exact_topk, quality_classifier, quality_rules, secret_scan, simhash, source_mix, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,8 @@ def _chat_format(spark, sf_dir):
 def _exact_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", exact_topk.quantized(F.col("embedding")).alias("vector"))
     return exact_topk.top_k(vectors.filter("vec_id % 20 = 0"), vectors, k=20)
+
+
+@query("op10_quality_classifier")
+def _quality_classifier(spark, sf_dir):
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
