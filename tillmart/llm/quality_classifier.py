@@ -2,7 +2,8 @@
 
 Every word and every word ending has a bucket by its hash, and every bucket a fixed sparse ternary index vector. One pass
 over all texts adds up, per bucket, the index vectors of the neighbouring words: the bucket's word vector. A document is
-the mean of its words' index and word vectors. The network is fitted on the driver on at most ``MAX_LABELLED`` labelled
+the mean of its words' index and word vectors, and of the products of neighbouring words' index vectors, which stand for
+word order and runs of one word. The network is fitted on the driver on at most ``MAX_LABELLED`` labelled
 documents (those with the least hashes of their ids); a part of them, kept from the fit, sets the temperature of its
 probabilities. The word vectors (``BUCKETS`` x ``DIM`` numbers) and the weights are of fixed size, so they are broadcast.
 
@@ -27,7 +28,9 @@ from .storage import stored
 BUCKETS, DIM, REACH, ENDING = 1 << 13, 32, 2, 3
 MAX_LABELLED, HIDDEN, EPOCHS, BATCH, RATE, DECAY = 20_000, 32, 30, 128, 2e-3, 1e-4
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
-FEATURES = 4 * DIM
+FEATURES = 5 * DIM
+#: Words of zero vector that every document is given, so a few words make no extreme mean.
+PRIOR = 8
 
 
 def index_vectors() -> np.ndarray:
@@ -88,15 +91,20 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
 
 
 def pooled(chunk: W.Chunk, index: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """FEATURES numbers per document: the means of its words' vectors."""
+    """FEATURES numbers per document: the means of its words' vectors and of the products of neighbours."""
     out = np.zeros((chunk.n_docs, FEATURES), np.float32)
     some = np.flatnonzero(np.diff(chunk.first_word))
     if len(some):
         words, endings = _buckets(chunk)
-        counts = np.diff(chunk.first_word)[some][:, None]
+        counts = np.diff(chunk.first_word)[some][:, None] + PRIOR
         for i, (table, which) in enumerate(((index, words), (index, endings), (vectors, words), (vectors, endings))):
             sums = np.add.reduceat(table[which], chunk.first_word[some], axis=0, dtype=np.float32)
             out[some, i * DIM:(i + 1) * DIM] = sums / counts
+        own = index[words]
+        pairs = np.zeros_like(own)
+        pairs[1:] = own[1:] * own[:-1]
+        pairs[chunk.first_word[some]] = 0
+        out[some, 4 * DIM:] = np.add.reduceat(pairs, chunk.first_word[some], axis=0, dtype=np.float32) / counts
     return out
 
 
