@@ -29,9 +29,9 @@ def register(query, features, marts) -> None:
     def summary(spark, d) -> DataFrame:
         return ltv.purchase_summary(marts(spark, d)["orders"])
 
-    def series(spark, d, key: str | None = None) -> DataFrame:
+    def series(spark, d, key: str | None = None, fill: bool = False) -> DataFrame:
         m = marts(spark, d)
-        return anomaly.daily_series(facts.daily_revenue(m["orders"], m["locations"]), key)
+        return anomaly.daily_series(facts.daily_revenue(m["orders"], m["locations"]), key, fill=fill)
 
     @query("churn_imputed", with_ctes(f"""SELECT customer_id, customer_name, is_churned, {_IMPUTED}
         FROM fct_customer_churn_features, (SELECT {_MEDIANS} FROM fct_customer_churn_features)"""))
@@ -119,7 +119,8 @@ def register(query, features, marts) -> None:
              datediff('day', min(t), (SELECT max(ordered_at) FROM stg_orders)) AS T,
              coalesce({div('sum(v) FILTER (i > 1)', 'count(*) FILTER (i > 1)')}, 0) AS monetary_value
       FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY t) AS i FROM (
-              SELECT customer_id, ordered_at AS t, sum(order_total) AS v FROM stg_orders GROUP BY 1, 2))
+              SELECT customer_id, ordered_at AS t, sum(order_total) AS v FROM stg_orders
+              WHERE customer_id IS NOT NULL GROUP BY 1, 2))
       GROUP BY 1"""
 
     query("ltv_summary", with_ctes(summary_sql))(summary)
@@ -151,13 +152,19 @@ def register(query, features, marts) -> None:
     def _(spark, d):
         return ltv.top_customers(forecasts(spark, d))
 
-    @query("daily_series", with_ctes("""
+    @query("daily_series", with_ctes("""SELECT location_id::VARCHAR AS series, ordered_at AS date_day,
+        sum(order_total)::DOUBLE AS revenue FROM stg_orders GROUP BY 1, 2"""))
+    def _(spark, d):
+        return series(spark, d, "location_id").withColumn("date_day", F.col("date_day").cast("timestamp_ntz"))
+
+    @query("daily_series_filled", with_ctes("""
       WITH r AS (SELECT location_id, ordered_at AS t, sum(order_total) AS v FROM stg_orders GROUP BY 1, 2),
       s AS (SELECT location_id, unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) AS t FROM r GROUP BY 1)
       SELECT location_id::VARCHAR AS series, s.t AS date_day, coalesce(v, 0)::DOUBLE AS revenue
       FROM s LEFT JOIN r USING (location_id, t)"""))
     def _(spark, d):
-        return series(spark, d, "location_id").withColumn("date_day", F.col("date_day").cast("timestamp_ntz"))
+        return series(spark, d, "location_id", fill=True).withColumn(
+            "date_day", F.col("date_day").cast("timestamp_ntz"))
 
     @query("revenue_anomalies")
     def _(spark, d):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tillmart import functions as fn
 from tillmart.operators import aggregates, checks
 from tillmart.operators import scope as scopes
-from tillmart.operators.shared_storage import new_folder
+from tillmart.operators.shared_storage import materialize, new_folder
 from tillmart.plans import analyses, facts, marts, metrics, reports, staging
 from tillmart.sources import date_spine, export_table, fixture_tables, read_raw, run_sql, save_table
 from tillmart.sources.spine import spine_over
@@ -23,8 +23,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-# Scope of the dashboard queries: all order dates, all locations.
-START, END = "1995-01-01", "2001-12-31"
 # Scope of the queries that show the filters themselves.
 PART_START, PART_END, PART_NAMES = "1998-03-01", "2000-02-29", ["NATION_1", "NATION_7", "NATION_20"]
 
@@ -91,7 +89,7 @@ def _locations_fact(spark, sf_dir) -> DataFrame:
 
 def _scoped(spark, sf_dir) -> DataFrame:
     m = _marts(spark, sf_dir)
-    return scopes.scope(m["orders"], m["locations"], START, END)
+    return scopes.scope(m["orders"], m["locations"])
 
 
 SCOPED = "m_orders JOIN stg_locations USING (location_id)"
@@ -121,12 +119,15 @@ def _(spark, d):
 
 @query("date_spine_orders", with_ctes("""
   SELECT date_day::TIMESTAMP AS date_day, count(order_id) AS orders
-  FROM (SELECT unnest(generate_series(DATE '1994-12-01', DATE '2001-12-31', INTERVAL 1 DAY))::DATE AS date_day)
+  FROM (SELECT unnest(generate_series((SELECT min(ordered_at)::DATE FROM stg_orders),
+          (SELECT max(ordered_at)::DATE FROM stg_orders), INTERVAL 1 DAY))::DATE AS date_day)
   LEFT JOIN stg_orders ON ordered_at = date_day GROUP BY 1"""))
 def _(spark, d):
-    daily = _stg(spark, d)["stg_orders"].groupBy(F.col("ordered_at").cast("date").alias("date_day")).agg(
+    orders = _stg(spark, d)["stg_orders"]
+    daily = orders.groupBy(F.col("ordered_at").cast("date").alias("date_day")).agg(
         F.count("order_id").alias("orders"))
-    return date_spine(spark, "1994-12-01", "2001-12-31").join(daily, "date_day", "left").select(
+    days = spine_over(orders, "ordered_at").select(F.col("date_day").cast("date"))
+    return days.join(daily, "date_day", "left").select(
         F.col("date_day").cast("timestamp_ntz"), F.coalesce("orders", F.lit(0)).alias("orders"))
 
 
@@ -349,12 +350,12 @@ def _(spark, d):
 
 
 @query("location_benchmark", with_ctes(f"""
-  WITH w AS (SELECT date_trunc('month', ordered_at) AS month, location_id, location_name, opened_date,
+  WITH w AS (SELECT date_trunc('month', ordered_at) AS month, l.location_id, location_name, opened_date,
                     count(order_id) AS orders, sum(order_total) AS revenue,
                     {rnd(div('sum(order_total)', 'count(order_id)'), 2)} AS aov,
                     count(DISTINCT customer_id) AS unique_customers,
                     datediff('month', opened_date, date_trunc('month', ordered_at)) AS months_since_open
-             FROM m_orders LEFT JOIN stg_locations USING (location_id) GROUP BY 1, 2, 3, 4)
+             FROM m_orders o LEFT JOIN stg_locations l ON l.location_id = o.location_id GROUP BY 1, 2, 3, 4)
   SELECT * REPLACE (revenue::DOUBLE AS revenue), (lag(revenue) OVER o)::DOUBLE AS prev_month_revenue,
          {rnd(div('revenue - lag(revenue) OVER o', 'lag(revenue) OVER o') + ' * 100', 1)} AS mom_growth_pct,
          {div('sum(revenue) OVER (PARTITION BY location_id ORDER BY month ROWS 2 PRECEDING)',
@@ -395,7 +396,7 @@ def _(spark, d):
          rank() OVER (PARTITION BY month ORDER BY perishable_pct_of_revenue DESC NULLS LAST) AS perishable_risk_rank
   FROM q WINDOW w AS (PARTITION BY product_id ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"""))
 def _(spark, d):
-    return analyses.margin_erosion(_sales(spark, d, monthly=True), _cogs(spark, d))
+    return analyses.margin_erosion(_sales(spark, d, monthly=True), _stg(spark, d)["stg_supplies"])
 
 
 # -- dashboard and report queries -------------------------------------------------------------------------------------
@@ -532,9 +533,11 @@ _STRATEGY = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in reports.QUADRANT_STRAT
 @query("quadrant_summary", with_ctes(f"""
   SELECT bcg_quadrant, count(product_name) AS products, {even('sum(total_revenue)')} AS total_revenue,
          {even(div('sum(gross_margin_pct::DECIMAL(16,2))', 'count(gross_margin_pct)'), 1)} AS avg_margin,
-         CASE bcg_quadrant {_STRATEGY} END AS strategy FROM bcg GROUP BY 1"""))
+         CASE bcg_quadrant {_STRATEGY} END AS strategy
+  FROM fct_supply_cogs f JOIN (SELECT product_id, bcg_quadrant FROM bcg) q USING (product_id) GROUP BY 1"""))
 def _(spark, d):
-    return reports.quadrant_summary(analyses.bcg_quadrants(_cogs(spark, d)))
+    cogs = materialize(_cogs(spark, d))  # read for the quadrants and for the sums
+    return reports.quadrant_summary(analyses.bcg_quadrants(cogs), cogs)
 
 
 @query("cost_breakdown", with_ctes("""
@@ -906,11 +909,11 @@ def _(spark, d):
     return checks.check_unique(_stg(spark, d)["stg_orders"].select(day.alias("customer_day")), "customer_day")
 
 
-@query("check_relationship", with_ctes("""SELECT user_id, count(*) AS n_rows FROM events
-    WHERE user_id NOT IN (SELECT customer_id FROM stg_customers WHERE customer_id IS NOT NULL) GROUP BY 1"""))
+@query("check_relationship", with_ctes("""SELECT order_id, count(*) AS n_rows FROM stg_orders
+    WHERE order_id NOT IN (SELECT order_id FROM stg_order_items WHERE order_id IS NOT NULL) GROUP BY 1"""))
 def _(spark, d):
-    events = spark.read.parquet(f"{d}/events.parquet")
-    return checks.check_relationship(events, "user_id", _stg(spark, d)["stg_customers"], "customer_id")
+    s = _stg(spark, d)
+    return checks.check_relationship(s["stg_orders"], "order_id", s["stg_order_items"], "order_id")
 
 
 @query("check_accepted", with_ctes("""SELECT product_id, product_type FROM stg_products

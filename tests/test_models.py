@@ -132,7 +132,7 @@ def test_special_functions():
 
 def test_purchase_summary_rules(spark):
     rows = [(1, "2024-01-01", 10.0), (1, "2024-01-01", 5.0), (1, "2024-01-11", 20.0), (1, "2024-01-31", 40.0),
-            (2, "2024-01-21", 7.0)]
+            (2, "2024-01-21", 7.0), (None, "2024-01-02", 9.0), (None, "2024-01-31", 9.0)]
     orders = spark.createDataFrame(rows, "customer_id int, d string, order_total double").select(
         "customer_id", F.col("d").cast("timestamp_ntz").alias("ordered_at"),
         F.col("order_total").cast("decimal(16,2)"))
@@ -209,7 +209,7 @@ def test_anomalies_find_injected_days(spark):
     value[[60, 150]] += [80, -80]
     df = spark.createDataFrame(pd.DataFrame({"date_day": days, "total_revenue": value, "location_id": "s"}))
     gap = df.filter("date_day <> '2024-03-10'")
-    scored = anomaly.revenue_anomalies(anomaly.daily_series(gap, "location_id"))
+    scored = anomaly.revenue_anomalies(anomaly.daily_series(gap, "location_id", fill=True))
     assert scored.count() == 210
     top = anomaly.top_anomalies(scored).collect()
     found = {r.date_day.isoformat() for r in top}
@@ -219,3 +219,30 @@ def test_anomalies_find_injected_days(spark):
     assert np.allclose(kept["trend"] + kept["seasonal"] + kept["resid"], kept["revenue"])
     total = anomaly.anomaly_summary(scored).first()
     assert total.anomalies == total.spikes + total.drops == len(top) and total.days == 210
+    assert anomaly.daily_series(gap, "location_id").count() == 209  # only days with sales, unless asked
+
+
+def test_forecast_of_any_horizon_equals_a_plain_sum(spark):
+    model = ltv.LtvModel(0.8, 20.0, 0.9, 2.1, 6.0, 4.0, 30.0)
+    rows = [(1, 3, 40, 60, 12.0), (2, 1, 5, 90, 30.0), (3, 8, 100, 101, 5.5), (4, 0, 0, 10, 0.0)]
+    summary = spark.createDataFrame(rows, "customer_id int, frequency long, recency int, T int, monetary_value double")
+    for days, months in ((20, 1), (30, 1), (75, 3), (90, 3)):
+        got = {r.customer_id: r for r in ltv.forecast(summary, model, days).collect()}
+        assert sorted(got) == [1, 2, 3]
+        for who, x, recency, age, m in rows[:3]:
+            grown = lambda t: float(model.expected_purchases(t, np.array([x]), np.array([recency]), np.array([age]))[0])  # noqa: B023, E731
+            value = float(model.expected_value(np.array([x]), np.array([m]))[0])
+            want = sum(value * (grown(30 * i) - grown(30 * (i - 1) or 1e-12)) / 1.01 ** i for i in range(1, months + 1))
+            assert math.isclose(got[who].clv_forecast, want, rel_tol=1e-6)
+            assert math.isclose(got[who].expected_purchases, grown(days), rel_tol=1e-9)
+
+
+def test_fits_refuse_what_they_cannot_do(spark):
+    summary = spark.createDataFrame([(1, 3, 40, 60, 12.0), (2, 1, 5, 90, 0.0), (3, 2, 5, 80, 4.0)],
+                                    "customer_id int, frequency long, recency int, T int, monetary_value double")
+    with pytest.raises(ValueError, match="1 repeat customers"):
+        ltv.fit(summary)
+    with pytest.raises(ArithmeticError):
+        special.hyp2f1(1.0, 2.0, 3.5, 0.99, max_terms=5)
+    with pytest.raises(ArithmeticError):
+        special.minimize(lambda p: (p ** 4).sum(axis=1), np.array([9.0]), max_iter=1)

@@ -14,15 +14,16 @@ from .decompose import decompose
 PERIOD, THRESHOLD = 7, 2.5
 
 
-def daily_series(daily: DataFrame, key: str | None = None, day: str = "date_day", value: str = "total_revenue"
-                 ) -> DataFrame:
-    """(series, date_day, revenue) with every calendar day from the first to the last sale of the series.
-
-    The decomposition needs even spacing, so days without sales enter as 0. Without ``key`` there is one series.
+def daily_series(daily: DataFrame, key: str | None = None, day: str = "date_day", value: str = "total_revenue",
+                 fill: bool = False) -> DataFrame:
+    """(series, date_day, revenue) of the days with sales; ``fill`` adds every day between the first and the last one of
+    a series with a revenue of 0, so that the spacing is even. Without ``key`` there is one series.
     """
     series = F.lit("all") if key is None else F.col(key).cast("string")
     sums = daily.groupBy(series.alias("series"), F.col(day).cast("date").alias("date_day")).agg(
         F.sum(value).cast("double").alias("revenue"))
+    if not fill:
+        return sums
     return (spine_over(sums, "date_day", ["series"]).join(sums, ["series", "date_day"], "left")
             .fillna(0.0, ["revenue"]))
 

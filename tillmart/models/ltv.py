@@ -26,10 +26,11 @@ FORECAST_DAYS, DISCOUNT, STEP_DAYS = 90, 0.01, 30
 def purchase_summary(orders: DataFrame) -> DataFrame:
     """Per customer: repeat purchase days, days from first to last, days since the first, mean repeat-day value.
 
-    Purchases of one day count once, and the first day is left out of the mean. Orders are rolled up to (customer,
+    Purchases of one day count once, and the first day is left out of the mean. Orders without a customer are nobody's
+    and stay out. Orders are rolled up to (customer,
     day) first, so a very active customer is spread over tasks before the second aggregation.
     """
-    days = orders.groupBy("customer_id", "ordered_at").agg(F.sum("order_total").alias("value"))
+    days = orders.filter("customer_id is not null").groupBy("customer_id", "ordered_at").agg(F.sum("order_total").alias("value"))
     end = orders.agg(F.max("ordered_at")).scalar()
     per_customer = days.groupBy("customer_id").agg(
         (F.count("*") - 1).alias("frequency"), F.min("ordered_at").alias("_first"),
@@ -134,7 +135,10 @@ def fit(summary: DataFrame, penalty: float = PENALTY) -> LtvModel:
         "frequency", (F.col("recency") * scale).alias("recency"), (F.col("T") * scale).alias("T"), "weight")
     counted = materialize(spread(ages, "frequency", "recency", "T"))
     r, alpha, a, b = fit_loglik(counted, bg_nbd_loglik, 4, penalty)
-    values = summary.filter("frequency > 0 and monetary_value > 0").groupBy("frequency", "monetary_value").agg(
+    worthless = summary.filter("frequency > 0 and not coalesce(monetary_value > 0, false)").count()
+    if worthless:
+        raise ValueError(f"{worthless} repeat customers have no positive purchase value; the value model needs one")
+    values = summary.filter("frequency > 0").groupBy("frequency", "monetary_value").agg(
         F.count("*").alias("weight"))
     repeat = materialize(spread(values, "frequency", "monetary_value"))
     p, q, v = fit_loglik(repeat, gamma_gamma_loglik, 3, penalty)
@@ -142,8 +146,12 @@ def fit(summary: DataFrame, penalty: float = PENALTY) -> LtvModel:
 
 
 def forecast(summary: DataFrame, model: LtvModel, days: int = FORECAST_DAYS, discount: float = DISCOUNT) -> DataFrame:
-    """Repeat customers with expected purchases, expected value and discounted value over the period."""
-    steps = [STEP_DAYS * i for i in range(1, days // STEP_DAYS + 1)]
+    """Repeat customers with expected purchases in the period, expected value of one, and discounted value.
+
+    Value is discounted month by month; a month that has begun counts as a whole one, so 20 days are valued as 30 and 75
+    as 90.
+    """
+    steps = [STEP_DAYS * i for i in range(1, -(-days // STEP_DAYS) + 1)]
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

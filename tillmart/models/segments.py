@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..functions import round_half_even, value_map
 from ..operators.aggregates import minmax_profile
 from ..operators.shared_storage import materialize, spread
 from .scaling import assemble, scale_parameters, standardize
 
+# The features, the seed and the number of restarts.
 DIMS = ["recency", "frequency", "monetary", "food_item_pct"]
-K, SEED, RESTARTS = 4, 42, 3
+K, SEED, RESTARTS = 4, 42, 10
+SIDE_BY_SIDE = 8  # fits that run at a time; each is a row of short jobs
 ELBOW_RANGE = range(2, 9)
 
 
@@ -33,16 +37,19 @@ def _vectors(features: DataFrame) -> DataFrame:
     return materialize(spread(assemble(segment_features(features), [f"{c}_z" for c in DIMS]), "customer_id"))
 
 
-def _best_fit(rows: DataFrame, k: int, restarts: int, seed: int) -> KMeansModel:
-    """The restart with the lowest within-cluster sum of squares."""
-    fits = [KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-4).fit(rows) for i in range(restarts)]
-    return min(fits, key=lambda m: m.summary.trainingCost)
+def _best_fits(rows: DataFrame, ks: Sequence[int], restarts: int, seed: int) -> list[KMeansModel]:
+    """For each k the restart with the lowest within-cluster sum of squares; the fits run side by side."""
+    fit = inheritable_thread_target(rows.sparkSession)(
+        lambda job: KMeans(k=job[0], seed=seed + job[1], maxIter=300, tol=1e-4).fit(rows))
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        fits = list(pool.map(fit, [(k, i) for k in ks for i in range(restarts)]))
+    return [min(fits[n * restarts:(n + 1) * restarts], key=lambda m: m.summary.trainingCost) for n in range(len(ks))]
 
 
 def kmeans_segments(features: DataFrame, k: int = K, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
     """Customers with their cluster. Clusters are named by descending size, so that names do not depend on seeds."""
     rows = _vectors(features)
-    model = _best_fit(rows, k, restarts, seed)
+    model = _best_fits(rows, [k], restarts, seed)[0]
     by_size = sorted(range(k), key=lambda c: (-model.summary.clusterSizes[c], c))
     names = {str(c): f"Cluster {i}" for i, c in enumerate(by_size)}
     return model.transform(rows).select(
@@ -50,15 +57,16 @@ def kmeans_segments(features: DataFrame, k: int = K, restarts: int = RESTARTS, s
         value_map(F.col("prediction").cast("string"), names).alias("cluster"))
 
 
-def elbow(features: DataFrame, ks: Sequence[int] = ELBOW_RANGE, restarts: int = 1, seed: int = SEED) -> DataFrame:
-    """Inertia and silhouette for each k. The silhouette uses squared distances, which takes linear time."""
+def elbow(features: DataFrame, ks: Sequence[int] = ELBOW_RANGE, restarts: int = RESTARTS, seed: int = SEED
+          ) -> DataFrame:
+    """Inertia and silhouette for each k. The silhouette uses squared distances, which takes linear time; the one of
+    plain distances needs all pairs."""
     rows = _vectors(features)
     judge = ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean")
     out = []
-    for k in ks:
-        model = _best_fit(rows, k, restarts, seed)
+    for k, model in zip(ks, _best_fits(rows, ks, restarts, seed)):
         out.append((k, float(model.summary.trainingCost), round(judge.evaluate(model.transform(rows)), 3)))
-    return features.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double")
+    return features.sparkSession.createDataFrame(out, "k int, inertia double, silhouette_squared double")
 
 
 def cluster_profiles(segments: DataFrame) -> DataFrame:

@@ -32,6 +32,8 @@ def hyp2f1(a, b, c, z, max_terms: int = 100_000) -> np.ndarray:
         total = total + term
         if np.all(np.abs(term) <= 1e-16 * np.abs(total) * (1 - z)):
             break
+    else:
+        raise ArithmeticError(f"the series has not converged after {max_terms} terms")
     return (1 - z) ** (c - a - b) * total
 
 
@@ -64,4 +66,6 @@ def minimize(losses: Callable[[np.ndarray], np.ndarray], start: np.ndarray, h: f
         at = at + lengths[best] * step
         if f[0] - trial[best] < tol * max(1.0, abs(f[0])):
             break
+    else:
+        raise ArithmeticError(f"no minimum after {max_iter} steps")
     return at

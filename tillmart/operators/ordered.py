@@ -14,28 +14,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared_storage import materialize
+from .shared_storage import new_folder
 
 ROW_BITS = 33  # monotonically_increasing_id: partition number above 33 bits of row position
 
 
-def _sorted(df: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, bool]:
-    """Range-sort and store the rows with their partition number and position; also, is there only one partition.
+def _sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Range-sort and store the rows with their partition number and position.
 
-    Stored because the partition bounds are sampled: both passes below must see the same ones. A small input ends in
-    one partition, which needs nothing from earlier ones.
+    Stored because the partition bounds are sampled: both passes below must see the same ones. Stored as Parquet, so a
+    pass reads only the columns it needs.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    stored = materialize(ranged.withColumn("_row", F.monotonically_increasing_id()))
-    rows = (stored.withColumn("_part", F.shiftright("_row", ROW_BITS))
-            .withColumn("_pos", F.col("_row").bitwiseAND((1 << ROW_BITS) - 1)))
-    return rows, stored.rdd.getNumPartitions() == 1
+    row = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", row)
+    numbered = (ranged.withColumn("_part", F.shiftright("_row", ROW_BITS))
+                .withColumn("_pos", F.col("_row").bitwiseAND((1 << ROW_BITS) - 1)).drop("_row"))
+    folder = new_folder(df.sparkSession, "sorted")
+    numbered.write.parquet(folder)
+    return df.sparkSession.read.schema(numbered.schema).parquet(folder)
 
 
-def _with_earlier(rows: DataFrame, alone: bool, weight: Column) -> DataFrame:
+def _with_earlier(rows: DataFrame, weight: Column) -> DataFrame:
     """Add ``_before`` (weight in earlier partitions) and ``_all`` (total weight)."""
-    if alone:
-        return rows.withColumn("_before", F.lit(0)).withColumn("_all", F.sum(weight).over(W.partitionBy("_part")))
     per_part = rows.groupBy("_part").agg(F.sum(weight).alias("_w"))
     ahead = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
     whole = W.orderBy("_part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -47,32 +47,31 @@ def _with_earlier(rows: DataFrame, alone: bool, weight: Column) -> DataFrame:
 def number_rows(df: DataFrame, order: Sequence[Column], name: str = "row_number", total: str | None = None
                 ) -> DataFrame:
     """``row_number() over (order by ...)``; ``total`` also adds the row count. ``order`` must be unique."""
-    rows = _with_earlier(*_sorted(df, order), F.lit(1))
+    rows = _with_earlier(_sorted(df, order), F.lit(1))
     out = rows.withColumn(name, (F.col("_before") + F.col("_pos") + 1).cast("bigint"))
     if total:
         out = out.withColumn(total, F.col("_all").cast("bigint"))
-    return out.drop("_row", "_part", "_pos", "_before", "_all")
+    return out.drop("_part", "_pos", "_before", "_all")
 
 
 def prefix_sum(df: DataFrame, order: Sequence[Column], value: str, name: str, total: str | None = None,
                position: str | None = None, count: str | None = None) -> DataFrame:
     """``sum(value) over (order by ... rows unbounded preceding)``, optionally with the grand total, the row number
     and the row count."""
-    stored, alone = _sorted(df, order)
-    rows = _with_earlier(stored, alone, F.col(value))
+    rows = _with_earlier(_sorted(df, order), F.col(value))
     inside = W.partitionBy("_part").orderBy("_pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     out = rows.withColumn(name, F.col("_before") + F.sum(value).over(inside))
     if total:
         out = out.withColumn(total, F.col("_all"))
     out = out.drop("_before", "_all")
     if position or count:
-        out = _with_earlier(out, alone, F.lit(1))
+        out = _with_earlier(out, F.lit(1))
         if position:
             out = out.withColumn(position, (F.col("_before") + F.col("_pos") + 1).cast("bigint"))
         if count:
             out = out.withColumn(count, F.col("_all").cast("bigint"))
         out = out.drop("_before", "_all")
-    return out.drop("_row", "_part", "_pos")
+    return out.drop("_part", "_pos")
 
 
 def _heads(rows: DataFrame, by: Sequence[str], carry: str, value: str | None = None) -> DataFrame:
@@ -93,10 +92,8 @@ def number_rows_within(df: DataFrame, by: Sequence[str], order: Sequence[Column]
 
     Rows are numbered per (partition, group); a group that began in an earlier partition goes on from its count.
     """
-    rows, alone = _sorted(df, [F.col(b).asc_nulls_last() for b in by] + list(order))
+    rows = _sorted(df, [F.col(b).asc_nulls_last() for b in by] + list(order))
     local = F.row_number().over(W.partitionBy("_part", *by).orderBy("_pos"))
-    if alone:
-        return rows.withColumn(name, local.cast("bigint")).select(*df.columns, name)
     head = _heads(rows, by, "_carry")
     in_head = _all_equal([(b, f"_h{i}") for i, b in enumerate(by)])
     number = local + F.when(in_head, F.col("_carry")).otherwise(0)
@@ -113,10 +110,8 @@ def rank_rows(df: DataFrame, value: str, name: str, by: Sequence[str] = (), *, d
     """
     key = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
     order = [F.col(b).asc_nulls_last() for b in by] + [key] + [F.col(t).asc_nulls_last() for t in tie_break]
-    rows, alone = _sorted(df, order)
+    rows = _sorted(df, order)
     local = F.rank().over(W.partitionBy("_part", *by).orderBy(key))
-    if alone:
-        return rows.withColumn(name, local.cast("bigint")).select(*df.columns, name)
     keys = [*by, value]
     first_values = rows.filter("_pos = 0").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
     tied = rows.join(F.broadcast(first_values),  # at most one row per partition

@@ -13,13 +13,18 @@ def _date(d: str | dt.date) -> Column:
     return F.lit(dt.date.fromisoformat(str(d))).cast("timestamp_ntz")
 
 
-def scope(orders: DataFrame, locations: DataFrame, start: str | dt.date, end: str | dt.date,
-          names: Sequence[str] | None = None) -> DataFrame:
-    """Orders in the inclusive date range at the named locations (all when empty), with the location name."""
+def scope(orders: DataFrame, locations: DataFrame, start: str | dt.date | None = None,
+          end: str | dt.date | None = None, names: Sequence[str] | None = None) -> DataFrame:
+    """Orders in the inclusive date range (open at an end that is not given) at the named locations (all when empty),
+    with the location name."""
     dims = locations.select("location_id", "location_name")
     if names:
         dims = dims.filter(F.col("location_name").isin(list(names)))
-    return orders.filter(F.col("ordered_at").between(_date(start), _date(end))).join(dims, "location_id")
+    if start is not None:
+        orders = orders.filter(F.col("ordered_at") >= _date(start))
+    if end is not None:
+        orders = orders.filter(F.col("ordered_at") <= _date(end))
+    return orders.join(dims, "location_id")
 
 
 def prior_year(day: str | dt.date) -> dt.date:

@@ -10,7 +10,7 @@ from ..functions import month_key, months_between_boundaries, ratio_pct, round_h
 from ..operators.aggregates import lag_growth
 from ..operators.ordered import exact_medians, ntile_rows, rank_rows
 from ..operators.shared_storage import materialize
-from .facts import product_sales
+from .facts import product_sales, unit_costs
 
 
 def revenue_trends(orders: DataFrame) -> DataFrame:
@@ -63,13 +63,17 @@ def bcg_quadrants(cogs: DataFrame) -> DataFrame:
 
 
 def location_benchmark(orders: DataFrame, locations: DataFrame) -> DataFrame:
-    """Location by month: growth, 3-month moving average, rank within the month."""
+    """Location by month: growth, 3-month moving average, rank within the month.
+
+    Orders at locations that the location table does not know form one series without an id.
+    """
     month = truncate_to("ordered_at", "month")
-    monthly = orders.groupBy("location_id", month.alias("month")).agg(
+    dims = locations.select(F.col("location_id").alias("_known"), "location_name", "opened_date")
+    monthly = orders.join(dims, F.col("location_id") == F.col("_known"), "left").groupBy(
+        F.col("_known").alias("location_id"), "location_name", "opened_date", month.alias("month")).agg(
         F.count("order_id").alias("orders"), F.sum("order_total").alias("revenue"),
         F.countDistinct("customer_id").alias("unique_customers"))
-    facts = (monthly.join(locations.select("location_id", "location_name", "opened_date"), "location_id", "left")
-             .withColumn("aov", round_half_away(safe_div("revenue", "orders"), 2))
+    facts = (monthly.withColumn("aov", round_half_away(safe_div("revenue", "orders"), 2))
              .withColumn("months_since_open", months_between_boundaries("opened_date", "month")))
     by_month = W.partitionBy("location_id").orderBy("month")  # one row per calendar month
     last3 = by_month.rowsBetween(-2, 0)
@@ -96,13 +100,15 @@ SEGMENT_ACTIONS = {
 
 def rfm_scores(features: DataFrame) -> DataFrame:
     """Quintile scores for recency, frequency and spend; ties are broken by customer id."""
-    raw = features.filter("count_lifetime_orders is not null").select(
+    scored = raw = materialize(features.filter("count_lifetime_orders is not null").select(  # read for each score
         "customer_id", "customer_name", F.col("days_since_last_order").alias("recency_days"),
-        F.col("count_lifetime_orders").alias("frequency"), F.col("lifetime_spend").alias("monetary"))
-    tie = F.col("customer_id").asc()
-    scored = ntile_rows(raw, 5, [F.col("recency_days").desc_nulls_last(), tie], "r_score")
-    scored = ntile_rows(scored, 5, [F.col("frequency").asc_nulls_last(), tie], "f_score")
-    return ntile_rows(scored, 5, [F.col("monetary").asc_nulls_last(), tie], "m_score")
+        F.col("count_lifetime_orders").alias("frequency"), F.col("lifetime_spend").alias("monetary")))
+    for column, order, name in (("recency_days", F.col("recency_days").desc_nulls_last(), "r_score"),
+                                ("frequency", F.col("frequency").asc_nulls_last(), "f_score"),
+                                ("monetary", F.col("monetary").asc_nulls_last(), "m_score")):
+        score = ntile_rows(raw.select("customer_id", column), 5, [order, F.col("customer_id").asc()], name)
+        scored = scored.join(score.select("customer_id", name), "customer_id")
+    return scored
 
 
 def rfm_segments(features: DataFrame) -> DataFrame:
@@ -124,17 +130,16 @@ def rfm_segments(features: DataFrame) -> DataFrame:
             .orderBy(F.col("rfm_total").desc(), F.col("monetary").desc(), "customer_id"))
 
 
-def margin_erosion(order_items: DataFrame, cogs: DataFrame) -> DataFrame:
+def margin_erosion(order_items: DataFrame, supplies: DataFrame) -> DataFrame:
     """Product by month: margin, its change, the declining flag and the perishable-risk rank in the month.
 
-    Takes the item mart or monthly sales.
+    Takes the item mart or monthly sales, and the supplies.
     """
     monthly = product_sales(order_items, True).select(
         "product_id", "product_name", "is_food_item", "month", F.col("total_revenue").alias("revenue"),
         F.col("total_supply_cost").alias("supply_cost"), "units_sold")
-    unit = cogs.select("product_id", "perishable_cost_per_unit", "non_perishable_cost_per_unit")
     perishable = (F.col("perishable_cost_per_unit") * F.col("units_sold").cast("decimal(18,0)")).cast("decimal(38,2)")
-    facts = (monthly.join(unit, "product_id", "left")
+    facts = (monthly.join(unit_costs(supplies), "product_id", "left")
              .withColumn("monthly_perishable_cost", perishable)
              .withColumn("gross_profit", F.col("revenue") - F.col("supply_cost"))
              .withColumn("gross_margin_pct", ratio_pct("gross_profit", "revenue", 1))

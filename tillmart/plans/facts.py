@@ -68,18 +68,22 @@ def product_performance(order_items: DataFrame) -> DataFrame:
     return rank_rows(monthly, "total_revenue", "revenue_rank_in_month", ["month"], tie_break=["product_id"])
 
 
-def supply_cogs(order_items: DataFrame, supplies: DataFrame) -> DataFrame:
-    """Cost of goods per product, split into perishable and other supplies; takes the item mart or sales."""
+def unit_costs(supplies: DataFrame) -> DataFrame:
+    """Perishable and other supply cost of one unit of each product."""
     perishable = F.col("is_perishable_supply")
     zero = F.lit(0).cast("decimal(16,2)")
-    breakdown = supplies.groupBy("product_id").agg(
+    return supplies.groupBy("product_id").agg(
         F.sum(F.when(perishable, F.col("supply_cost")).otherwise(zero)).alias("perishable_cost_per_unit"),
         F.sum(F.when(~perishable, F.col("supply_cost")).otherwise(zero)).alias("non_perishable_cost_per_unit"))
+
+
+def supply_cogs(order_items: DataFrame, supplies: DataFrame) -> DataFrame:
+    """Cost of goods per product, split into perishable and other supplies; takes the item mart or sales."""
     profit = F.col("total_revenue") - F.col("total_supply_cost")
     units = F.col("units_sold").cast("decimal(18,0)")
     perishable_total = (F.col("perishable_cost_per_unit") * units).cast("decimal(38,2)")
     other_total = (F.col("non_perishable_cost_per_unit") * units).cast("decimal(38,2)")
-    return product_sales(order_items, False).join(breakdown, "product_id", "left").select(
+    return product_sales(order_items, False).join(unit_costs(supplies), "product_id", "left").select(
         "product_id", "product_name",
         F.when(F.col("is_food_item"), "food").otherwise("beverage").alias("product_type"),
         "units_sold", "total_revenue", "total_supply_cost",
@@ -116,10 +120,10 @@ def cohorts(customers: DataFrame, orders: DataFrame) -> DataFrame:
     base = customers.filter(F.col("first_ordered_at").isNotNull()).select(
         "customer_id", truncate_to("first_ordered_at", "month").alias("cohort_month"))
     activity = orders.select("customer_id", truncate_to("ordered_at", "month").alias("activity_month")).distinct()
-    sizes = base.groupBy("cohort_month").agg(F.countDistinct("customer_id").alias("cohort_size"))
+    sizes = base.groupBy("cohort_month").agg(F.count("*").alias("cohort_size"))  # one row per customer
     active = (base.join(activity, "customer_id").filter(F.col("activity_month") >= F.col("cohort_month"))
               .groupBy("cohort_month", "activity_month")
-              .agg(F.countDistinct("customer_id").alias("active_customers")))
+              .agg(F.count("*").alias("active_customers")))  # one row per customer and month
     return active.join(sizes, "cohort_month", "left").select(
         "cohort_month", "activity_month",
         months_between_boundaries("cohort_month", "activity_month").alias("months_since_first_order"),

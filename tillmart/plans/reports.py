@@ -151,8 +151,8 @@ def product_ranking(cogs: DataFrame) -> DataFrame:
     return cogs.select("product_name", "product_type", "units_sold",
                        round_half_away("total_revenue", 0).alias("revenue"),
                        round_half_away("gross_margin_pct", 1).alias("margin_pct"),
-                       round_half_away("perishable_pct_of_revenue", 1).alias("perishable_risk_pct"),
-                       ).orderBy(F.col("margin_pct").desc_nulls_last(), "product_name")
+                       round_half_away("perishable_pct_of_revenue", 1).alias("perishable_risk_pct"), "gross_margin_pct",
+                       ).orderBy(F.col("gross_margin_pct").desc_nulls_last(), "product_name").drop("gross_margin_pct")
 
 
 def perishable_risk(cogs: DataFrame) -> DataFrame:
@@ -169,9 +169,10 @@ QUADRANT_STRATEGY = {
 }
 
 
-def quadrant_summary(bcg: DataFrame) -> DataFrame:
-    """Products, revenue and mean margin per quadrant. Margins have two decimals and are averaged exactly."""
-    return (bcg.groupBy("bcg_quadrant").agg(
+def quadrant_summary(bcg: DataFrame, cogs: DataFrame) -> DataFrame:
+    """Products, revenue and mean margin per quadrant, from the unrounded facts. Margins have two decimals and are
+    averaged exactly."""
+    return (cogs.join(bcg.select("product_id", "bcg_quadrant"), "product_id").groupBy("bcg_quadrant").agg(
         F.count("product_name").alias("products"), round_half_even(F.sum("total_revenue"), 0).alias("total_revenue"),
         round_half_even(safe_div(F.sum(F.col("gross_margin_pct").cast("decimal(16,2)")),
                                  F.count("gross_margin_pct")), 1).alias("avg_margin"))
@@ -334,13 +335,18 @@ def churn_breakdown(features: DataFrame) -> DataFrame:
 
 
 def dataset_overview(orders: DataFrame, order_items: DataFrame) -> DataFrame:
+    """Counts and totals; each distinct count is an aggregate of its own, whose groups are spread over tasks."""
     items = order_items.agg(F.count("*")).scalar()
+
+    def known(column: str):
+        return orders.select(column).filter(F.col(column).isNotNull()).distinct().agg(F.count("*")).scalar()
+
     return orders.agg(
-        F.countDistinct("customer_id").alias("customers"), F.countDistinct("order_id").alias("orders"),
-        F.countDistinct("location_id").alias("active_locations"),
+        F.count("order_id").alias("orders"),  # one row per order
         F.min("ordered_at").alias("first_order"), F.max("ordered_at").alias("last_order"),
         F.sum("order_total").alias("total_revenue"), F.count("order_total").alias("_n"),
-    ).withColumn("line_items", items).withColumn(
+    ).withColumn("line_items", items).withColumn("customers", known("customer_id")).withColumn(
+        "active_locations", known("location_id")).withColumn(
         "avg_order_value", round_half_away(safe_div("total_revenue", "_n"), 2)).withColumn(
         "avg_ltv", round_half_away(safe_div("total_revenue", "customers"), 2)).drop("_n")
 
