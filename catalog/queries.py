@@ -868,6 +868,91 @@ def _(spark, d):
     return metrics.metric_query(_revenue_marts(spark, d), ["revenue", "orders", "median_revenue"], grain="week")
 
 
+_ITEMS = "m_order_items JOIN m_orders o USING (order_id)"
+
+
+@query("metric_revenue_by_location", with_ctes(f"""SELECT location_name, sum(product_price)::DOUBLE AS revenue
+    FROM {_ITEMS} LEFT JOIN stg_locations USING (location_id) GROUP BY 1"""))
+def _(spark, d):
+    return metrics.metric_query(_revenue_marts(spark, d), ["revenue"], ["location_name"])
+
+
+@query("metric_revenue_by_customer_type", with_ctes(f"""SELECT customer_type, date_trunc('quarter', o.ordered_at)
+    AS metric_time, sum(product_price)::DOUBLE AS revenue, {div(
+        'sum(CASE WHEN is_food_item THEN product_price ELSE 0 END)', 'sum(product_price)')} AS food_revenue_pct
+    FROM {_ITEMS} LEFT JOIN m_customers USING (customer_id) GROUP BY 1, 2"""))
+def _(spark, d):
+    return metrics.metric_query(_revenue_marts(spark, d), ["revenue", "food_revenue_pct"], ["customer_type"], "quarter")
+
+
+@query("metric_revenue_by_three", with_ctes(f"""SELECT product_type, location_name, is_food_order, customer_order_number,
+    sum(product_price)::DOUBLE AS revenue FROM {_ITEMS} LEFT JOIN stg_locations USING (location_id)
+    LEFT JOIN (SELECT product_id, product_type FROM stg_products) USING (product_id) GROUP BY 1, 2, 3, 4"""))
+def _(spark, d):
+    return metrics.metric_query(_revenue_marts(spark, d), ["revenue"],
+                                ["product_type", "location_name", "is_food_order", "customer_order_number"])
+
+
+@query("metric_median_by_customer_type", with_ctes(f"""SELECT customer_type, median(product_price::DOUBLE)
+    AS median_revenue FROM {_ITEMS} LEFT JOIN m_customers USING (customer_id) GROUP BY 1"""))
+def _(spark, d):
+    return metrics.metric_query(_revenue_marts(spark, d), ["median_revenue"], ["customer_type"])
+
+
+@query("metric_growth_by_product_type", with_ctes(f"""
+  WITH m AS (SELECT product_type AS k, date_trunc('month', ordered_at) AS t, sum(product_price) AS r FROM m_order_items
+             LEFT JOIN (SELECT product_id, product_type FROM stg_products) USING (product_id) GROUP BY 1, 2)
+  SELECT m.k AS product_type, m.t AS metric_time, m.r::DOUBLE AS current_revenue, p.r::DOUBLE AS revenue_prev_month,
+         {div('(m.r - p.r) * 100', 'p.r')} AS revenue_growth_mom
+  FROM m LEFT JOIN m p ON p.t = m.t - INTERVAL 1 MONTH AND p.k IS NOT DISTINCT FROM m.k"""))
+def _(spark, d):
+    return metrics.revenue_growth_mom(_revenue_marts(spark, d), "month", ["product_type"])
+
+
+@query("metric_gross_profit_by_location", with_ctes(f"""
+  SELECT location_name, r::DOUBLE AS revenue, c::DOUBLE AS order_cost, (r - c)::DOUBLE AS order_gross_profit
+  FROM (SELECT location_name, sum(product_price) AS r FROM {_ITEMS} LEFT JOIN stg_locations USING (location_id) GROUP BY 1)
+  FULL JOIN (SELECT location_name, sum(order_cost) AS c FROM m_orders LEFT JOIN stg_locations USING (location_id)
+             GROUP BY 1) USING (location_name)"""))
+def _(spark, d):
+    return metrics.order_gross_profit(_revenue_marts(spark, d), None, ["location_name"])
+
+
+_RUNNING = """
+  s AS (SELECT unnest(generate_series(min(ordered_at), max(ordered_at), INTERVAL 1 DAY)) AS t FROM m_order_items)"""
+
+
+@query("metric_cumulative_monthly", with_ctes(f"""
+  WITH {_RUNNING}, r AS (SELECT ordered_at AS t, sum(product_price) AS v FROM m_order_items GROUP BY 1)
+  SELECT date_trunc('month', t) AS metric_time, max_by(c, t)::DOUBLE AS cumulative_revenue
+  FROM (SELECT s.t, sum(v) OVER (ORDER BY s.t) AS c FROM s LEFT JOIN r ON r.t = s.t) GROUP BY 1"""))
+def _(spark, d):
+    return metrics.cumulative_revenue(_revenue_marts(spark, d), "month")
+
+
+@query("metric_cumulative_by_type", with_ctes(f"""
+  WITH {_RUNNING}, r AS (SELECT is_food_item AS k, ordered_at AS t, sum(product_price) AS v FROM m_order_items
+                         WHERE ordered_at IS NOT NULL GROUP BY 1, 2)
+  SELECT k AS is_food_item, s.t AS metric_time, (sum(v) OVER (PARTITION BY k ORDER BY s.t))::DOUBLE AS cumulative_revenue
+  FROM (SELECT DISTINCT k FROM r) ks CROSS JOIN s LEFT JOIN r USING (k, t)"""))
+def _(spark, d):
+    return metrics.cumulative_revenue(_revenue_marts(spark, d), "day", ["is_food_item"])
+
+
+@query("metric_filtered_where", with_ctes(f"""SELECT location_name, sum(product_price)::DOUBLE AS revenue
+    FROM {_ITEMS} LEFT JOIN stg_locations USING (location_id) LEFT JOIN m_customers USING (customer_id)
+    WHERE customer_type = 'returning' AND o.order_total >= 20 GROUP BY 1"""))
+def _(spark, d):
+    return metrics.metric_query(_revenue_marts(spark, d), ["revenue"], ["location_name"],
+                                where="customer_type = 'returning' and order_total_dim >= 20")
+
+
+@query("metric_dimension_values", with_ctes("""SELECT DISTINCT supply_name, is_perishable_supply,
+    supply_cost::DOUBLE AS supply_cost FROM stg_supplies"""))
+def _(spark, d):
+    return metrics.dimension_values(_marts(spark, d), "supplies", ["supply_name", "is_perishable_supply", "supply_cost"])
+
+
 @query("saved_order_metrics", ORACLES["export_order_metrics"])
 def _(spark, d):
     return metrics.saved_query(_revenue_marts(spark, d), "order_metrics")

@@ -144,17 +144,20 @@ def ntile_rows(df: DataFrame, tiles: int, order: Sequence[Column], name: str) ->
     return numbered.withColumn(name, tile.cast("bigint")).drop("_r", "_total")
 
 
-def exact_quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
-                    ) -> DataFrame:
+def exact_quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
+                    weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation: columns ``<value>_q<i>``, one row per group of ``by``.
 
+    ``weight`` names a column that tells how often the row's values occur.
+
     Equal values are counted before the sort, so neither a frequent value nor a large group reaches one task.
     """
-    long = df.select(*by, F.explode(F.array(*[
+    times = F.lit(1) if weight is None else F.col(weight)
+    long = df.select(*by, times.alias("_times"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("_which"), F.col(v).cast("double").alias("_value")) for i, v in enumerate(values)
-    ])).alias("_s")).select(*by, "_s.*").filter("_value is not null")
+    ])).alias("_s")).select(*by, "_times", "_s.*").filter("_value is not null")
     keys = [*by, "_which"]
-    counted = long.groupBy(*keys, "_value").agg(F.count("*").alias("_count"))
+    counted = long.groupBy(*keys, "_value").agg(F.sum("_times").alias("_count"))
     order = [F.col(k).asc_nulls_last() for k in [*keys, "_value"]]
     running = prefix_sum(counted, order, "_count", "_to").withColumn("_from", F.col("_to") - F.col("_count"))
 
@@ -181,6 +184,7 @@ def exact_quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float]
     return found.groupBy(*by).agg(*result)
 
 
-def exact_medians(df: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def exact_medians(df: DataFrame, values: Sequence[str], by: Sequence[str] = (), weight: str | None = None
+                  ) -> DataFrame:
     """Exact medians of several numeric columns under their own names, one row per group of ``by``."""
-    return exact_quantiles(df, values, [0.5], by).select(*by, *[F.col(f"{v}_q0").alias(v) for v in values])
+    return exact_quantiles(df, values, [0.5], by, weight).select(*by, *[F.col(f"{v}_q0").alias(v) for v in values])

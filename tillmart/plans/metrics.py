@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -43,59 +44,150 @@ RATIOS = {
     "food_revenue_pct": ("food_revenue", "revenue"), "drink_revenue_pct": ("drink_revenue", "revenue"),
     "average_order_value": ("lifetime_spend_pretax", "count_lifetime_orders"),
 }
-# Dimension -> (mart that holds it, entity key shared with the measured mart).
+# Mart -> foreign key -> mart it leads to.
+FOREIGN = {
+    "order_items": {"order_id": "orders", "product_id": "products"},
+    "orders": {"location_id": "locations", "customer_id": "customers"},
+}
+# Mart -> dimension -> column.
 DIMENSIONS = {
-    "location_name": ("locations", "location_id"), "opened_date": ("locations", "location_id"),
-    "customer_name": ("customers", "customer_id"), "customer_type": ("customers", "customer_id"),
-    "product_name": ("products", "product_id"), "product_type": ("products", "product_id"),
-    "product_description": ("products", "product_id"),
+    "order_items": {d: d for d in ("order_item_id", "order_id", "product_id", "is_food_item", "is_drink_item")},
+    "orders": {"order_total_dim": "order_total", **{d: d for d in (
+        "order_id", "location_id", "customer_id", "is_food_order", "is_drink_order", "customer_order_number")}},
+    "customers": {d: d for d in ("customer_id", "customer_name", "customer_type", "first_ordered_at", "last_ordered_at")},
+    "locations": {d: d for d in ("location_id", "location_name", "opened_date")},
+    "products": {d: d for d in ("product_id", "product_name", "product_type", "product_description", "product_price",
+                                "is_food_item", "is_drink_item")},
+    "supplies": {d: d for d in ("supply_id", "product_id", "supply_name", "supply_cost", "is_perishable_supply")},
 }
 METRIC_TIME_KEY = "metric_time"
+#: Aggregates whose partial results add up.
+ADDITIVE = (F.sum, F.count, F.count_if)
 
 
-def _dated(marts: dict[str, DataFrame], mart: str, dims: Sequence[str], grain: str | None) -> DataFrame:
-    """The mart with the dimensions joined by entity key and the time truncated to the grain."""
-    df = marts[mart]
-    for dim in dims:
-        if dim not in df.columns:
-            holder, key = DIMENSIONS[dim]
-            df = df.join(marts[holder].select(key, dim), key, "left")
-    return df.withColumn(METRIC_TIME_KEY, truncate_to(METRIC_TIME[mart], grain)) if grain else df
+def _paths(mart: str, dims: Sequence[str]) -> dict[str, list[str]]:
+    """For each dimension the foreign keys that lead from the mart to it; the shortest path counts."""
+    found: dict[str, list[str]] = {}
+    reached = [(mart, [])]
+    for holder, path in reached:
+        for dim in dims:
+            if dim in DIMENSIONS[holder]:
+                found.setdefault(dim, path)
+        reached += [(other, [*path, key]) for key, other in FOREIGN.get(holder, {}).items()]
+    if missing := [d for d in dims if d not in found]:
+        raise KeyError(f"{mart} has no way to the dimensions {missing}")
+    return found
 
 
-def _aggregate(marts, mart, names, dims, grain) -> DataFrame:
-    keys = [*dims, *([METRIC_TIME_KEY] if grain else [])]
-    aggs = []
-    for name in names:
-        _, fn, expr = SIMPLE[name]
-        aggs.append(fn(F.lit(1) if expr == "*" else F.expr(expr)).alias(name))
-    return _dated(marts, mart, dims, grain).groupBy(*keys).agg(*aggs)
+def _grouped(marts: dict[str, DataFrame], mart: str, rows: DataFrame, dims: Sequence[str], others: Sequence[str],
+             parts: Sequence[str]) -> DataFrame:
+    """Sums of ``parts`` by ``dims`` and ``others`` (columns of ``rows``).
+
+    Rows are summed by the keys of the mart before anything joins, and again after each join, so a join sees a row per
+    key and group, not one per row of the mart.
+    """
+    paths = _paths(mart, dims)
+    sums = [F.sum(p).alias(p) for p in parts]
+    own = [F.col(DIMENSIONS[mart][d]).alias(d) for d, path in paths.items() if not path]
+    keys = sorted({path[0] for path in paths.values() if path})
+    out = rows.groupBy(*own, *[F.col(k).alias(f"_key_{k}") for k in keys], *others).agg(*sums)
+    here = [d for d, path in paths.items() if not path]
+    for i, key in enumerate(keys):
+        holder, there = FOREIGN[mart][key], [d for d, path in paths.items() if path[:1] == [key]]
+        inner = sorted({paths[d][1] for d in there if len(paths[d]) > 1})
+        near = [d for d in there if len(paths[d]) == 1]
+        dim = marts[holder].select(F.col(key).alias("_dim"), *[F.col(DIMENSIONS[holder][d]).alias(d) for d in near],
+                                   *[F.col(k).alias(f"_key_{k}") for k in inner])
+        out = out.join(dim, out[f"_key_{key}"] == dim["_dim"], "left").drop("_dim", f"_key_{key}")
+        here += near
+        left = [f"_key_{k}" for k in [*keys[i + 1:], *inner]]
+        out = out.groupBy(*here, *left, *others).agg(*sums)
+        for far in inner:
+            last = [d for d in there if paths[d][1:] == [far]]
+            names = marts[FOREIGN[holder][far]].select(
+                F.col(far).alias("_dim"), *[F.col(DIMENSIONS[FOREIGN[holder][far]][d]).alias(d) for d in last])
+            out = out.join(names, out[f"_key_{far}"] == names["_dim"], "left").drop("_dim", f"_key_{far}")
+            here, left = here + last, [k for k in left if k != f"_key_{far}"]
+            out = out.groupBy(*here, *left, *others).agg(*sums)
+    return out.select(*dims, *others, *parts)
+
+
+def _joined(marts: dict[str, DataFrame], mart: str, dims: Sequence[str]) -> DataFrame:
+    """A small mart with dimensions joined to its rows, for aggregates that do not add up."""
+    paths, df = _paths(mart, dims), marts[mart]
+    for dim, path in paths.items():
+        if path:
+            (key,) = path
+            holder = FOREIGN[mart][key]
+            df = df.join(marts[holder].select(key, F.col(DIMENSIONS[holder][dim]).alias(dim)), key, "left")
+        elif DIMENSIONS[mart][dim] != dim:
+            df = df.withColumn(dim, F.col(DIMENSIONS[mart][dim]))
+    return df
+
+
+def _where_dims(where: str | None) -> list[str]:
+    known = {d for some in DIMENSIONS.values() for d in some}
+    return [w for w in dict.fromkeys(re.findall(r"[A-Za-z_]\w*", where or "")) if w in known]
+
+
+def _aggregate(marts, mart, names, dims, grain, where) -> DataFrame:
+    asked = list(dict.fromkeys([*dims, *_where_dims(where)]))
+    others = [METRIC_TIME_KEY] if grain else []
+    measures = {n: (SIMPLE[n][1], F.lit(1) if SIMPLE[n][2] == "*" else F.expr(SIMPLE[n][2])) for n in names}
+    if all(fn in ADDITIVE for fn, _ in measures.values()):
+        rows = _dated(marts[mart], mart, grain)
+        counted = rows.select("*", *[(value.cast("int") if fn is F.count_if else
+                                      value.isNotNull().cast("int") if fn is F.count else value).alias(f"_m_{n}")
+                                     for n, (fn, value) in measures.items()])
+        parts = [f"_m_{n}" for n in names]
+        grouped = _grouped(marts, mart, counted, asked, others, parts)
+        if where:
+            grouped = grouped.filter(where)
+        out = grouped.groupBy(*dims, *others).agg(*[
+            (F.coalesce(F.sum(f"_m_{n}"), F.lit(0)) if fn is not F.sum else F.sum(f"_m_{n}")).alias(n)
+            for n, (fn, _) in measures.items()])
+        return out
+    rows = _dated(_joined(marts, mart, asked), mart, grain)
+    return (rows.filter(where) if where else rows).groupBy(*dims, *others).agg(
+        *[fn(value).alias(n) for n, (fn, value) in measures.items()])
+
+
+def _dated(df: DataFrame, mart: str, grain: str | None) -> DataFrame:
+    return df.withColumn(METRIC_TIME_KEY, truncate_to(METRIC_TIME[mart], grain)) if grain else df
 
 
 def metric_query(marts: dict[str, DataFrame], metrics: Sequence[str], dims: Sequence[str] = (),
-                 grain: str | None = None) -> DataFrame:
-    """Metrics by dimensions and, with ``grain``, by ``metric_time``.
+                 grain: str | None = None, where: str | None = None) -> DataFrame:
+    """Metrics by dimensions and, with ``grain``, by ``metric_time``; ``where`` is SQL over any reachable dimensions.
 
     Metrics of one mart share one aggregation; results of different marts meet in a full join on the group keys.
     """
     wanted = list(dict.fromkeys(m for name in metrics for m in RATIOS.get(name, (name,))))
+    if unknown := [m for m in wanted if m not in SIMPLE and m not in MEDIANS]:
+        raise KeyError(f"unknown metrics {unknown}")
     keys = [*dims, *([METRIC_TIME_KEY] if grain else [])]
     parts = []
     for mart in METRIC_TIME:
         names = [m for m in wanted if m in SIMPLE and SIMPLE[m][0] == mart]
         if names:
-            parts.append(_aggregate(marts, mart, names, dims, grain))
+            parts.append(_aggregate(marts, mart, names, dims, grain, where))
     for name in (m for m in wanted if m in MEDIANS):
         mart, value = MEDIANS[name]
-        source = _dated(marts, mart, dims, grain).select(*keys, F.col(value).alias(name))
-        parts.append(exact_medians(source, [name], keys))
-    if unknown := [m for m in wanted if m not in SIMPLE and m not in MEDIANS]:
-        raise KeyError(f"unknown metrics {unknown}")
+        asked = list(dict.fromkeys([*dims, *_where_dims(where)]))
+        rows = _dated(marts[mart], mart, grain).withColumn("_value", F.col(value)).withColumn("_n", F.lit(1))
+        counts = _grouped(marts, mart, rows, asked, ["_value", *([METRIC_TIME_KEY] if grain else [])], ["_n"])
+        counts = (counts.filter(where) if where else counts).select(*keys, F.col("_value").alias(name), "_n")
+        parts.append(exact_medians(counts, [name], keys, weight="_n"))
     joined = reduce(lambda a, b: _full_join(a, b, keys), parts)
     out = [F.col(m) if m not in RATIOS else safe_div(*RATIOS[m]).alias(m) for m in metrics]
     return joined.select(*keys, *out)
 
 
+def dimension_values(marts: dict[str, DataFrame], mart: str, dims: Sequence[str]) -> DataFrame:
+    """The distinct values of dimensions that a mart has or leads to."""
+    return _grouped(marts, mart, marts[mart].withColumn("_n", F.lit(1)), dims, [], ["_n"]).select(*dims).distinct()
+
+
 def _full_join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     if not keys:  # one row each
         return a.select("*", *[b.select(c).scalar().alias(c) for c in b.columns])
@@ -106,37 +198,54 @@ def _full_join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
         *[c for c in a.columns if c not in keys], *[c for c in b.columns if not c.startswith("_b_")])
 
 
-def revenue_growth_mom(marts: dict[str, DataFrame], grain: str = "month") -> DataFrame:
+def _equal(a: DataFrame, b: DataFrame, pairs: Sequence[tuple[str, str]]):
+    return reduce(lambda x, y: x & y, [a[left].eqNullSafe(b[right]) for left, right in pairs])
+
+
+def revenue_growth_mom(marts: dict[str, DataFrame], grain: str = "month", dims: Sequence[str] = (),
+                       where: str | None = None) -> DataFrame:
     """Revenue against the value one month earlier, found by date, so a missing month gives NULL, not a wrong pair."""
-    current = metric_query(marts, ["revenue"], grain=grain)
-    shifted = current.select((F.col(METRIC_TIME_KEY) + F.expr("INTERVAL 1 MONTH")).alias(METRIC_TIME_KEY),
-                             F.col("revenue").alias("revenue_prev_month"))
-    if grain not in ("month", "quarter", "year"):  # 29 to 31 January all shift to 28 February
-        days = spine_over(current, METRIC_TIME_KEY).select(F.col("date_day").cast("timestamp_ntz")
-                                                           .alias(METRIC_TIME_KEY))
-        asked = days.withColumn("_then", (F.col(METRIC_TIME_KEY) - F.expr("INTERVAL 1 MONTH")))
-        past = current.select(F.col(METRIC_TIME_KEY).alias("_then"), F.col("revenue").alias("revenue_prev_month"))
-        shifted = asked.join(past, "_then").drop("_then")
-    growth = safe_div((F.col("revenue") - F.col("revenue_prev_month")) * 100, "revenue_prev_month")
-    return (current.withColumnRenamed("revenue", "current_revenue").withColumn("revenue", F.col("current_revenue"))
-            .join(shifted, METRIC_TIME_KEY, "left").withColumn("revenue_growth_mom", growth)
-            .select(METRIC_TIME_KEY, "current_revenue", "revenue_prev_month", "revenue_growth_mom"))
-
-
-def order_gross_profit(marts: dict[str, DataFrame], grain: str = "day") -> DataFrame:
-    """Item revenue minus order cost per period."""
-    both = metric_query(marts, ["revenue", "order_cost"], grain=grain)
+    current = metric_query(marts, ["revenue"], dims, grain, where)
+    # From the later period to the earlier one: 29 to 31 March all look back to 28 February.
+    asked = current.withColumn("_then", F.col(METRIC_TIME_KEY) - F.expr("INTERVAL 1 MONTH"))
+    past = current.select(*[F.col(d).alias(f"_p_{d}") for d in dims], F.col(METRIC_TIME_KEY).alias("_past"),
+                          F.col("revenue").alias("revenue_prev_month"))
+    pairs = [*[(d, f"_p_{d}") for d in dims]]
+    meet = (asked["_then"] == past["_past"]) & _equal(asked, past, pairs) if pairs else asked["_then"] == past["_past"]
+    growth = safe_div((F.col("current_revenue") - F.col("revenue_prev_month")) * 100, "revenue_prev_month")
+    return (asked.join(past, meet, "left").withColumnRenamed("revenue", "current_revenue")
+            .withColumn("revenue_growth_mom", growth)
+            .select(*dims, METRIC_TIME_KEY, "current_revenue", "revenue_prev_month", "revenue_growth_mom"))
+
+
+def order_gross_profit(marts: dict[str, DataFrame], grain: str | None = "day", dims: Sequence[str] = (),
+                       where: str | None = None) -> DataFrame:
+    """Item revenue minus order cost per period and by dimensions that both have or lead to."""
+    both = metric_query(marts, ["revenue", "order_cost"], dims, grain, where)
     return both.withColumn("order_gross_profit", F.col("revenue") - F.col("order_cost"))
 
 
-def cumulative_revenue(marts: dict[str, DataFrame]) -> DataFrame:
-    """Running revenue on every calendar day from the first to the last sale."""
-    daily = metric_query(marts, ["revenue"], grain="day").filter(F.col(METRIC_TIME_KEY).isNotNull())
+def cumulative_revenue(marts: dict[str, DataFrame], grain: str = "day", dims: Sequence[str] = (),
+                       where: str | None = None) -> DataFrame:
+    """Running revenue on every calendar day from the first to the last sale of all; a coarser grain shows the value of
+    the last day in each period that lies in that range."""
+    daily = metric_query(marts, ["revenue"], dims, "day", where).filter(F.col(METRIC_TIME_KEY).isNotNull())
     days = spine_over(marts["order_items"], "ordered_at").select(
         F.col("date_day").cast("timestamp_ntz").alias(METRIC_TIME_KEY))
-    by_day = W.orderBy(METRIC_TIME_KEY).rowsBetween(W.unboundedPreceding, 0)  # one row per calendar day
-    return days.join(daily, METRIC_TIME_KEY, "left").select(
-        METRIC_TIME_KEY, F.sum("revenue").over(by_day).alias("cumulative_revenue"))
+    if dims:  # a row for each group and day; groups are as many as the result has
+        ends = days.agg(F.struct(F.min(METRIC_TIME_KEY).alias("a"), F.max(METRIC_TIME_KEY).alias("b"))).scalar()
+        days = daily.select(*dims).distinct().withColumn(METRIC_TIME_KEY, F.explode(F.sequence(
+            ends.getField("a"), ends.getField("b"), F.expr("INTERVAL 1 DAY"))))
+    named = daily.select(*[F.col(c).alias(f"_d_{c}") for c in daily.columns])
+    meet = _equal(days, named, [(c, f"_d_{c}") for c in [*dims, METRIC_TIME_KEY]])
+    by_day = W.partitionBy(*dims).orderBy(METRIC_TIME_KEY).rowsBetween(W.unboundedPreceding, 0)  # one row per day
+    running = days.join(named, meet, "left").select(
+        *dims, METRIC_TIME_KEY, F.sum("_d_revenue").over(by_day).alias("cumulative_revenue"))
+    if grain == "day":
+        return running
+    return running.groupBy(*dims, truncate_to(METRIC_TIME_KEY, grain).alias("_period")).agg(
+        F.max_by("cumulative_revenue", METRIC_TIME_KEY).alias("cumulative_revenue")).withColumnRenamed(
+        "_period", METRIC_TIME_KEY)
 
 
 # Saved queries: name -> (metrics, dimensions, grain).
