@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillmart.functions import round_half_away
@@ -10,7 +12,7 @@ from tillmart.models import anomaly, churn, ltv, segments
 from tillmart.operators.shared_storage import materialize
 from tillmart.plans import facts
 
-from .oracles import div, rnd, with_ctes
+from .oracles import div, even, rnd, with_ctes
 
 _MEDIANS = ", ".join(f"median({c}::DOUBLE) AS m_{c}" for c in churn.FEATURES)
 _IMPUTED = ", ".join(f"coalesce({c}::DOUBLE, m_{c}) AS {c}" for c in churn.FEATURES)
@@ -106,6 +108,46 @@ def register(query, features, marts) -> None:
     def _(spark, d):
         return segments.elbow(features(spark, d))
 
+    centres = [[-0.8, 1.2, 1.1, 0.0], [1.5, -1.0, -1.1, 0.2], [0.0, 0.1, 0.0, 1.0], [0.2, -0.2, 0.1, -1.0]]
+    assigned_sql = f"""
+      WITH x AS (SELECT customer_id, days_since_last_order::DOUBLE AS recency, count_lifetime_orders::DOUBLE AS frequency,
+                        lifetime_spend::DOUBLE AS monetary, food_item_pct, coalesce(food_item_pct, 0) AS food
+                 FROM fct_customer_churn_features WHERE lifetime_spend > 0),
+      z AS (SELECT *, {", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z{i}" for i, c in enumerate(
+          ["recency", "frequency", "monetary", "food"]))} FROM x),
+      far AS (SELECT *, [{", ".join(" + ".join(f"(z{i} - ({v})) ** 2" for i, v in enumerate(c)) for c in centres)}] AS d
+              FROM z),
+      assigned AS (SELECT customer_id, recency, frequency, monetary, food_item_pct,
+                          'Cluster ' || (list_position(d, list_min(d)) - 1) AS cluster FROM far)"""
+
+    def assigned(spark, d) -> DataFrame:
+        return segments.assign_clusters(features(spark, d), centres)
+
+    query("cluster_assignment", with_ctes(assigned_sql + " SELECT * FROM assigned"))(assigned)
+
+    profiles_sql = assigned_sql + f""", profiles AS (SELECT cluster, count(*) AS customers,
+        {even('avg(recency)', 1)} AS avg_recency, {even('avg(frequency)', 1)} AS avg_frequency,
+        {even('avg(monetary)', 1)} AS avg_spend, {even('avg(food_item_pct)', 1)} AS avg_food_pct FROM assigned GROUP BY 1)"""
+
+    @query("cluster_assigned_profiles", with_ctes(profiles_sql + " SELECT * FROM profiles"))
+    def _(spark, d):
+        return segments.cluster_profiles(assigned(spark, d))
+
+    @query("cluster_assigned_radar", with_ctes(profiles_sql + " SELECT cluster, " + ", ".join(
+        ("1 - " if c == "avg_recency" else "") + div(f"{c} - min({c}) OVER ()", f"max({c}) OVER () - min({c}) OVER ()")
+        + f" AS {c}" for c in ("avg_recency", "avg_frequency", "avg_spend", "avg_food_pct")) + " FROM profiles"))
+    def _(spark, d):
+        return segments.cluster_radar(segments.cluster_profiles(assigned(spark, d)))
+
+    weights = {"days_since_last_order": 0.004, "count_lifetime_orders": -0.3, "avg_order_value": 0.0001}
+
+    @query("churn_logistic_scores", with_ctes("""SELECT customer_id, round(1 / (1 + exp(-(-0.5 + 0.004
+        * days_since_last_order - 0.3 * count_lifetime_orders + 0.0001 * avg_order_value))), 9) AS churn_probability
+        FROM fct_customer_churn_features"""))
+    def _(spark, d):
+        return churn.logistic_scores(features(spark, d), -0.5, weights).select(
+            "customer_id", F.round("churn_probability", 9).alias("churn_probability"))
+
     @query("cluster_profiles")
     def _(spark, d):
         return segments.cluster_profiles(segments.kmeans_segments(features(spark, d)))
@@ -140,6 +182,68 @@ def register(query, features, marts) -> None:
 
     query("ltv_forecast")(forecasts)
 
+    given = ltv.LtvModel(r=0.9, alpha=180.0, a=0.7, b=2.5, p=6.0, q=4.0, v=1500.0)
+    given_sql = f"""
+      WITH s AS ({summary_sql}),
+      g AS (SELECT *, frequency::DOUBLE AS x, [30, 60, 90] AS steps FROM s WHERE frequency > 0),
+      h AS (SELECT *, list_transform(steps, lambda u: list_sum(list_transform(range(0, 600), lambda n: exp(
+                lgamma(0.9 + x + n) - lgamma(0.9 + x) + lgamma(2.5 + x + n) - lgamma(2.5 + x) - lgamma(2.2 + x + n)
+                + lgamma(2.2 + x) - lgamma(n + 1) + n * ln(u / (180.0 + T + u)))))) AS hyper FROM g),
+      e AS (SELECT *, list_transform([1, 2, 3], lambda i: (2.2 + x) / (-0.3)
+                * (1 - hyper[i] * ((180.0 + T) / (180.0 + T + steps[i])) ** (0.9 + x))
+                / (1 + 0.7 / (1.5 + x) * ((180.0 + T) / (180.0 + recency)) ** (0.9 + x))) AS grown,
+                (3.0 / (6.0 * x + 3.0)) * (1500.0 * 6.0 / 3.0) + 6.0 * x / (6.0 * x + 3.0) * monetary_value AS worth FROM h),
+      f AS (SELECT customer_id, frequency, recency, T, monetary_value, worth AS predicted_avg_order_value,
+                   worth * (grown[1] / 1.01 + (grown[2] - grown[1]) / 1.01 ** 2 + (grown[3] - grown[2]) / 1.01 ** 3)
+                     AS clv_forecast, grown[3] AS expected_purchases FROM e)"""
+
+    def given_forecast(spark, d) -> DataFrame:
+        return ltv.forecast(summary(spark, d), given)
+
+    def rounded(df: DataFrame, columns) -> DataFrame:
+        return df.select(*[round_half_away(c, 4).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+    @query("ltv_given_forecast", with_ctes(given_sql + f""" SELECT customer_id, frequency, recency, T, monetary_value,
+        {", ".join(rnd(c, 4) + f" AS {c}" for c in ltv.REPORT_COLUMNS)} FROM f"""))
+    def _(spark, d):
+        return rounded(given_forecast(spark, d), ltv.REPORT_COLUMNS)
+
+    @query("ltv_given_report", with_ctes(given_sql + f""" SELECT count(*) AS repeat_customers,
+        {rnd('sum(clv_forecast)', 2)} AS total_clv, {rnd('median(clv_forecast)', 4)} AS median_clv FROM f"""))
+    def _(spark, d):
+        return ltv.report(given_forecast(spark, d)).select(
+            "repeat_customers", round_half_away("total_clv", 2).alias("total_clv"),
+            round_half_away("median_clv", 4).alias("median_clv"))
+
+    numbers = ["mean", "std", "min", "max", "p25", "p50", "p75"]
+
+    @query("ltv_given_describe", with_ctes(given_sql + " UNION ALL ".join(
+        f" SELECT '{c}' AS \"column\", count({c}) AS count, " + ", ".join(rnd(f.format(c), 3) + f" AS {n}" for n, f in zip(
+            numbers, ["avg({})", "stddev_samp({})", "min({})", "max({})", "quantile_cont({}, 0.25)",
+                      "quantile_cont({}, 0.5)", "quantile_cont({}, 0.75)"])) + " FROM f" for c in ltv.REPORT_COLUMNS)))
+    def _(spark, d):
+        return ltv.describe(given_forecast(spark, d)).select(
+            "column", "count", *[round_half_away(n, 3).alias(n) for n in numbers])
+
+    @query("ltv_given_top_customers", with_ctes(given_sql + f""" SELECT customer_id, {rnd('clv_forecast', 4)} AS clv_forecast
+        FROM f ORDER BY clv_forecast DESC, customer_id LIMIT 10"""))
+    def _(spark, d):
+        return rounded(ltv.top_customers(given_forecast(spark, d)).select("customer_id", "clv_forecast"), ["clv_forecast"])
+
+    points = [[0.9, 180.0, 0.7, 2.5], [1.5, 90.0, 1.2, 3.0]]
+
+    def loglik_sql(r: float, al: float, a: float, b: float) -> str:
+        return (f"sum(lgamma({r} + frequency) - lgamma({r}) + {r} * ln({al}) + lgamma({a} + {b}) + lgamma({b} + frequency)"
+                f" - lgamma({b}) - lgamma({a} + {b} + frequency) + ln(({al} + T) ** (-({r} + frequency)) + CASE WHEN"
+                f" frequency > 0 THEN {a} / ({b} + frequency - 1) * ({al} + recency) ** (-({r} + frequency)) ELSE 0 END))")
+
+    @query("ltv_likelihood", with_ctes(f"WITH s AS ({summary_sql}) " + " UNION ALL ".join(
+        f"SELECT {i} AS point, {rnd(loglik_sql(*p), 4)} AS loglik FROM s" for i, p in enumerate(points))))
+    def _(spark, d):
+        rows = summary(spark, d).withColumn("weight", F.lit(1))
+        return ltv.loglik_sums(rows, ltv.bg_nbd_loglik, np.array(points)).select(
+            "point", round_half_away("loglik", 4).alias("loglik"))
+
     @query("ltv_report")
     def _(spark, d):
         return ltv.report(forecasts(spark, d))
@@ -174,6 +278,42 @@ def register(query, features, marts) -> None:
     def _(spark, d):
         return anomaly.revenue_anomalies(series(spark, d, "location_id"))
 
+    # Scores of residuals against a given trend (the mean) and season (the weekday's mean beside it).
+    parts_sql = """
+      WITH r AS (SELECT location_id::VARCHAR AS series, ordered_at AS date_day, sum(order_total)::DOUBLE AS revenue
+                 FROM stg_orders GROUP BY 1, 2),
+      p AS (SELECT *, avg(revenue) OVER (PARTITION BY series) AS trend,
+                   avg(revenue) OVER (PARTITION BY series, dayofweek(date_day)) - avg(revenue) OVER (PARTITION BY series)
+                     AS seasonal FROM r),
+      q AS (SELECT *, revenue - trend - seasonal AS resid FROM p),
+      scored AS (SELECT *, (resid - avg(resid) OVER w) / nullif(stddev_samp(resid) OVER w, 0) AS z_score FROM q
+                 WINDOW w AS (PARTITION BY series))"""
+
+    def given_scores(spark, d) -> DataFrame:
+        by, day = W.partitionBy("series"), W.partitionBy("series", F.dayofweek("date_day"))
+        parts = series(spark, d, "location_id").withColumn("trend", F.avg("revenue").over(by)).withColumn(
+            "seasonal", F.avg("revenue").over(day) - F.col("trend"))
+        return anomaly.residual_scores(parts, 2.0)
+
+    @query("anomaly_given_scores", with_ctes(parts_sql + f""" SELECT series, date_day,
+        {rnd('z_score', 6)} AS z_score, coalesce(abs(z_score) > 2.0, false) AS is_anomaly FROM scored"""))
+    def _(spark, d):
+        return given_scores(spark, d).select("series", F.col("date_day").cast("timestamp_ntz").alias("date_day"),
+                                             round_half_away("z_score", 6).alias("z_score"), "is_anomaly")
+
+    @query("anomaly_given_top_days", with_ctes(parts_sql + f""" SELECT series, date_day, {rnd('z_score', 6)} AS z_score
+        FROM scored WHERE abs(z_score) > 2.0 ORDER BY abs(z_score) DESC, series, date_day LIMIT 15"""))
+    def _(spark, d):
+        return anomaly.top_anomalies(given_scores(spark, d)).select(
+            "series", F.col("date_day").cast("timestamp_ntz").alias("date_day"), round_half_away("z_score", 6).alias("z_score"))
+
+    @query("anomaly_given_summary", with_ctes(parts_sql + f""" SELECT series, min(date_day) AS first_day,
+        max(date_day) AS last_day, count(*) AS days, count(*) FILTER (abs(z_score) > 2.0) AS anomalies,
+        count(*) FILTER (z_score > 2.0) AS spikes, count(*) FILTER (z_score < -2.0) AS drops,
+        {div('count(*) FILTER (abs(z_score) > 2.0)', 'count(*)')} AS anomaly_share FROM scored GROUP BY 1"""))
+    def _(spark, d):
+        return anomaly.anomaly_summary(given_scores(spark, d))
+
     @query("anomaly_top_days")
     def _(spark, d):
         return anomaly.top_anomalies(anomaly.revenue_anomalies(series(spark, d)))

@@ -12,8 +12,8 @@ from tillmart import functions as fn
 from tillmart.operators import aggregates, checks
 from tillmart.operators import scope as scopes
 from tillmart.operators.shared_storage import materialize, new_folder
-from tillmart.plans import analyses, facts, marts, metrics, reports, staging
-from tillmart.sources import date_spine, export_table, fixture_tables, read_raw, run_sql, save_table
+from tillmart.plans import analyses, facts, layers, marts, metrics, reports, staging
+from tillmart.sources import date_spine, export_table, fixture_tables, read_raw, run_sql, save_table, table_catalog
 from tillmart.sources.spine import spine_over
 
 from . import models
@@ -148,6 +148,34 @@ def _(spark, d):
                         path=new_folder(spark, "exports"))
 
 
+@query("export_revenue_metrics", with_ctes("""SELECT ordered_at AS metric_time, sum(product_price)::DOUBLE AS revenue,
+    sum(CASE WHEN is_food_item THEN product_price ELSE 0 END)::DOUBLE AS food_revenue,
+    sum(CASE WHEN is_drink_item THEN product_price ELSE 0 END)::DOUBLE AS drink_revenue FROM m_order_items GROUP BY 1"""))
+def _(spark, d):
+    return export_table(metrics.saved_query(_marts(spark, d), "revenue_metrics"), "revenue_metrics",
+                        path=new_folder(spark, "exports"))
+
+
+@query("export_customer_order_metrics", with_ctes(f"""SELECT customer_id, count_lifetime_orders,
+    lifetime_spend_pretax::DOUBLE AS lifetime_spend_pretax,
+    {div('lifetime_spend_pretax', 'count_lifetime_orders')} AS average_order_value FROM m_customers"""))
+def _(spark, d):
+    return export_table(metrics.saved_query(_marts(spark, d), "customer_order_metrics"), "customer_order_metrics",
+                        path=new_folder(spark, "exports"))
+
+
+@query("table_catalog", with_ctes("""
+  SELECT 'orders' AS table_name, 18::BIGINT AS n_columns, count(*) AS n_rows, min(ordered_at) AS first_day,
+         max(ordered_at) AS last_day FROM m_orders
+  UNION ALL SELECT 'order_items', 9, count(*), min(ordered_at), max(ordered_at) FROM m_order_items
+  UNION ALL SELECT 'customers', 9, count(*), min(first_ordered_at), max(first_ordered_at) FROM m_customers
+  UNION ALL SELECT 'products', 7, count(*), NULL, NULL FROM stg_products
+  UNION ALL SELECT 'locations', 4, count(*), min(opened_date), max(opened_date) FROM stg_locations
+  UNION ALL SELECT 'supplies', 6, count(*), NULL, NULL FROM stg_supplies"""))
+def _(spark, d):
+    return table_catalog(_marts(spark, d))
+
+
 @query("adhoc_sql", with_ctes("""SELECT location_name, customer_type, count(*) AS orders,
     sum(order_total)::DOUBLE AS revenue FROM m_orders JOIN m_customers USING (customer_id)
     JOIN stg_locations USING (location_id) GROUP BY 1, 2"""))
@@ -764,6 +792,12 @@ def _(spark, d):
         F.col("lifetime_spend").desc_nulls_last(), "customer_id").limit(10)
 
 
+@query("sample_rows_ordered", with_ctes("""SELECT order_id, customer_id, ordered_at FROM m_orders
+    ORDER BY order_id LIMIT 20"""))
+def _(spark, d):
+    return reports.sample_rows(_marts(spark, d)["orders"], 20, ["order_id"]).select("order_id", "customer_id", "ordered_at")
+
+
 query("sample_rows")(lambda spark, d: reports.sample_rows(_marts(spark, d)["orders"], 20))
 
 # -- metrics ----------------------------------------------------------------------------------------------------------
@@ -1103,20 +1137,51 @@ def _(spark, d):
     return checks.run_checks(facts.build_facts(_marts(spark, d)), _declared(_LAYERS["facts"]))
 
 
+# The expected rows of the raw tables.
+EXPECTED_ROWS = {"raw_customers": 935, "raw_orders": 61948, "raw_items": 90900}
+
+
 @query("row_counts", with_ctes("\nUNION ALL ".join(
     f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {r}) AS n_rows, {s} AS status" for t, r, s in [
-        *[(t, t, "'OK'") for t in ("raw_customers", "raw_items", "raw_products", "raw_stores", "raw_supplies",
+        *[(t, t, "'OK'") for t in ("raw_products", "raw_stores", "raw_supplies",
                                    "stg_customers", "stg_orders", "stg_order_items", "stg_products", "stg_locations",
                                    "stg_supplies")],
         ("raw_orders", "raw_orders",
          "CASE WHEN (SELECT count(*) FROM raw_orders) = 61948 THEN 'OK' ELSE 'WARN (expected 61948)' END"),
+        ("raw_customers", "raw_customers",
+         "CASE WHEN (SELECT count(*) FROM raw_customers) = 935 THEN 'OK' ELSE 'WARN (expected 935)' END"),
+        ("raw_items", "raw_items",
+         "CASE WHEN (SELECT count(*) FROM raw_items) = 90900 THEN 'OK' ELSE 'WARN (expected 90900)' END"),
         *[(t, f"m_{t}", "'OK'") for t in ("customers", "orders", "order_items")],
         *[(t, f"stg_{t}", "'OK'") for t in ("products", "locations", "supplies")],
         *[(t, t, "'OK'") for t in FACT_SQL]])))
 def _(spark, d):
     raw = fixture_tables(spark, d)
     m = marts.build_marts(staging.stage_all(raw))
-    return checks.row_counts({**raw, **staging.stage_all(raw), **m, **facts.build_facts(m)}, {"raw_orders": 61948})
+    return checks.row_counts({**raw, **staging.stage_all(raw), **m, **facts.build_facts(m)}, EXPECTED_ROWS)
+
+
+# The same on stored layers.
+
+@lru_cache(maxsize=2)
+def _stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return layers.store_layers(fixture_tables(spark, sf_dir), new_folder(spark, "layers"))
+
+
+@query("stored_run_checks_facts", ORACLES["run_checks_facts"])
+def _(spark, d):
+    return checks.run_checks(_stored(spark, d), _declared(_LAYERS["facts"]))
+
+
+@query("stored_row_counts", ORACLES["row_counts"])
+def _(spark, d):
+    raw = fixture_tables(spark, d)
+    return checks.row_counts({**raw, **staging.stage_all(raw), **_stored(spark, d)}, EXPECTED_ROWS)
+
+
+@query("stored_revenue_trends", ORACLES["revenue_trends"])
+def _(spark, d):
+    return analyses.revenue_trends(_stored(spark, d)["orders"])
 
 
 models.register(query, _features, _marts)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import safe_div
@@ -34,13 +35,20 @@ def revenue_anomalies(series: DataFrame, period: int = PERIOD, threshold: float
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date_day").reset_index(drop=True)
         trend, seasonal = decompose(pdf["revenue"].to_numpy(float), period)
-        resid = pdf["revenue"] - trend - seasonal
-        return pdf.assign(trend=trend, seasonal=seasonal, resid=resid, z_score=(resid - resid.mean()) / resid.std())
+        return pdf.assign(trend=trend, seasonal=seasonal)
 
     parts = spread(series, "series").groupBy("series").applyInPandas(
-        split, "series string, date_day date, revenue double, trend double, seasonal double, resid double, "
-               "z_score double")
-    return parts.withColumn("is_anomaly", F.coalesce(F.abs("z_score") > threshold, F.lit(False)))
+        split, "series string, date_day date, revenue double, trend double, seasonal double")
+    return residual_scores(parts, threshold)
+
+
+def residual_scores(parts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """What trend and seasonal part leave, its z-score in the series, and whether that is beyond the threshold."""
+    of_series = W.partitionBy("series")  # one row per day
+    resid = F.col("revenue") - F.col("trend") - F.col("seasonal")
+    score = safe_div(F.col("resid") - F.avg("resid").over(of_series), F.stddev_samp("resid").over(of_series))
+    return (parts.withColumn("resid", resid).withColumn("z_score", score)
+            .withColumn("is_anomaly", F.coalesce(F.abs("z_score") > threshold, F.lit(False))))
 
 
 def top_anomalies(scored: DataFrame, k: int = 15) -> DataFrame:

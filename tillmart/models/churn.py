@@ -83,6 +83,12 @@ def fit_logistic(train: DataFrame, max_iter: int = 1000) -> LogisticRegressionMo
                               regParam=1.0 / n, elasticNetParam=0.0, standardization=False).fit(train)
 
 
+def logistic_scores(rows: DataFrame, intercept: float, weights: dict[str, float]) -> DataFrame:
+    """Rows with the churn probability under given weights of their columns."""
+    logit = sum((F.col(c).cast("double") * F.lit(float(w)) for c, w in weights.items()), F.lit(float(intercept)))
+    return rows.withColumn("churn_probability", 1 / (1 + F.exp(-logit)))
+
+
 def fit_forest(train: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED
                ) -> RandomForestClassificationModel:
     return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees,

@@ -81,23 +81,27 @@ def fit_loglik(rows: DataFrame, loglik: Loglik, n_params: int, penalty: float =
 
     def losses(points: np.ndarray) -> np.ndarray:
         params = np.exp(points)
-
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums = np.zeros(len(params))
-            for batch in batches:
-                w = batch["weight"].to_numpy(float)
-                sums += [float(w @ loglik(p, batch)) for p in params]
-            yield pd.DataFrame({"point": range(len(params)), "loglik": sums})
-
-        sums = rows.mapInPandas(partial, "point int, loglik double").groupBy("point").agg(F.sum("loglik")).collect()
         value = np.full(len(params), np.nan)
-        for point, s in sums:
+        for point, s in loglik_sums(rows, loglik, params).collect():
             value[point] = s
         return -value / total + penalty * (params ** 2).sum(axis=1)
 
     return np.exp(minimize(losses, np.zeros(n_params)))
 
 
+def loglik_sums(rows: DataFrame, loglik: Loglik, params: np.ndarray) -> DataFrame:
+    """(point, loglik): the weighted log-likelihood of the rows under each row of ``params``."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(len(params))
+        for batch in batches:
+            w = batch["weight"].to_numpy(float)
+            sums += [float(w @ loglik(p, batch)) for p in params]
+        yield pd.DataFrame({"point": range(len(params)), "loglik": sums})
+
+    return rows.mapInPandas(partial, "point int, loglik double").groupBy("point").agg(F.sum("loglik").alias("loglik"))
+
+
 @dataclass(frozen=True)
 class LtvModel:
     r: float

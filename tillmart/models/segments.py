@@ -57,6 +57,15 @@ def kmeans_segments(features: DataFrame, k: int = K, restarts: int = RESTARTS, s
         value_map(F.col("prediction").cast("string"), names).alias("cluster"))
 
 
+def assign_clusters(features: DataFrame, centres: Sequence[Sequence[float]]) -> DataFrame:
+    """Customers with the nearest of given centres (in standard scores); the first one on ties."""
+    rows = segment_features(features)
+    far = [sum((F.col(f"{c}_z") - F.lit(float(x))) ** 2 for c, x in zip(DIMS, centre)) for centre in centres]
+    at = F.array_position(F.array(*far), F.least(*far)) - 1
+    return rows.select("customer_id", "recency", "frequency", "monetary", F.col("food_known").alias("food_item_pct"),
+                       F.concat(F.lit("Cluster "), at.cast("string")).alias("cluster"))
+
+
 def elbow(features: DataFrame, ks: Sequence[int] = ELBOW_RANGE, restarts: int = RESTARTS, seed: int = SEED
           ) -> DataFrame:
     """Inertia and silhouette for each k. The silhouette uses squared distances, which takes linear time; the one of

@@ -404,5 +404,6 @@ def location_ratio_vs(performance: DataFrame, base: str,
         round_half_even((safe_div(m, ref.getField(m)) - 1) * 100, 0).alias(f"{m}_vs_base") for m in metrics])
 
 
-def sample_rows(df: DataFrame, n: int = 20) -> DataFrame:
-    return df.limit(n)
+def sample_rows(df: DataFrame, n: int = 20, order: Sequence[str] = ()) -> DataFrame:
+    """Some rows; the first ones by ``order`` where it is given."""
+    return (df.orderBy(*order) if order else df).limit(n)

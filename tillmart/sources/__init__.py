@@ -2,8 +2,8 @@
 
 from .fixtures import fixture_tables
 from .raw import RAW_SCHEMAS, read_raw
-from .sinks import export_table, list_columns, register_views, run_sql, save_table
+from .sinks import export_table, list_columns, register_views, run_sql, save_table, table_catalog
 from .spine import date_spine
 
 __all__ = ["RAW_SCHEMAS", "date_spine", "export_table", "fixture_tables", "list_columns", "read_raw",
-           "register_views", "run_sql", "save_table"]
+           "register_views", "run_sql", "save_table", "table_catalog"]

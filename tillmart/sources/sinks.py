@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def save_table(df: DataFrame, name: str, layer: str | None = None, *, path: str | None = None,
@@ -41,6 +44,18 @@ def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None =
     return spark.sql(sql)
 
 
+def table_catalog(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row per table: columns, rows, and the first and last day in its first date or time column."""
+    rows = []
+    for name, df in tables.items():
+        times = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("date", "timestamp", "timestamp_ntz")]
+        first, last = ((F.min(times[0]), F.max(times[0])) if times else (F.lit(None), F.lit(None)))
+        rows.append(df.agg(F.lit(name).alias("table_name"), F.lit(len(df.columns)).cast("long").alias("n_columns"),
+                           F.count("*").alias("n_rows"), first.cast("timestamp_ntz").alias("first_day"),
+                           last.cast("timestamp_ntz").alias("last_day")))
+    return reduce(DataFrame.unionAll, rows)
+
+
 def list_columns(tables: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
     """(table, column, type) for each table; schema only, no data is read."""
     return [(t, f.name, f.dataType.simpleString()) for t, df in tables.items() for f in df.schema.fields]
