@@ -198,17 +198,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Word vectors from all texts, and a network from labelled documents outside the held-out fold."""
     spark = docs.sparkSession
     vectors = word_vectors(docs.select(text))
-    fold = F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
-    agreed = labels.filter(F.col(label).isin(0, 1)).groupBy(doc_id).agg(
-        F.min(label).alias("label"), F.max(label).alias("_other")).filter("label = _other")
-    chosen = stored(agreed.select(F.col(doc_id).alias("_labelled"), F.col("label").cast("int"), fold.alias("fold"))
-                    .filter(F.col("fold") != HELD_OUT)
-                    .orderBy(F.md5(F.col("_labelled").cast("string").cast("binary")), "_labelled").limit(MAX_LABELLED),
-                    "labelled")
-    rows = docs.join(F.broadcast(chosen), docs[doc_id] == chosen["_labelled"]).select(  # at most MAX_LABELLED rows
-        F.col(text).alias("_text"), "fold", "label")
+    given = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    key = F.col("_labelled").cast("string").cast("binary")
+    agreed = labels.select(F.col(doc_id).alias("_labelled"), F.col(label).cast("int").alias("label")).filter(
+        "label in (0, 1) and _labelled is not null").groupBy("_labelled").agg(
+        F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other")
+    chosen = stored(agreed.select("_labelled", "label", (F.crc32(key) % FOLDS).alias("fold"))
+                    .filter(F.col("fold") != HELD_OUT).orderBy(F.md5(key), "_labelled").limit(MAX_LABELLED), "labelled")
+    rows = given.join(F.broadcast(chosen), given["_id"] == chosen["_labelled"]).select(  # at most MAX_LABELLED rows
+        "_text", "fold", "label")
     found = rows.mapInArrow(_features(spark.sparkContext.broadcast(vectors)),
-                            "fold long, label int, x array<float>").limit(2 * MAX_LABELLED).toPandas()
+                            "fold long, label int, x array<float>").limit(2 * MAX_LABELLED).toPandas()  # ids may repeat
     x = np.stack(found["x"].to_numpy()) if len(found) else np.empty((0, FEATURES), np.float32)
     order = np.lexsort((*x.T[:4], found["label"].to_numpy()))  # the same fit whatever the order of arrival
     x, y = x[order], found["label"].to_numpy()[order]

@@ -147,7 +147,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         .otherwise(F.struct(F.greatest(s["end"], acc["at"]).alias("at"), acc["out"].alias("out"))))
     rest = F.struct("*").alias("_row")
     rows = _scanned(docs.select(rest, F.col(text).alias("_body")), "_body", ["_row"])
-    clean = F.when(F.size("_spans") == 0, F.col(f"_row.{text}")).otherwise(
+    clean = F.when(F.size("_spans") == 0, F.col(f"_row.`{text}`")).otherwise(
         F.concat(F.col("_done.out"), F.substring(body, F.col("_done.at") + 1, F.char_length(body))))
     rows = rows.withColumn("_done", F.when(F.size("_spans") > 0, done)).withColumn("_clean", clean)
     kinds = dict(docs.dtypes)

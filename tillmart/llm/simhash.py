@@ -211,9 +211,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the least id of their groups, one row each, with all their columns."""
-    found = materialize(fingerprints(docs, [doc_id], text))
-    kept = _groups(found, doc_id).filter(F.col("_fp") == F.col("_keeper")).select(
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # so no column clashes with those added here
+    given = docs.toDF(*names)
+    its_id, its_text = names[docs.columns.index(doc_id)], names[docs.columns.index(text)]
+    found = materialize(fingerprints(given, [its_id], its_text))
+    kept = _groups(found, its_id).filter(F.col("_fp") == F.col("_keeper")).select(
         F.col("_fp").alias("_kept_fp"), F.col("component_id").alias("_kept_id"))
-    marked = fingerprints(docs, docs.columns, text)
-    return (marked.join(kept, (marked["_fp"] == kept["_kept_fp"]) & marked[doc_id].eqNullSafe(kept["_kept_id"]))
-            .dropDuplicates(["_kept_fp", "_kept_id"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    marked = fingerprints(given, names, its_text)
+    return (marked.join(kept, (marked["_fp"] == kept["_kept_fp"]) & marked[its_id].eqNullSafe(kept["_kept_id"]))
+            .dropDuplicates(["_kept_fp", "_kept_id"]).select(*names).toDF(*docs.columns))
