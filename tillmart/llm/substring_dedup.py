@@ -131,12 +131,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     every = stored(docs.mapInArrow(
         _occurrences, "anchor long, region long, doc long, text int, first int, windows int"), "anchors")
     shared = every.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi")
-    found = stored(every.join(shared.select("anchor"), "anchor"), "shared-anchors")
+    # Sides that were grouped are stored before they are joined: a hot key of the other side can then be split.
+    shared = stored(shared.select("anchor"), "repeated-anchors")
+    found = stored(every.join(shared, "anchor"), "shared-anchors")
     least = found.groupBy("anchor", "region").agg(
         F.min(F.struct("doc", "text", "first", "windows")).alias("least"), F.max("doc").alias("most"))
     least = stored(least.select("anchor", "region", F.col("least.doc").alias("lo"), F.col("least.text").alias("text"),
                                 "least.first", "least.windows", "most"), "regions")
     several = least.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    several = stored(several, "forked-anchors")
     places = least.join(several, "anchor").groupBy("lo", "text").agg(
         F.collect_list(F.struct("anchor", "region", "first", "windows")).alias("places"))  # at most one text's regions
     listed = docs.join(places, (docs["_id"] == places["lo"]) & (docs["_t"] == places["text"])).select(
@@ -144,10 +147,12 @@ def repeats(docs: DataFrame) -> DataFrame:
         _windows, "anchor long, window long, region long, doc long, offset int")
     listed = stored(listed, "windows")
     owners = listed.groupBy("anchor", "window").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi")
+    owners = stored(owners.select("anchor", "window", "lo"), "window-owners")
     lost = (listed.join(owners, ["anchor", "window"]).filter("doc > lo").groupBy("anchor", "region")
             .agg(F.collect_set("offset").alias("offsets")))  # at most WINDOW - SEED + 1 of them
     marked = least.join(lost, ["anchor", "region"], "left").filter("lo < most or offsets is not null").select(
         "anchor", "region", "lo", "offsets")
+    marked = stored(marked, "marked-regions")
     hits = found.join(marked, ["anchor", "region"])
     spans = F.when(F.col("doc") > F.col("lo"), F.array(F.struct(
         "first", (F.col("windows") + (WINDOW - 1)).alias("words")))).otherwise(
