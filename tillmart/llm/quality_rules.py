@@ -115,3 +115,34 @@ def assess(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents whose text passes, with all their columns."""
     return W.small_batches(docs).mapInArrow(_mapped(text, [], True), docs.schema)
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+base AS (SELECT r, doc_id, ws, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+                length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols FROM d),
+lines AS (SELECT r, (sum(n) - count(*))::BIGINT AS n_dup_lines, sum((n - 1) * size) AS dup_chars
+          FROM (SELECT r, line, count(*) AS n, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS size
+                FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) GROUP BY r, line)
+          WHERE size > 0 GROUP BY r),
+grams AS (SELECT r, n, list(i) AS starts
+          FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (VALUES (5), (6), (8), (10)) sizes(n))
+          GROUP BY r, n, md5(array_to_string(ws[i:i + n - 1], ' ')) HAVING count(*) > 1),
+inside AS (SELECT DISTINCT r, n, i + o AS j
+           FROM (SELECT r, n, i, unnest(range(0, n)) AS o FROM (SELECT r, n, unnest(starts) AS i FROM grams))),
+sums AS (SELECT r, count(*) FILTER (n = 5) AS n_repeat_words,
+                sum(length(ws[j])) FILTER (n = 5) AS c5, sum(length(ws[j])) FILTER (n = 6) AS c6,
+                sum(length(ws[j])) FILTER (n = 8) AS c8, sum(length(ws[j])) FILTER (n = 10) AS c10
+         FROM inside JOIN d USING (r) GROUP BY r),
+joined AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                  coalesce(n_repeat_words, 0) AS n_repeat_words, greatest(word_chars, 1)::DOUBLE AS whole,
+                  coalesce(dup_chars, 0)::DOUBLE / whole AS dup_line_share, coalesce(c5, 0)::DOUBLE / whole AS dup_5gram_share,
+                  coalesce(c6, 0)::DOUBLE / whole AS dup_6gram_share, coalesce(c8, 0)::DOUBLE / whole AS dup_8gram_share,
+                  coalesce(c10, 0)::DOUBLE / whole AS dup_10gram_share
+           FROM base LEFT JOIN lines USING (r) LEFT JOIN sums USING (r))
+SELECT * EXCLUDE (whole), n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT base_failed AND dup_line_share <= 0.3 AND n_symbols <= 0.3::DOUBLE * greatest(n_words, 1)
+       AND dup_5gram_share <= 0.3 AND dup_6gram_share <= 0.28 AND dup_8gram_share <= 0.25 AND dup_10gram_share <= 0.2 AS kept
+FROM joined
+"""

@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op9_quality_rules")
+@query("op9_quality_rules", quality_rules.ORACLE)
 def _quality_rules(spark, sf_dir):
     return quality_rules.assess(table(spark, sf_dir, "documents"))
 
@@ -61,7 +61,7 @@ def _source_mix(spark, sf_dir):
     return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query("op2_substring_dedup")
+@query("op2_substring_dedup", substring_dedup.ORACLE)
 def _substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

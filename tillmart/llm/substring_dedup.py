@@ -176,3 +176,20 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         _pruned, "_id long, n_words long, n_removed long, kept string")
     return out.select(F.when(F.col("_id") != NULL_ID, F.col("_id")).cast(kind).alias(doc_id), "n_words", "n_removed",
                       "kept")
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS k, doc_id,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, k, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
+      FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS i FROM d)),
+least_ AS (SELECT h, min(k) AS lo FROM w GROUP BY h),
+gone AS (SELECT DISTINCT r, i + o AS j
+         FROM (SELECT r, i, unnest(range(0, 50)) AS o FROM w JOIN least_ USING (h) WHERE k > lo)),
+words AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM d),
+left_ AS (SELECT r, count(gone.j) AS n_removed, string_agg(word, ' ' ORDER BY words.j) FILTER (gone.j IS NULL) AS kept
+          FROM words LEFT JOIN gone USING (r, j) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_ USING (r)
+"""
