@@ -8,6 +8,7 @@ from compare import connect, difference
 from conftest import SF
 
 import __spark_entry__ as entry
+from tillmart.plans import marts
 
 NAMES = ["mart_orders", "fct_daily_revenue", "fct_product_performance", "fct_supply_cogs", "fct_location_performance",
          "fct_cohorts", "fct_customer_churn_features", "rfm_segments", "margin_erosion", "pareto_curve", "ltv_summary",
@@ -32,3 +33,18 @@ def skewed_dir(tmp_path_factory):
 @pytest.mark.parametrize("name", NAMES)
 def test_skewed_tables(spark, skewed_dir, name):
     assert difference(entry.queries()[name](spark, skewed_dir), connect(skewed_dir), entry.oracle_sql()[name]) is None
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_orders_without_a_customer_on_one_day_are_numbered_in_ranges(spark, text_ids, monkeypatch):
+    monkeypatch.setattr(marts, "ID_BITS", 4)
+    rows = [(i, None if i % 3 == 0 else i % 40, 1 if i % 3 == 0 else i % 7) for i in range(1200)] + [(None, None, 1)]
+    name = (lambda i: None if i is None else f"{i:05d}") if text_ids else (lambda i: i)
+    orders = spark.createDataFrame([(name(i), c, d) for i, c, d in rows],
+                                   f"order_id {'string' if text_ids else 'long'}, customer_id long, d int").selectExpr(
+        "order_id", "customer_id", "cast(date_add(date'2024-01-01', d) as timestamp_ntz) as ordered_at")
+    got = {r.order_id: r.customer_order_number for r in marts.number_customer_orders(orders).collect()}
+    seen = {}
+    for i, c, _ in sorted(rows, key=lambda r: (r[2], r[0] is None, r[0])):
+        seen[c] = seen.get(c, 0) + 1
+        assert got[name(i)] == seen[c]

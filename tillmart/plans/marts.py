@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import truncate_to
 
+#: Order ids that are numbered together: 2**ID_BITS whole numbers, or texts with equal first ID_PREFIX characters.
+ID_BITS, ID_PREFIX = 12, 3
+
 
 def product_dimension(products: DataFrame, supplies: DataFrame | None = None) -> DataFrame:
     """One row per product: name, price, flags and, given supplies, their summed cost.
@@ -87,22 +90,27 @@ def orders(stg_orders: DataFrame, priced_items: DataFrame) -> DataFrame:
 def number_customer_orders(stg_orders: DataFrame) -> DataFrame:
     """Add ``customer_order_number``: row number per customer by day, then order id.
 
-    A window over the customer alone would put a customer with very many orders into one task. Orders are numbered
-    inside (customer, day) and shifted by the customer's orders on earlier days, which a window over daily counts
-    gives: at most one row per customer and calendar day.
+    A window over the customer alone would put a customer with very many orders, or all orders without a customer, into
+    one task. Orders are numbered inside (customer, day, range of order ids) and shifted by the customer's orders in
+    earlier ranges, which a window over the counts of those ranges gives.
     """
-    customer_type = dict(stg_orders.dtypes)["customer_id"]
+    types = dict(stg_orders.dtypes)
+    whole = types["order_id"] in ("tinyint", "smallint", "int", "bigint")
+    id_range = (F.shiftright(F.col("order_id").cast("bigint"), ID_BITS) if whole
+                else F.substring(F.col("order_id").cast("string"), 1, ID_PREFIX))
     keyed = stg_orders.select(
         "*", F.col("customer_id").isNull().alias("_guest"),
-        F.coalesce("customer_id", F.lit("0").cast(customer_type)).alias("_who"),
-        F.coalesce("ordered_at", F.lit("9999-12-31").cast("timestamp_ntz")).alias("_day"))
-    day_key = ["_guest", "_who", "_day"]
-    earlier_days = W.partitionBy("_guest", "_who").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
-    before = (keyed.groupBy(*day_key).agg(F.count("*").alias("_n"))
-              .withColumn("_before", F.coalesce(F.sum("_n").over(earlier_days), F.lit(0))).drop("_n"))
-    in_day = F.row_number().over(W.partitionBy(*day_key).orderBy(F.col("order_id").asc_nulls_last()))
-    return (keyed.withColumn("_in_day", in_day).join(before, day_key, "left")
-            .withColumn("customer_order_number", (F.col("_before") + F.col("_in_day")).cast("bigint"))
+        F.coalesce("customer_id", F.lit("0").cast(types["customer_id"])).alias("_who"),
+        F.coalesce("ordered_at", F.lit("9999-12-31").cast("timestamp_ntz")).alias("_day"),
+        F.col("order_id").isNull().alias("_unknown"),
+        F.coalesce(id_range, F.lit("0").cast("bigint" if whole else "string")).alias("_range"))
+    group = ["_guest", "_who", "_day", "_unknown", "_range"]
+    earlier = W.partitionBy("_guest", "_who").orderBy("_day", "_unknown", "_range").rowsBetween(W.unboundedPreceding, -1)
+    before = (keyed.groupBy(*group).agg(F.count("*").alias("_n"))
+              .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
+    inside = F.row_number().over(W.partitionBy(*group).orderBy("order_id"))
+    return (keyed.withColumn("_inside", inside).join(before, group, "left")
+            .withColumn("customer_order_number", (F.col("_before") + F.col("_inside")).cast("bigint"))
             .select(*stg_orders.columns, "customer_order_number"))
 
 
