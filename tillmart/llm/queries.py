@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_topk, quality_classifier, quality_rules, secret_scan, simhash, source_mix, substring_dedup
+from tillmart.operators.shared_storage import new_folder
+
+from . import (
+    bpe, chat_format, exact_topk, quality_classifier, quality_rules, secret_scan, simhash, source_mix, substring_dedup,
+    token_rollup,
+)
+from .storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +103,28 @@ def _exact_topk(spark, sf_dir):
 @query("op10_quality_classifier")
 def _quality_classifier(spark, sf_dir):
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_token_rollup")
+def _token_rollup(spark, sf_dir):
+    """All documents are counted by two tokenizers; exact copies go; the word counter, which took only spaces for
+    separators at first, is revised; the second batch is sent twice."""
+    import public_tokenizers
+
+    given, bpe_name, words_name = table(spark, sf_dir, "documents"), "byte_bpe_multi_50k", "words"
+    path = public_tokenizers.path(f"{bpe_name}.tiktoken")
+    tokens = bpe.encode(given, path, public_tokenizers.PATTERN, keep=("doc_id", "source", "lang"))
+    by_space = F.regexp_count("text", F.lit(r"[^\x20]+"))
+    rollup = token_rollup.Rollup(spark, new_folder(spark, "token-rollup"))
+    rollup.apply("load", token_rollup.changes(tokens, "insert", bpe_name, F.size("tokens")).union(
+        token_rollup.changes(given, "insert", words_name, by_space)))
+    texts = given.select("doc_id", "source", "lang", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"))
+    first = stored(texts.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "copies")
+    copies = texts.join(first, "h").filter("doc_id > first").withColumn(
+        "name", F.explode(F.array(F.lit(bpe_name), F.lit(words_name))))
+    for _ in range(2):
+        rollup.apply("copies", token_rollup.changes(copies, "delete", F.col("name")))
+    revised = source_mix.size_of(F.col("text"))
+    rollup.apply("words-2", token_rollup.changes(given.filter(revised != F.coalesce(by_space, F.lit(0))), "revise",
+                                                 words_name, revised))
+    return rollup.totals()
