@@ -25,6 +25,7 @@ FEATURES = ["count_lifetime_orders", "lifetime_spend", "avg_order_value", "avg_d
             "stddev_days_between_orders", "food_item_pct", "drink_item_pct"]
 LABEL = "is_churned"
 TREES, DEPTH, SEED, TEST_SHARE = 300, 6, 42, 0.25
+EXPLAINED = 50_000  # rows that are attributed at a time
 
 
 def impute_medians(features: DataFrame) -> DataFrame:
@@ -121,6 +122,18 @@ def at_risk(scored: DataFrame, threshold: float = 0.5, score: str = "churn_proba
     return scored.filter(F.col(score) >= threshold).orderBy(F.col(score).desc(), "customer_id")
 
 
+def _blocks(batches: Iterator[pd.DataFrame], rows: int = EXPLAINED) -> Iterator[pd.DataFrame]:
+    """Batches put together up to about ``rows`` rows, so tables that cost the same for any number are built rarely."""
+    waiting: list[pd.DataFrame] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(map(len, waiting)) >= rows:
+            yield pd.concat(waiting)
+            waiting = []
+    if waiting:
+        yield pd.concat(waiting)
+
+
 class ChurnModel:
     """Everything fitted by :func:`train`: the prepared rows, both classifiers and the results drawn from them."""
 
@@ -153,7 +166,7 @@ class ChurnModel:
         shared = spark.sparkContext.broadcast(leaves_of_trees(nodes, len(FEATURES)))
 
         def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+            for batch in _blocks(batches):
                 base, phi = attributions(shared.value, batch[FEATURES].to_numpy(float))
                 yield pd.DataFrame({"customer_id": batch["customer_id"], "base_value": np.full(len(batch), base),
                                     **{f: phi[:, j] for j, f in enumerate(FEATURES)}})

@@ -43,8 +43,7 @@ def _failing(rule: tuple) -> Column:
 
 
 def rule_name(table: str, rule: tuple) -> str:
-    text = {"expression": rule[1]}.get(rule[0], rule[1])
-    return f"{table}: {rule[0]} {text}"
+    return f"{table}: {rule[0]} {rule[1]}"
 
 
 def run_checks(tables: dict[str, DataFrame], rules: dict[str, Sequence[tuple]]) -> DataFrame:
