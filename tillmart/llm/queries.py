@@ -55,7 +55,7 @@ def _simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
-@query("op6_secret_scan")
+@query("op6_secret_scan", secret_scan.oracle())
 def _secret_scan(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_assign", "n_access", "n_hex",

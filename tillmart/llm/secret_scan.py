@@ -15,6 +15,7 @@ one; ``redact`` keeps all columns whatever their names, and sets ``n_chars`` ane
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 #: Runs are maximal either way, so asking for the length in the pattern finds the same ones.
 HEX = r"[0-9a-f]{16,}"
 IDENTIFIER = r"""(?:[Uu]ser(?:[Nn]ame|_name)?|[Ll]ogin|[Cc]lient_?[Ii][Dd]|[Aa]ccess_?[Kk]ey_?[Ii][Dd])["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
-TOKEN = r"\b(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{40}\b"
+#: A token is a whole run of TOKEN_LENGTH of these characters, with a digit, a small and a capital letter in it.
+TOKEN, TOKEN_LENGTH, TOKEN_MIX = r"[A-Za-z0-9+/]{40,}", 40, ("[0-9]", "[a-z]", "[A-Z]")
 ENDPOINT = r"""(?:https?|s3|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"'<>]+"""
 BLANK_LINE = r"\n[\x20\t\r]*\n"
 REACH = 400
@@ -101,8 +103,12 @@ def _scanned(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     s1 = s0.select(*keep, "_text", _found(F.col("_text"), ASSIGN, 2).alias("_assigned"),
                    _found(F.col("_text"), ACCESS).alias("_access"), _found(F.col("_text"), HEX).alias("_hex"),
                    _found(F.col("_text"), ENDPOINT).alias("_endpoint"), _found(F.col("_text"), TOKEN).alias("_token"))
+    def mixed(m: Column) -> Column:
+        token = F.substring(F.col("_text"), m["start"] + 1, TOKEN_LENGTH)
+        return (m["value"] == TOKEN_LENGTH) & reduce(lambda a, b: a & b, [F.rlike(token, F.lit(c)) for c in TOKEN_MIX])
+
     s2 = s1.withColumn("_weak", F.concat(
-        F.filter("_assigned", lambda m: m["value"].between(WEAK_VALUE, ASSIGN_VALUE - 1)), "_token"))
+        F.filter("_assigned", lambda m: m["value"].between(WEAK_VALUE, ASSIGN_VALUE - 1)), F.filter("_token", mixed)))
     some = F.size("_weak") > 0
     s3 = (s2.withColumn("_ids", F.when(some, F.concat("_access", _found(F.col("_text"), IDENTIFIER))).otherwise(none()))
           .withColumn("_breaks", F.when(some, _found(F.col("_text"), BLANK_LINE)).otherwise(none())))
@@ -155,3 +161,43 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         F.col("_clean").alias(text) if c == text
         else F.when(F.size("_spans") > 0, F.char_length("_clean").cast(kinds[c])).otherwise(F.col(f"_row.`{c}`")).alias(c)
         if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
+def oracle() -> str:
+    """The query's rows in SQL."""
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "endpoint": ENDPOINT, "token": TOKEN, "id": IDENTIFIER,
+                "blank": BLANK_LINE}
+
+    def places(kind: str) -> str:
+        pattern = patterns[kind].replace("'", "''")
+        value = f"regexp_extract_all(text, '{pattern}', 2)" if kind == "assign" else "found"
+        return f"""
+{kind}_ AS (SELECT r, found, value, (sum(length(gap) + length(found)) OVER (PARTITION BY r ORDER BY i))::BIGINT AS e,
+                   e - length(found) AS s
+            FROM (SELECT r, unnest(found) AS found, unnest({value}) AS value, generate_subscripts(found, 1) AS i,
+                         unnest(string_split_regex(text, '{pattern}')[:len(found)]) AS gap
+                  FROM (SELECT r, text, regexp_extract_all(text, '{pattern}') AS found FROM d) WHERE len(found) > 0))"""
+
+    def near(a: str, b: str) -> str:
+        first, last = f"least({a}.e, {b}.e)", f"greatest({a}.s, {b}.s)"
+        return (f"{a}.r = {b}.r AND {last} - {first} <= {REACH} AND NOT EXISTS (SELECT 1 FROM blank_ x WHERE x.r = {a}.r"
+                f" AND x.s >= {first} AND x.e <= {last})")
+
+    mix = " AND ".join(f"regexp_matches(found, '{c}')" for c in TOKEN_MIX)
+    listed = "coalesce(string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, k, e) {}, '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+{",".join(places(k) for k in patterns)},
+weak AS (SELECT r, s, e FROM assign_ WHERE length(value) BETWEEN {WEAK_VALUE} AND {ASSIGN_VALUE - 1}
+         UNION ALL SELECT r, s, e FROM token_ WHERE length(found) = {TOKEN_LENGTH} AND {mix}),
+ids AS (SELECT r, s, e FROM access_ UNION ALL SELECT r, s, e FROM id_),
+spans AS (SELECT r, s, e, 'assign' AS name, 0 AS k FROM assign_ WHERE length(value) >= {ASSIGN_VALUE}
+          UNION ALL SELECT r, s, e, 'access', 1 FROM access_ UNION ALL SELECT r, s, e, 'hex', 2 FROM hex_
+          UNION ALL SELECT r, s, e, 'endpoint', 3 FROM endpoint_ p WHERE EXISTS (SELECT 1 FROM ids i WHERE {near("p", "i")})
+                    AND EXISTS (SELECT 1 FROM weak w WHERE {near("p", "w")})
+          UNION ALL SELECT r, s, e, 'secret', 4 FROM weak w WHERE EXISTS (SELECT 1 FROM ids i WHERE {near("w", "i")})
+                    OR EXISTS (SELECT 1 FROM endpoint_ p WHERE {near("w", "p")}))
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
+       count(*) FILTER (k = 2) AS n_hex, sha256({listed.format("FILTER (k < 3)")}) AS base_sha256, {listed.format("")} AS spans
+FROM d LEFT JOIN spans USING (r) GROUP BY r
+"""
