@@ -201,10 +201,11 @@ def register(query, features, marts) -> None:
         return ltv.forecast(summary(spark, d), given)
 
     def rounded(df: DataFrame, columns) -> DataFrame:
-        return df.select(*[round_half_away(c, 4).alias(c) if c in columns else F.col(c) for c in df.columns])
+        return df.select(*[round_half_away(c, 1 if c == "clv_forecast" else 4).alias(c) if c in columns else F.col(c)
+                           for c in df.columns])
 
     @query("ltv_given_forecast", with_ctes(given_sql + f""" SELECT customer_id, frequency, recency, T, monetary_value,
-        {", ".join(rnd(c, 4) + f" AS {c}" for c in ltv.REPORT_COLUMNS)} FROM f"""))
+        {", ".join(rnd(c, 1 if c == "clv_forecast" else 4) + f" AS {c}" for c in ltv.REPORT_COLUMNS)} FROM f"""))
     def _(spark, d):
         return rounded(given_forecast(spark, d), ltv.REPORT_COLUMNS)
 
@@ -225,7 +226,7 @@ def register(query, features, marts) -> None:
         return ltv.describe(given_forecast(spark, d)).select(
             "column", "count", *[round_half_away(n, 3).alias(n) for n in numbers])
 
-    @query("ltv_given_top_customers", with_ctes(given_sql + f""" SELECT customer_id, {rnd('clv_forecast', 4)} AS clv_forecast
+    @query("ltv_given_top_customers", with_ctes(given_sql + f""" SELECT customer_id, {rnd('clv_forecast', 1)} AS clv_forecast
         FROM f ORDER BY clv_forecast DESC, customer_id LIMIT 10"""))
     def _(spark, d):
         return rounded(ltv.top_customers(given_forecast(spark, d)).select("customer_id", "clv_forecast"), ["clv_forecast"])
