@@ -78,8 +78,9 @@ class Rollup:
             return False
         seq = len(commits) + 1
         order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-        ranked = batch.select("doc_id", "tokenizer", "kind", "source", "lang",
-                              F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), order.cast("int").alias("_order"))
+        ranked = stored(batch.select(  # counting may be costly, and the changes are read twice
+            "doc_id", "tokenizer", "kind", "source", "lang", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
+            order.cast("int").alias("_order")), "changes")
         one = ranked.filter("doc_id is not null").groupBy("doc_id", "tokenizer").agg(
             F.max(F.struct("_order", "n_tokens", "source", "lang", "kind")).alias("new")).select(
             "doc_id", "tokenizer", "new.kind", "new.source", "new.lang", "new.n_tokens")
