@@ -11,6 +11,7 @@ from tillmart.operators.shared_storage import new_folder
 
 ORACLE_SQL = None  # fingerprints and merges are beyond SQL; tests compare every stage with brute force
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+POSITION = "training_position"
 
 
 def passing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +30,15 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each source has its share of words: documents come as often as they are taken, in training order."""
-    return source_mix.in_training_order(docs)
+    """Each source has its share of words: documents come as often as they are taken, each copy with its position."""
+    return source_mix.in_training_order(docs, position=POSITION)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``source``, ``n_tokens`` and ``tokens`` of every document of the mix."""
-    tokens = bpe.encode(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, keep=("doc_id", "source"))
+    """``doc_id``, ``source``, ``training_position``, ``n_tokens`` and ``tokens`` of every copy of the mix; the training
+    order is by position, then id."""
+    tokens = bpe.encode(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN,
+                        keep=("doc_id", "source", POSITION))
     return tokens.withColumn("n_tokens", F.size("tokens").cast("long"))
 
 

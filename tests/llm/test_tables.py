@@ -120,6 +120,24 @@ def test_positions_follow_the_schedules(spark):
         assert a * r["t"] + (b - a) * r["t"] ** 2 / 2 == pytest.approx(r["p"], abs=1e-9)
 
 
+def test_training_order_outlives_files(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.randrange(1, 300), rng.choice(["a", "b", "c"])) for i in range(400)] + [(None, "x y", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    folder = str(tmp_path / "mixed")
+    corpus_pipeline.mixed(spark, df, SF).repartition(7).write.parquet(folder)  # several files, no order left
+    out = corpus_pipeline.encoded(spark, spark.read.parquet(folder), SF).collect()
+    planned = [(p, r["doc_id"]) for r in source_mix.mix(df).collect() for p in r["positions"]]
+    order = lambda x: (x[0], x[1] is not None, x[1] or 0)
+    assert sorted(((r["training_position"], r["doc_id"]) for r in out), key=order) == sorted(planned, key=order)
+    ranged = source_mix.in_training_order(df, position="at").collect()
+    assert [(r["at"], r["doc_id"]) for r in ranged] == sorted(planned, key=order)
+    first, last = ([r for r in out if r["source"] == "a" and half == (r["training_position"] > 0.5)] for half in (0, 1))
+    assert sum(r["n_tokens"] for r in first) > 1.3 * sum(r["n_tokens"] for r in last)  # the first source's demand falls
+    with pytest.raises(ValueError):
+        source_mix.in_training_order(df, position="text")
+
+
 def test_pipeline_stages_equal_plain_versions(spark):
     read = lambda: spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r["doc_id"]: r for r in read().collect()}

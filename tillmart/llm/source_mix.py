@@ -108,8 +108,15 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
         "_first", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "positions")
 
 
-def in_training_order(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The documents taken, once per copy, range-sorted by training position, with all their columns."""
+def in_training_order(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text",
+                      position: str | None = None) -> DataFrame:
+    """The documents taken, once per copy, range-sorted by training position and id, with all their columns.
+
+    Rows lose their order once they are written to several files and read again; ``position`` names a column to add that
+    holds each copy's training position.
+    """
+    if position in docs.columns:
+        raise ValueError(f"column {position} is there already")
     planned = plan(_sizes(docs, doc_id, source, text)).filter("copies > 0").select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
         F.col("positions").alias("_positions"))
@@ -118,7 +125,8 @@ def in_training_order(docs: DataFrame, doc_id: str = "doc_id", source: str = "so
     taken = row.join(planned, row["_doc"].eqNullSafe(planned["_id"]) & row["_src"].eqNullSafe(planned["_source"])
                      & (row["_words"] == planned["_size"]))
     copies = taken.select("_row", "_doc", F.explode("_positions").alias("_position"))
-    return copies.repartitionByRange("_position", "_doc").sortWithinPartitions("_position", "_doc").select("_row.*")
+    ranged = copies.repartitionByRange("_position", "_doc").sortWithinPartitions("_position", "_doc")
+    return ranged.select("_row.*", *([F.col("_position").alias(position)] if position else []))
 
 
 ORACLE = """
