@@ -101,6 +101,24 @@ def test_substring_dedup_equals_brute_force(docs, rows):
     assert ordered(map(tuple, substring_dedup.remove_repeats(docs).collect())) == ordered(want)
 
 
+def test_repeated_rows_collect_each_span_once(spark, monkeypatch):
+    given = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, given)] + [(None, given)] * 40
+    pruned = substring_dedup._pruned
+
+    def watched(batches):
+        for batch in batches:
+            assert max(batch.column(2).value_lengths().to_pylist()) <= 151  # windows of one text
+            yield from pruned(iter([batch]))
+
+    alone = spark.createDataFrame(rows[:2], "doc_id long, text string")
+    one = [r for r in substring_dedup.remove_repeats(alone).collect() if r["doc_id"] is None]
+    monkeypatch.setattr(substring_dedup, "_pruned", watched)
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r for r in got if r["doc_id"] is None] == one * 40
+    assert sorted(r["n_removed"] for r in got) == [0] + [200] * 40
+
+
 def fingerprint(text):
     w = words((text or "").translate({c: c + 32 for c in range(65, 91)}))
     parts = [" ".join(w[i:i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])

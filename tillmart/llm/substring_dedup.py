@@ -167,8 +167,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     given = W.small_batches(docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("_id"), F.col(text).alias("_text"))).withColumn(
         "_t", F.hash("_text"))
+    # Rows that repeat id and text give equal spans; as a set they are at most one text's.
     spans = repeats(given.select("_id", "_t", "_text")).groupBy("doc", "text").agg(
-        F.collect_list(F.struct("first", "words")).alias("spans"))
+        F.collect_set(F.struct("first", "words")).alias("spans"))
     spread = given.join(spans, (given["_id"] == spans["doc"]) & (given["_t"] == spans["text"]), "left").select(
         "_id", "_text", "spans")
     empty = F.expr("cast(array() as array<struct<first:int,words:int>>)")
