@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding by merge replay over a corpus shard.
 
-A shard's distinct words are laid out as one run of positions. An inverted index from pair rank to the positions where
-that pair starts lets every merge be applied in rank order to all words at once; a merge touches its two neighbours
-only. Merges never cross words, so shards are independent: each task replays the merges for the words of its own
+A shard's distinct words up to ``SHORT`` bytes are laid out as one run of positions and merged greedily, each on its
+own: a wave takes the pair of least rank in every word, whatever ranks other words are at. There is no inverted index
+from pairs to positions for them. Merges never cross words, so the ids are those of merging in rank order over all words,
+and a wave is a few numpy steps over many words. Longer words use an index of their pairs by rank. Merges never cross words, so shards are independent: each task replays the merges for the words of its own
 texts, and neither texts nor words are shuffled. Memory is bounded by a shard of text and a cache of encoded words.
 
 Defined cases: a null text is an empty one, and an empty text has no ids; strings of control tokens are ordinary text;
@@ -68,8 +69,8 @@ class Replay:
     def merge_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and how many each word has.
 
-        ``index`` orders the positions of pairs by rank, then place. Each wave applies, in rank order, the first entry
-        of every word, and looks up only the pairs on both sides of a merge again.
+        Each wave applies the pair of least rank of every word, found anew over all live positions, and looks up only
+        the pairs on both sides of a merge again.
         """
         sizes = np.array([len(w) for w in words])
         at = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
