@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import duckdb
 import pytest
@@ -283,6 +284,19 @@ def test_classifier_on_odd_tables(spark, docs, rows, none):
     assert quality_classifier.score(none, labels).count() == 0
 
 
+def test_every_labelled_id_teaches_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda x, y, calibration: seen.append((x.tolist(), y.tolist())))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % quality_classifier.FOLDS != quality_classifier.HELD_OUT]
+    df = spark.createDataFrame([(i, f"text of {i} here") for i in ids] + [(ids[0], f"other {j}") for j in range(300)],
+                               "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    monkeypatch.setattr(quality_classifier, "MAX_LABELLED", len(ids))
+    for n in (3, 5):
+        quality_classifier.train(df.repartition(n), labels)
+    assert len(seen[0][1]) == len(ids) and seen[0] == seen[1]
+
+
 def test_temperature_is_set_on_other_rows():
     import numpy as np
 

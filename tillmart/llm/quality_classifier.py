@@ -7,7 +7,8 @@ word order and runs of one word. The network is fitted on the driver on at most
 documents (those with the least hashes of their ids); a part of them, kept from the fit, sets the temperature of its
 probabilities. The word vectors (``BUCKETS`` x ``DIM`` numbers) and the weights are of fixed size, so they are broadcast.
 
-Defined cases: a null or empty text has a zero vector and is scored; repeated rows are scored each; rows without a label,
+Defined cases: a null or empty text has a zero vector and is scored; repeated rows are scored each; of several texts of
+one labelled id the one with the least hash teaches; rows without a label,
 with a null one, or with labels that disagree teach nothing; with fewer than two classes among the labels every score is
 the share of label 1 (0.5 without labels); an empty table gives an empty one; other columns play no part.
 """
@@ -205,10 +206,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other")
     chosen = stored(agreed.select("_labelled", "label", (F.crc32(key) % FOLDS).alias("fold"))
                     .filter(F.col("fold") != HELD_OUT).orderBy(F.md5(key), "_labelled").limit(MAX_LABELLED), "labelled")
-    rows = given.join(F.broadcast(chosen), given["_id"] == chosen["_labelled"]).select(  # at most MAX_LABELLED rows
-        "_text", "fold", "label")
+    rows = given.join(F.broadcast(chosen), given["_id"] == chosen["_labelled"]).groupBy("_labelled", "fold", "label").agg(
+        F.min(F.struct(F.md5(F.col("_text").cast("binary")).alias("h"), "_text")).alias("least")).select(
+        F.col("least._text").alias("_text"), "fold", "label")  # one text per id, so at most MAX_LABELLED rows
     found = rows.mapInArrow(_features(spark.sparkContext.broadcast(vectors)),
-                            "fold long, label int, x array<float>").limit(2 * MAX_LABELLED).toPandas()  # ids may repeat
+                            "fold long, label int, x array<float>").toPandas()
     x = np.stack(found["x"].to_numpy()) if len(found) else np.empty((0, FEATURES), np.float32)
     order = np.lexsort((*x.T[:4], found["label"].to_numpy()))  # the same fit whatever the order of arrival
     x, y = x[order], found["label"].to_numpy()[order]
