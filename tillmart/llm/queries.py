@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tillmart.operators.shared_storage import new_folder
 
 from . import (
-    bpe, chat_format, exact_topk, quality_classifier, quality_rules, secret_scan, simhash, source_mix, substring_dedup,
-    token_rollup,
+    bpe, chat_format, checksum, exact_topk, merkle, quality_classifier, quality_rules, secret_scan, simhash, source_mix,
+    substring_dedup, token_rollup,
 )
 from .storage import stored
 
@@ -128,3 +128,17 @@ def _token_rollup(spark, sf_dir):
     rollup.apply("words-2", token_rollup.changes(given.filter(revised != F.coalesce(by_space, F.lit(0))), "revise",
                                                  words_name, revised))
     return rollup.totals()
+
+
+@query("op12_merkle_manifest", merkle.oracle(("doc_id", "source", "lang", "n_chars"), f"""CASE WHEN {checksum.crc32_sql(
+    "doc_id::VARCHAR")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END"""))
+def _merkle_manifest(spark, sf_dir):
+    given = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    flat = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    tampered = F.coalesce(flat, F.col("text"))
+    proved = merkle.manifest(given, merkle.record(*fields, F.col("text")),
+                             keep={"changed": merkle.record(*fields, tampered)})
+    return proved.withColumn("folded_root", merkle.fold(F.col("changed"), F.col("path"))).select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
