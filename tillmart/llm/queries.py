@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillmart.operators.shared_storage import new_folder
 
 from . import (
-    bpe, chat_format, checksum, exact_topk, merkle, quality_classifier, quality_rules, secret_scan, simhash, source_mix,
+    bpe, chat_format, checksum, conversation_repair, exact_topk, merkle, quality_classifier, quality_rules, secret_scan, simhash, source_mix,
     substring_dedup, token_rollup,
 )
 from .storage import stored
@@ -142,3 +142,9 @@ def _merkle_manifest(spark, sf_dir):
     return proved.withColumn("folded_root", merkle.fold(F.col("changed"), F.col("path"))).select(
         "doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op13_conversation_repair", conversation_repair.oracle())
+def _conversation_repair(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(given), given)
