@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tillmart.operators.shared_storage import new_folder
 
 from . import (
-    bpe, chat_format, checksum, conversation_repair, exact_topk, merkle, quality_classifier, quality_rules, secret_scan, simhash, source_mix,
-    substring_dedup, token_rollup,
+    bpe, chat_format, checksum, conversation_repair, exact_topk, merkle, pii, quality_classifier, quality_rules, secret_scan,
+    simhash, source_mix, substring_dedup, token_rollup,
 )
 from .storage import stored
 
@@ -130,6 +130,13 @@ def _token_rollup(spark, sf_dir):
     return rollup.totals()
 
 
+@query("op11_pii_sanitise", pii.oracle())
+def _pii(spark, sf_dir):
+    return pii.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 @query("op12_merkle_manifest", merkle.oracle(("doc_id", "source", "lang", "n_chars"), f"""CASE WHEN {checksum.crc32_sql(
     "doc_id::VARCHAR")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END"""))
 def _merkle_manifest(spark, sf_dir):
