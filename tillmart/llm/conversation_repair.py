@@ -263,7 +263,7 @@ def repair(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     text), the cost and audit of the cheapest repair, and the digest of the repaired conversation."""
     ids = _ids(wanted)
     last = F.regexp_extract("text", rf"({WORD_BYTES})[\x20\x09-\x0D]*\z", 1)
-    named = stored(rows.join(ids, F.col("conv_id").eqNullSafe(F.col("_id"))).select(
+    named = stored(rows.select("conv_id", "turn", "role", "text").join(ids, F.col("conv_id").eqNullSafe(F.col("_id"))).select(
         "conv", "turn", "role", "text", F.sha2(F.col("text").cast("binary"), 256).alias("_same"),
         F.when(last == "", "d").when(~last.isin(".", "!", "?"), "t").otherwise("-").alias("_own"),
         F.monotonically_increasing_id().alias("_line")), "repair-rows")
