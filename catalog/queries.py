@@ -1164,8 +1164,8 @@ def _(spark, d):
 # The same on stored layers.
 
 @lru_cache(maxsize=2)
-def _stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return layers.store_layers(fixture_tables(spark, sf_dir), new_folder(spark, "layers"))
+def _stored(spark: SparkSession, sf_dir: str) -> layers.Layers:
+    return layers.store_layers(fixture_tables(spark, sf_dir), new_folder(spark, "layers"), DECLARED_CHECKS)
 
 
 @query("stored_run_checks_facts", ORACLES["run_checks_facts"])
@@ -1173,6 +1173,11 @@ def _(spark, d):
     return checks.run_checks(_stored(spark, d), _declared(_LAYERS["facts"]))
 
 
+@query("stored_run_checks_marts", ORACLES["run_checks_marts"])
+def _(spark, d):
+    return _stored(spark, d).checks(_declared(_LAYERS["marts"]), _stg(spark, d))
+
+
 @query("stored_row_counts", ORACLES["row_counts"])
 def _(spark, d):
     raw = fixture_tables(spark, d)
@@ -1184,4 +1189,33 @@ def _(spark, d):
     return analyses.revenue_trends(_stored(spark, d)["orders"])
 
 
+@query("stored_churn_features", ORACLES["fct_customer_churn_features"])
+def _(spark, d):
+    return layers.stored_churn_features(_stored(spark, d))
+
+
+for _name in ("order_items", "orders", "customers"):
+    query(f"stored_mart_{_name}", ORACLES[f"mart_{_name}"])(lambda spark, d, n=_name: _stored(spark, d)[n])
+
+
+# Facts by month, first made while the orders of the last LATE_DAYS days had not come in yet.
+LATE_DAYS = 45
+
+
+@query("refreshed_fct_daily_revenue", ORACLES["fct_daily_revenue"])
+def _(spark, d):
+    m, folder = _marts(spark, d), new_folder(spark, "refreshed")
+    early, _late = scopes.split_at_cutoff(m["orders"], LATE_DAYS)
+    layers.refresh_daily_revenue(early, m["locations"], folder)
+    return layers.refresh_daily_revenue(m["orders"], m["locations"], folder)
+
+
+@query("refreshed_fct_product_performance", ORACLES["fct_product_performance"])
+def _(spark, d):
+    m, folder = _marts(spark, d), new_folder(spark, "refreshed")
+    early, _late = scopes.split_at_cutoff(m["order_items"], LATE_DAYS)
+    layers.refresh_product_performance(early, folder)
+    return layers.refresh_product_performance(m["order_items"], folder)
+
+
 models.register(query, _features, _marts)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+ROW_RULES = ("not_null", "accepted", "expression")
+
 
 def check_not_null(df: DataFrame, col: str) -> DataFrame:
     return df.filter(F.col(col).isNull())
@@ -51,7 +53,7 @@ def run_checks(tables: dict[str, DataFrame], rules: dict[str, Sequence[tuple]])
     out: list[DataFrame] = []
     for table, table_rules in rules.items():
         df = tables[table]
-        row_rules = [r for r in table_rules if r[0] in ("not_null", "accepted", "expression")]
+        row_rules = [r for r in table_rules if r[0] in ROW_RULES]
         if row_rules:
             counted = df.agg(*[F.count_if(_failing(r)).alias(f"c{i}") for i, r in enumerate(row_rules)])
             out.append(counted.select(F.explode(F.array(*[
@@ -69,6 +71,27 @@ def run_checks(tables: dict[str, DataFrame], rules: dict[str, Sequence[tuple]])
     return reduce(DataFrame.unionByName, out)
 
 
+class Watched:
+    """Row rules counted on the rows of a table while they are written, instead of reading the table again."""
+
+    def __init__(self, table: str, rules: Sequence[tuple]):
+        self.table, self.rules = table, [r for r in rules if r[0] in ROW_RULES]
+        self._seen: list[Observation] = []
+
+    def watch(self, df: DataFrame) -> DataFrame:
+        """``df``, counted by the next action on it. Put it right before the write, where each row passes once."""
+        self._seen.append(Observation())
+        return df.observe(self._seen[-1], F.count(F.lit(1)).alias("n_rows"),
+                          *[F.count_if(_failing(r)).alias(f"c{i}") for i, r in enumerate(self.rules)])
+
+    def n_rows(self) -> int:
+        return sum(o.get["n_rows"] for o in self._seen)
+
+    def failures(self) -> list[tuple[str, int]]:
+        """(check_name, failures) over all writes."""
+        return [(rule_name(self.table, r), sum(o.get[f"c{i}"] for o in self._seen)) for i, r in enumerate(self.rules)]
+
+
 def row_counts(tables: dict[str, DataFrame], expected: dict[str, int] | None = None) -> DataFrame:
     """(table_name, n_rows, status) for each table; the status compares with the expected count where there is one."""
     expected = expected or {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -131,14 +131,16 @@ def cohorts(customers: DataFrame, orders: DataFrame) -> DataFrame:
         round_half_away(safe_div("active_customers", "cohort_size"), 4).alias("retention_rate"))
 
 
-def churn_features(customers: DataFrame, orders: DataFrame, holdout_days: int = 30) -> DataFrame:
+def churn_features(customers: DataFrame, orders: DataFrame, holdout_days: int = 30, cutoff: Column | None = None
+                   ) -> DataFrame:
     """One row per customer known at the cutoff, with features from before it and the label from after it.
 
     Everything comes from one roll-up of the orders to (customer, day): order gaps within a day are 0 and the others
     lie between consecutive days, so the window per customer sees at most one row per calendar day however many
-    orders the customer has. The order mart already counts items per order, so the item mart is not read.
+    orders the customer has. The order mart already counts items per order, so the item mart is not read. ``cutoff`` is needed
+    where ``orders`` is a part of them.
     """
-    cutoff = cutoff_date(orders, holdout_days)
+    cutoff = cutoff_date(orders, holdout_days) if cutoff is None else cutoff
     days = orders.groupBy("customer_id", "ordered_at").agg(
         F.count("*").alias("n"), F.sum("order_total").alias("spend"), F.sum("count_food_items").alias("food"),
         F.sum("count_drink_items").alias("drink"), F.sum("count_order_items").alias("items"))

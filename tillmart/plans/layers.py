@@ -2,24 +2,110 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from ..sources.sinks import save_table
+from ..operators import checks
+from ..operators.scope import cutoff_date
+from ..sources.buckets import Bucketed, align, aligned, bucket_count, heavy_keys, save_bucketed
+from ..sources.versions import month_part, publish, refresh
 from . import facts, marts
 from .staging import stage_all
 
 
-def store_layers(raw: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
+class Layers(dict):
+    """Stored tables by name. ``parts`` holds the bucketed ones, and ``checks`` the rules counted while writing."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.parts: dict[str, Bucketed] = {}
+        self._watched: dict[str, checks.Watched] = {}
+
+    def _keep(self, name: str, table: Bucketed) -> Bucketed:
+        self.parts[name], self[name] = table, table.whole()
+        return table
+
+    def checks(self, rules: dict[str, Sequence[tuple]], others: dict[str, DataFrame]) -> DataFrame:
+        """(check_name, failures) of the declared rules of the watched tables: row rules as counted while writing, the
+        rules about more than one row from the stored tables and ``others``."""
+        counted = [f for name in rules if name in self._watched for f in self._watched[name].failures()]
+        seen = {name for name, _ in counted}
+        rest = {t: [r for r in some if checks.rule_name(t, r) not in seen] for t, some in rules.items()}
+        spark = next(iter(self.values())).sparkSession
+        known = spark.createDataFrame(counted, "check_name string, failures bigint")
+        return known.unionByName(checks.run_checks({**others, **self}, rest)) if any(rest.values()) else known
+
+    def row_counts(self) -> dict[str, int]:
+        """Rows of each watched table, as counted while writing."""
+        return {name: w.n_rows() for name, w in self._watched.items()}
+
+
+def store_layers(raw: dict[str, DataFrame], path: str, rules: dict[str, Sequence[tuple]] | None = None) -> Layers:
     """Staging to marts, then facts from the stored marts, as Parquet under ``path``; all of them read back.
 
-    Items are read once, for the item mart; orders, customers and facts start from what is stored.
+    Items and orders are bucketed by order, then orders and customers by customer, so each is shuffled once for all joins,
+    groupings and windows on these keys. Daily and monthly facts are written by month, and again only where their inputs
+    changed. ``rules`` are the declared checks, of which row rules are counted while the tables are written.
     """
-    stg = stage_all(raw)
-    out = {name: save_table(stg[f"stg_{name}"], name, "marts", path=path) for name in ("products", "locations", "supplies")}
-    items = marts.order_items(stg["stg_order_items"], stg["stg_orders"], stg["stg_products"], stg["stg_supplies"])
-    out["order_items"] = save_table(items, "order_items", "marts", path=path)
-    out["orders"] = save_table(marts.orders(stg["stg_orders"], out["order_items"]), "orders", "marts", path=path)
-    out["customers"] = save_table(marts.customers(stg["stg_customers"], out["orders"]), "customers", "marts", path=path)
-    for name, df in facts.build_facts(out).items():
-        out[name] = save_table(df, name, "facts", path=path)
+    stg, out = stage_all(raw), Layers()
+    buckets = bucket_count(stg["stg_orders"].sparkSession)
+
+    def watched(name: str, df: DataFrame) -> DataFrame:
+        if not rules or name not in rules:
+            return df
+        return out._watched.setdefault(name, checks.Watched(name, rules[name])).watch(df)
+
+    def bucketed(layer: str, name: str, parts: Bucketed, key: str, finish=lambda even: even, **how) -> Bucketed:
+        return save_bucketed(Bucketed(parts.even, watched(name, parts.heavy)), key, f"{path}/{layer}/{name}", buckets,
+                             finish=lambda even: watched(name, finish(even)), **how)
+
+    for name in ("products", "locations", "supplies"):
+        out[name] = publish(watched(name, stg[f"stg_{name}"]), f"{path}/marts/{name}")
+
+    big = heavy_keys(stg["stg_order_items"], "order_id", buckets)
+    orders = bucketed("staging", "stg_orders", align(stg["stg_orders"], "order_id", big), "order_id")
+    priced = marts.price_items(stg["stg_order_items"], out["products"], out["supplies"])
+    items = align(priced, "order_id", big)
+    items = bucketed("marts", "order_items", Bucketed(items.even, marts.dated_items(items.heavy, orders.heavy)), "order_id",
+                     lambda even: marts.dated_items(even, orders.even))
+    out._keep("order_items", items)
+
+    big = heavy_keys(stg["stg_orders"], "customer_id", buckets)
+    summed = align(aligned(marts.join_item_summary, orders, items).whole(), "customer_id", big)
+    within = W.partitionBy("customer_id").orderBy(F.asc_nulls_last("ordered_at"), F.asc_nulls_last("order_id"))
+    number = F.row_number().over(within).cast("bigint")
+    mart = bucketed("marts", "orders", Bucketed(summed.even, marts.number_customer_orders(summed.heavy)), "customer_id",
+                    lambda even: even.withColumn("customer_order_number", number), sort_by=["ordered_at"])
+    out._keep("orders", mart)
+    people = bucketed("staging", "stg_customers", align(stg["stg_customers"], "customer_id", big), "customer_id")
+    out._keep("customers", bucketed("marts", "customers", aligned(marts.customers, people, mart), "customer_id", placed=True))
+
+    built = facts.build_facts(out)
+    built["fct_customer_churn_features"] = stored_churn_features(out)
+    out["fct_daily_revenue"] = refresh_daily_revenue(out["orders"], out["locations"], f"{path}/facts/fct_daily_revenue")
+    out["fct_product_performance"] = refresh_product_performance(out["order_items"], f"{path}/facts/fct_product_performance")
+    built = {name: df for name, df in built.items() if name not in out}
+    for name, df in built.items():
+        out[name] = publish(watched(name, df), f"{path}/facts/{name}")
     return out
+
+
+def refresh_daily_revenue(orders: DataFrame, locations: DataFrame, target: str) -> DataFrame:
+    """The daily fact stored by month; months whose orders, or whose orders' place in a customer's history, changed."""
+    return refresh(orders, target, month_part("ordered_at"), lambda o: facts.daily_revenue(o, locations), month_part("date_day"),
+                   [locations])
+
+
+def refresh_product_performance(order_items: DataFrame, target: str) -> DataFrame:
+    """The monthly product fact stored by month; months whose items changed."""
+    dated = order_items.filter(F.col("ordered_at").isNotNull())
+    return refresh(dated, target, month_part("ordered_at"), facts.product_performance, month_part("month"))
+
+
+def stored_churn_features(stored: Layers, holdout_days: int = 30) -> DataFrame:
+    """Churn features from the bucketed marts: no shuffle of orders or customers, but for those of heavy customers."""
+    cutoff = cutoff_date(stored["orders"], holdout_days)
+    return aligned(lambda c, o: facts.churn_features(c, o, holdout_days, cutoff), stored.parts["customers"], stored.parts["orders"]).whole()

@@ -63,9 +63,13 @@ def sales(items: DataFrame, products: DataFrame, supplies: DataFrame | None = No
 def order_items(items: DataFrame, stg_orders: DataFrame, products: DataFrame, supplies: DataFrame | None = None
                 ) -> DataFrame:
     """Order item mart: priced items with the order day. Revenue queries may leave out the supplies and their cost."""
-    days = stg_orders.select("order_id", "ordered_at")
-    costs = [] if supplies is None else ["supply_cost"]
-    return price_items(items, products, supplies).join(days, "order_id", "left").select(
+    return dated_items(price_items(items, products, supplies), stg_orders)
+
+
+def dated_items(priced: DataFrame, stg_orders: DataFrame) -> DataFrame:
+    """Priced items with the day of their order."""
+    costs = [c for c in ("supply_cost",) if c in priced.columns]
+    return priced.join(stg_orders.select("order_id", "ordered_at"), "order_id", "left").select(
         "order_item_id", "order_id", "product_id", "ordered_at", "product_name", "product_price", "is_food_item",
         "is_drink_item", *costs)
 
@@ -75,6 +79,16 @@ def orders(stg_orders: DataFrame, priced_items: DataFrame) -> DataFrame:
 
     Items are summed before the join; an order without items keeps NULL counts, flags and cost.
     """
+    return join_item_summary(number_customer_orders(stg_orders), priced_items).select(
+        *stg_orders.columns, *ITEM_SUMMARY, "customer_order_number")
+
+
+ITEM_SUMMARY = ["order_cost", "order_items_subtotal", "count_food_items", "count_drink_items", "count_order_items",
+                "is_food_order", "is_drink_order"]
+
+
+def join_item_summary(stg_orders: DataFrame, priced_items: DataFrame) -> DataFrame:
+    """Orders with what their items add up to."""
     summary = priced_items.groupBy("order_id").agg(
         F.sum("supply_cost").alias("order_cost"),
         F.sum("product_price").alias("order_items_subtotal"),
@@ -83,8 +97,7 @@ def orders(stg_orders: DataFrame, priced_items: DataFrame) -> DataFrame:
         F.count("order_item_id").alias("count_order_items"))
     flagged = (summary.withColumn("is_food_order", F.col("count_food_items") > 0)
                .withColumn("is_drink_order", F.col("count_drink_items") > 0))
-    return number_customer_orders(stg_orders).join(flagged, "order_id", "left").select(
-        *stg_orders.columns, *[c for c in flagged.columns if c != "order_id"], "customer_order_number")
+    return stg_orders.join(flagged, "order_id", "left").select(*stg_orders.columns, *ITEM_SUMMARY)
 
 
 def number_customer_orders(stg_orders: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ def save_table(df: DataFrame, name: str, layer: str | None = None, *, path: str
                partition_by: list[str] | None = None) -> DataFrame:
     """Write a mart or fact table and return it read back, so that later work starts from the stored files.
 
-    With ``path`` the table is Parquet under ``<path>/<layer>/<name>``; without, a catalog table ``<layer>.<name>``.
+    With ``path`` the table is Parquet under ``<path>/<layer>/<name>``; without, a catalog table ``<layer>.<name>``. Either
+    is overwritten in place; ``versions.publish`` and ``versions.refresh`` keep the old table until the new one is whole.
     """
     spark, writer = df.sparkSession, df.write.mode("overwrite")
     if partition_by:
