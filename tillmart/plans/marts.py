@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import truncate_to
 
-#: Order ids that are numbered together: 2**ID_BITS whole numbers, or texts with equal first ID_PREFIX characters.
-ID_BITS, ID_PREFIX = 12, 3
+#: Bounds of ranges of order ids come from a sample of about SAMPLE orders; every STEP of one customer and day are a range.
+SAMPLE, STEP = 16384, 64
 
 
 def product_dimension(products: DataFrame, supplies: DataFrame | None = None) -> DataFrame:
@@ -107,17 +107,8 @@ def number_customer_orders(stg_orders: DataFrame) -> DataFrame:
     one task. Orders are numbered inside (customer, day, range of order ids) and shifted by the customer's orders in
     earlier ranges, which a window over the counts of those ranges gives.
     """
-    types = dict(stg_orders.dtypes)
-    whole = types["order_id"] in ("tinyint", "smallint", "int", "bigint")
-    id_range = (F.shiftright(F.col("order_id").cast("bigint"), ID_BITS) if whole
-                else F.substring(F.col("order_id").cast("string"), 1, ID_PREFIX))
-    keyed = stg_orders.select(
-        "*", F.col("customer_id").isNull().alias("_guest"),
-        F.coalesce("customer_id", F.lit("0").cast(types["customer_id"])).alias("_who"),
-        F.coalesce("ordered_at", F.lit("9999-12-31").cast("timestamp_ntz")).alias("_day"),
-        F.col("order_id").isNull().alias("_unknown"),
-        F.coalesce(id_range, F.lit("0").cast("bigint" if whole else "string")).alias("_range"))
     group = ["_guest", "_who", "_day", "_unknown", "_range"]
+    keyed = _in_ranges(stg_orders)
     earlier = W.partitionBy("_guest", "_who").orderBy("_day", "_unknown", "_range").rowsBetween(W.unboundedPreceding, -1)
     before = (keyed.groupBy(*group).agg(F.count("*").alias("_n"))
               .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
@@ -127,6 +118,31 @@ def number_customer_orders(stg_orders: DataFrame) -> DataFrame:
             .select(*stg_orders.columns, "customer_order_number"))
 
 
+def _in_ranges(stg_orders: DataFrame) -> DataFrame:
+    """Orders with customer, day and ``_range``: which of the ranges of order ids of that customer and day they lie in.
+
+    The bounds are taken from the data, so ids may be of any type, random, or begin alike. A sample by hash holds STEP
+    orders of one customer and day only where these hold about STEP / SAMPLE of all orders; only such days are cut, at
+    every STEP-th id of the sample, so there are about SAMPLE / STEP bounds in all, however many orders. Any bounds give the
+    same numbers: a sample read again need not be the same one.
+    """
+    types = dict(stg_orders.dtypes)
+    keyed = stg_orders.select(
+        "*", F.col("customer_id").isNull().alias("_guest"),
+        F.coalesce("customer_id", F.lit("0").cast(types["customer_id"])).alias("_who"),
+        F.coalesce("ordered_at", F.lit("9999-12-31").cast("timestamp_ntz")).alias("_day"),
+        F.col("order_id").isNull().alias("_unknown"))
+    one_in = F.greatest(F.lit(1), F.floor(stg_orders.agg(F.count("*").alias("_all")).scalar() / SAMPLE))
+    sample = keyed.filter(~F.col("_unknown") & (F.pmod(F.xxhash64("order_id"), one_in) == 0))
+    ids = F.array_sort(F.collect_set("order_id"))
+    bounds = (sample.groupBy("_guest", "_who", "_day").agg(ids.alias("_ids")).filter(F.size("_ids") > STEP)
+              .select("_guest", "_who", "_day", F.filter("_ids", lambda _, i: i % STEP == STEP - 1).alias("_bounds")))
+    found = F.size(F.filter("_bounds", lambda b: b <= F.col("order_id")))
+    # About SAMPLE / STEP ids in all.
+    return keyed.join(F.broadcast(bounds), ["_guest", "_who", "_day"], "left").withColumn(
+        "_range", F.when(F.col("_unknown") | F.col("_bounds").isNull(), 0).otherwise(found)).drop("_bounds")
+
+
 def customers(stg_customers: DataFrame, orders: DataFrame) -> DataFrame:
     """Customer mart; a customer without orders is ``new`` with NULL totals."""
     summary = orders.groupBy("customer_id").agg(
