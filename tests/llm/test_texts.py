@@ -84,6 +84,18 @@ def test_bpe_of_long_words_and_texts(monkeypatch):
     assert ids.tolist() == want and counts.tolist() == [len(encoding.encode_ordinary(t)) for t in texts]
 
 
+def test_texts_without_ids_are_told_apart(spark):
+    """Texts with equal 32-bit hashes, in parts of different length, and the greatest id, which comes back as it was."""
+    texts = {n: " ".join(f"{n}x{i}" for i in range(1, 71)) for n in (6417, 100652, 107616, 137784)}
+    given = spark.createDataFrame([(None, t) for t in texts.values()] + [((1 << 63) - 1, "w " * 60), (5, texts[6417] + " more")],
+                                  "doc_id long, text string")
+    alike = given.filter("doc_id IS NULL").groupBy(F.hash("text")).count()
+    assert [r["count"] for r in alike.collect()] == [2, 2]
+    got = substring_dedup.remove_repeats(given).collect()
+    assert sorted(r["n_removed"] for r in got) == [0, 0, 0, 0, 0, 70]  # only what document 5 has, too
+    assert (1 << 63) - 1 in {r["doc_id"] for r in got}
+
+
 def test_substring_dedup_equals_brute_force(docs, rows):
     big, least = 1 << 70, {}
     tokens = [(d, words(t)) for d, t in rows]

@@ -17,7 +17,7 @@ anchor and window).
 
 Defined cases: a null text has no words; texts under ``WINDOW`` words are kept whole; repeats inside one document are
 kept; rows with equal ids count as one document's and are each judged; a null id counts as larger than any other, and
-nothing is removed for another null id's sake; an empty table gives an empty one; other columns play no part.
+nothing is removed for another null id's sake; texts of one id are told apart by 128 bits; an empty table gives an empty one; other columns play no part.
 """
 
 from __future__ import annotations
@@ -129,7 +129,7 @@ def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame) -> DataFrame:
     """From (_id, _t, _text): (doc, text, first, words) of covered stretches, overlapping ones not yet joined."""
     every = stored(docs.mapInArrow(
-        _occurrences, "anchor long, region long, doc long, text int, first int, windows int"), "anchors")
+        _occurrences, "anchor long, region long, doc long, text binary, first int, windows int"), "anchors")
     shared = every.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi")
     # Sides that were grouped are stored before they are joined: a hot key of the other side can then be split.
     shared = stored(shared.select("anchor"), "repeated-anchors")
@@ -165,18 +165,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """``doc_id``, ``n_words``, ``n_removed`` and ``kept`` (the kept words, one space between) of each document."""
     kind = docs.schema[doc_id].dataType.simpleString()
     given = W.small_batches(docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("_id"), F.col(text).alias("_text"))).withColumn(
-        "_t", F.hash("_text"))
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("_id"), F.col(text).alias("_text"),
+        F.col(doc_id).alias("_given"))).withColumn("_t", F.unhex(F.md5(F.col("_text").cast("binary"))))
     # Rows that repeat id and text give equal spans; as a set they are at most one text's.
     spans = repeats(given.select("_id", "_t", "_text")).groupBy("doc", "text").agg(
         F.collect_set(F.struct("first", "words")).alias("spans"))
     spread = given.join(spans, (given["_id"] == spans["doc"]) & (given["_t"] == spans["text"]), "left").select(
-        "_id", "_text", "spans")
+        "_given", "_text", "spans")
     empty = F.expr("cast(array() as array<struct<first:int,words:int>>)")
     out = spread.withColumn("spans", F.coalesce("spans", empty)).mapInArrow(
-        _pruned, "_id long, n_words long, n_removed long, kept string")
-    return out.select(F.when(F.col("_id") != NULL_ID, F.col("_id")).cast(kind).alias(doc_id), "n_words", "n_removed",
-                      "kept")
+        _pruned, f"_id {kind}, n_words long, n_removed long, kept string")
+    return out.withColumnRenamed("_id", doc_id)
 
 
 ORACLE = r"""
