@@ -2,6 +2,7 @@
 
 import statistics
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -96,3 +97,36 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], "id bigint, g int, v bigint")
     assert ordered.rank_rows(df, "v", "r", ["g"], tie_break=["id"]).count() == 0
     assert ordered.number_rows(df, order(), "rn").count() == 0
+
+
+def test_runs_across_partitions_with_values_that_compare_oddly(spark):
+    """Nulls, not-a-number and both zeros are equal to themselves, in groups and values that span partitions and batches."""
+    nan = float("nan")
+    rows = [(i, [None, nan, 0.0, -0.0, 1.0][i % 5] if i % 3 else 7.0, [None, nan, 0.0, -0.0, 2.0, 2.0, 2.0][i % 7]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id int, g double, v double").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        ranked = ordered.rank_rows(df, "v", "r", ["g"], tie_break=["id"])
+        numbered = ordered.number_rows_within(ranked, ["g"], [F.col("v").desc_nulls_last(), F.col("id")], "n")
+        window = W.partitionBy("g").orderBy(F.col("v").desc_nulls_last())
+        wanted = numbered.withColumn("r2", F.rank().over(window)).withColumn("n2", F.row_number().over(window.orderBy(
+            F.col("v").desc_nulls_last(), "id")))
+        assert wanted.count() == 4000 and wanted.filter("r <> r2 OR n <> n2").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_one_range_exchange_per_rank(spark):
+    df = spark.range(2000).selectExpr("id", "id % 3 AS g", "id % 50 AS v")
+    ranked = ordered.rank_rows(df, "v", "r", ["g"], tie_break=["id"])
+    plan = ranked._jdf.queryExecution().executedPlan().toString()  # from the stored rows on
+    assert plan.count("Exchange") == plan.count("BroadcastExchange") and "Window" not in plan
+
+
+def test_a_run_goes_on_through_whole_partitions():
+    """Partitions of one run only, between others: the carry adds up."""
+    scan = ordered._run_starts([["g"], ["g", "v"]])
+    batches = [pa.RecordBatch.from_pydict({"g": [1, 1], "v": [5, 5]}), pa.RecordBatch.from_pydict({"g": [], "v": []}, schema=pa.schema(
+        [("g", pa.int64()), ("v", pa.int64())])), pa.RecordBatch.from_pydict({"g": [1, 2, 2], "v": [4, 4, 4]})]
+    out = pa.Table.from_batches(list(scan(iter(batches)))).to_pydict()
+    assert out["_s0"] == [0, 0, 0, 3, 3] and out["_s1"] == [0, 0, 2, 3, 3]

@@ -8,32 +8,106 @@ value shared by many rows is still cut into several partitions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..deploy import ship
 from .shared_storage import new_folder
 
 ROW_BITS = 33  # monotonically_increasing_id: partition number above 33 bits of row position
 
 
-def _sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Range-sort and store the rows with their partition number and position.
+def _sorted(df: DataFrame, order: Sequence[Column], runs: Sequence[Sequence[str]] = ()) -> DataFrame:
+    """Range-sort and store the rows with their partition number and position; for each of ``runs``, columns that lead the
+    order, ``_s0``, ``_s1``, ... tell the position at which the row's run of equal values began in the partition.
 
     Stored because the partition bounds are sampled: both passes below must see the same ones. Stored as Parquet, so a
     pass reads only the columns it needs.
     """
     row = F.monotonically_increasing_id()
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", row)
-    numbered = (ranged.withColumn("_part", F.shiftright("_row", ROW_BITS))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    if runs:
+        ship(df.sparkSession)
+        starts = StructType(list(df.schema.fields))
+        for i in range(len(runs)):
+            starts = starts.add(f"_s{i}", "long")
+        ranged = ranged.mapInArrow(_run_starts(runs), starts)
+    numbered = ranged.withColumn("_row", row)
+    numbered = (numbered.withColumn("_part", F.shiftright("_row", ROW_BITS))
                 .withColumn("_pos", F.col("_row").bitwiseAND((1 << ROW_BITS) - 1)).drop("_row"))
     folder = new_folder(df.sparkSession, "sorted")
     numbered.write.parquet(folder)
     return df.sparkSession.read.schema(numbered.schema).parquet(folder)
 
 
+def _unlike(now: pa.Array, before: pa.Array) -> np.ndarray:
+    """Where two columns differ; null equals null, and not-a-number itself."""
+    same = pc.fill_null(pc.equal(now, before), False)
+    same = pc.or_(same, pc.and_(pc.is_null(now), pc.is_null(before)))
+    if pa.types.is_floating(now.type):
+        same = pc.or_(same, pc.fill_null(pc.and_(pc.is_nan(now), pc.is_nan(before)), False))
+    return ~same.to_numpy(zero_copy_only=False)
+
+
+def _run_starts(runs: Sequence[Sequence[str]]) -> Callable:
+    """Adds the starts of runs to the batches of one sorted partition; between batches only the last row is kept."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at, begun = None, 0, [0] * len(runs)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            out = list(batch.columns)
+            for i, columns in enumerate(runs):
+                new = np.zeros(n, bool)
+                new[0] = last is None
+                for name in columns:
+                    now = batch.column(name)
+                    first = now.slice(0, 1) if last is None else last.column(name)
+                    new |= _unlike(now, pa.concat_arrays([first, now.slice(0, n - 1)]))
+                starts = np.maximum.accumulate(np.where(new, at + np.arange(n), begun[i]))
+                begun[i] = int(starts[-1])
+                out.append(pa.array(starts, pa.int64()))
+            last, at = batch.slice(n - 1, 1), at + n
+            yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names, *[f"_s{i}" for i in range(len(runs))]])
+
+    return scan
+
+
+def _with_carries(rows: DataFrame, runs: Sequence[Sequence[str]]) -> DataFrame:
+    """``rows`` of ``_sorted`` with ``_c0``, ``_c1``, ...: the rows in earlier partitions of the run that the partition
+    begins with. Only rows whose run starts at 0 belong to it. The driver sees one row per partition."""
+    ends = []
+    for i, columns in enumerate(runs):
+        key = F.struct(F.lit(0).alias("_none"), *columns)
+        ends += [F.min_by(key, "_pos").alias(f"_first{i}"), F.max_by(key, "_pos").alias(f"_last{i}"),
+                 F.max_by(f"_s{i}", "_pos").alias(f"_start{i}")]
+    found = rows.groupBy("_part").agg((F.max("_pos") + 1).alias("_n"), *ends).collect()
+    carries, open_ = [], [(None, 0)] * len(runs)
+    for part in sorted(found, key=lambda r: r["_part"]):
+        carry = []
+        for i in range(len(runs)):
+            first, last = _comparable(part[f"_first{i}"]), _comparable(part[f"_last{i}"])
+            carry.append(open_[i][1] if open_[i][0] == first else 0)
+            begun = carry[-1] if part[f"_start{i}"] == 0 else 0
+            open_[i] = (last, begun + part["_n"] - part[f"_start{i}"])
+        carries.append((part["_part"], *carry))
+    names = "_part long" + "".join(f", _c{i} long" for i in range(len(runs)))
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(carries, names)), "_part")  # one row per partition
+
+
+def _comparable(key) -> str:
+    """Equal for values that sort as equal: 0.0 and -0.0, or two that are no numbers."""
+    return repr(tuple(x + 0.0 if isinstance(x, float) else x for x in key))
+
+
 def _with_earlier(rows: DataFrame, weight: Column) -> DataFrame:
     """Add ``_before`` (weight in earlier partitions) and ``_all`` (total weight)."""
     per_part = rows.groupBy("_part").agg(F.sum(weight).alias("_w"))
@@ -74,56 +148,32 @@ def prefix_sum(df: DataFrame, order: Sequence[Column], value: str, name: str, to
     return out.drop("_part", "_pos")
 
 
-def _heads(rows: DataFrame, by: Sequence[str], carry: str, value: str | None = None) -> DataFrame:
-    """One row per partition about the group its first row belongs to: the group's rows in earlier partitions.
-
-    Only the first group of a partition can reach back into earlier ones. The group columns come as ``_h0``, ...
-    """
-    keys = [*by, value] if value else list(by)
-    counts = rows.groupBy("_part", *keys).agg(F.count("*").alias("_c"), F.min("_pos").alias("_first"))
-    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    summed = counts.withColumn(carry, F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
-    return summed.filter("_first = 0").select("_part", *[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], carry)
-
-
 def number_rows_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "row_number"
                        ) -> DataFrame:
     """``row_number() over (partition by ... order by ...)`` for groups of any size. ``order`` must be unique.
 
-    Rows are numbered per (partition, group); a group that began in an earlier partition goes on from its count.
+    A row's place in its group's run in the partition goes on from the group's rows in earlier partitions.
     """
-    rows = _sorted(df, [F.col(b).asc_nulls_last() for b in by] + list(order))
-    local = F.row_number().over(W.partitionBy("_part", *by).orderBy("_pos"))
-    head = _heads(rows, by, "_carry")
-    in_head = _all_equal([(b, f"_h{i}") for i, b in enumerate(by)])
-    number = local + F.when(in_head, F.col("_carry")).otherwise(0)
-    return (rows.join(F.broadcast(head), "_part")  # one row per partition
-            .withColumn(name, number.cast("bigint")).select(*df.columns, name))
+    runs = [list(by)]
+    rows = _with_carries(_sorted(df, [F.col(b).asc_nulls_last() for b in by] + list(order), runs), runs)
+    number = F.col("_pos") - F.col("_s0") + 1 + F.when(F.col("_s0") == 0, F.col("_c0")).otherwise(0)
+    return rows.withColumn(name, number.cast("bigint")).select(*df.columns, name)
 
 
 def rank_rows(df: DataFrame, value: str, name: str, by: Sequence[str] = (), *, descending: bool = True,
               tie_break: Sequence[str]) -> DataFrame:
     """``rank() over (partition by ... order by value)``, NULL values last, for groups of any size.
 
-    Rows are ranked per (partition, group). Rows of the partition's first group add the group's rows in earlier
-    partitions, except those that tie with them: these can only tie with the partition's first value.
+    The rank is the place of the row's first equal in its group. Rows of the partition's first group add the group's rows in
+    earlier partitions, except those that tie with them: these can only tie with the partition's first value.
     """
     key = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
     order = [F.col(b).asc_nulls_last() for b in by] + [key] + [F.col(t).asc_nulls_last() for t in tie_break]
-    rows = _sorted(df, order)
-    local = F.rank().over(W.partitionBy("_part", *by).orderBy(key))
-    keys = [*by, value]
-    first_values = rows.filter("_pos = 0").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
-    tied = rows.join(F.broadcast(first_values),  # at most one row per partition
-                     _all_equal([(k, f"_k{i}") for i, k in enumerate(keys)]), "left_semi")
-    head = _heads(rows, by, "_carry").join(
-        _heads(tied, by, "_tie_carry", value).select("_part", F.col(f"_h{len(by)}").alias("_head_value"),
-                                                     "_tie_carry"), "_part")
-    in_head = _all_equal([(b, f"_h{i}") for i, b in enumerate(by)])
-    ties = F.when(F.col(value).eqNullSafe(F.col("_head_value")), F.col("_tie_carry")).otherwise(0)
-    rank = local + F.when(in_head, F.col("_carry") - ties).otherwise(0)
-    return (rows.join(F.broadcast(head), "_part")  # one row per partition
-            .withColumn(name, rank.cast("bigint")).select(*df.columns, name))
+    runs = [list(by), [*by, value]]
+    rows = _with_carries(_sorted(df, order, runs), runs)
+    earlier = F.col("_c0") - F.when(F.col("_s1") == 0, F.col("_c1")).otherwise(0)
+    rank = F.col("_s1") - F.col("_s0") + 1 + F.when(F.col("_s0") == 0, earlier).otherwise(0)
+    return rows.withColumn(name, rank.cast("bigint")).select(*df.columns, name)
 
 
 def _all_equal(pairs: Sequence[tuple[str, str]]) -> Column:
