@@ -190,9 +190,10 @@ def _discloses(joint: str, term: str, entity: str = "n_entity", total: str = "n_
 
 
 def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n_term) over all texts."""
+    """(term, n_term) over all texts, stored, as they are read several times."""
     words = F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), GAP, -1)
-    return docs.select(F.explode(words).alias("term")).filter("term <> ''").groupBy("term").agg(F.count("*").alias("n_term"))
+    return stored(docs.select(F.explode(words).alias("term")).filter("term <> ''").groupBy("term").agg(
+        F.count("*").alias("n_term")), "pii-counts")
 
 
 def disclosures(mentions: DataFrame, counts: DataFrame) -> DataFrame:
@@ -201,15 +202,15 @@ def disclosures(mentions: DataFrame, counts: DataFrame) -> DataFrame:
     joint = stored(mentions.groupBy("kind", "value", "term").agg(F.count("*").alias("n_joint")).withColumn("_class", _class(F.col("term"))),
                    "pii-joint")
     entities = joint.groupBy("kind", "value").agg(F.sum("n_joint").alias("n_entity"))
-    total = counts.agg(F.coalesce(F.sum("n_term"), F.lit(0)).alias("n_all"))
+    n_all = F.lit(counts.agg(F.coalesce(F.sum("n_term"), F.lit(0))).first()[0])
     often = joint.filter(F.col("n_joint") >= SUPPORT)
     # One row per term on either side, then a copy per salt, which a term near many entities is spread by.
     salted = counts.join(often.select("term").distinct(), "term").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = often.withColumn("_salt", F.pmod(F.xxhash64("kind", "value"), F.lit(SALTS)).cast("int"))
     open_ = spread.join(salted, ["term", "_salt"]).drop("_salt").filter(F.col("n_joint") * (1 << LEFT) > F.col("n_term"))
-    told = stored(open_.join(entities, ["kind", "value"]).join(F.broadcast(total)).filter(_discloses("n_joint", "n_term")),
-                  "pii-told")  # total: one row
+    told = stored(open_.join(entities, ["kind", "value"]).withColumn("n_all", n_all).filter(_discloses("n_joint", "n_term")),
+                  "pii-told")
     classes = told.select("_class").distinct()
     n_class = counts.groupBy(_class(F.col("term")).alias("_class")).agg(F.sum("n_term").alias("n_class")).join(classes, "_class")
     near = told.select("kind", "value", "_class").distinct()
