@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillmart import functions as fn
-from tillmart.operators import aggregates, checks
+from tillmart.operators import aggregates, checks, distinct
 from tillmart.operators import scope as scopes
 from tillmart.operators.shared_storage import materialize, new_folder
 from tillmart.plans import analyses, facts, layers, marts, metrics, reports, staging
@@ -187,6 +187,27 @@ def _(spark, d):
         GROUP BY location_name, customer_type""", {f"v_{k}": v for k, v in m.items()})
 
 
+# -- distinct counts that merge: bitmaps of days become those of weeks and months --------------------------------------
+
+DISTINCT = ["customer_id", "location_id", "order_id"]
+for _unit in ("week", "month"):
+    @query(f"distinct_by_{_unit}", with_ctes(f"""SELECT date_trunc('{_unit}', ordered_at)::TIMESTAMP AS {_unit},
+        count(DISTINCT customer_id) AS customer_id, count(DISTINCT location_id) AS location_id,
+        count(DISTINCT order_id) AS order_id FROM stg_orders GROUP BY 1"""))
+    def _(spark, d, unit=_unit):
+        days = distinct.distinct_states(_stg(spark, d)["stg_orders"], ["ordered_at"], DISTINCT)
+        merged = distinct.merge_states(days, **{unit: fn.truncate_to("ordered_at", unit)})
+        return distinct.state_counts(merged, [unit], DISTINCT)
+
+
+@query("distinct_by_location", with_ctes("""SELECT location_id, count(DISTINCT customer_id) AS customer_id,
+    count(DISTINCT order_id) AS order_id, count(DISTINCT strftime(ordered_at, '%Y-%m')) AS months
+    FROM stg_orders GROUP BY 1"""))
+def _(spark, d):
+    orders = _stg(spark, d)["stg_orders"].withColumn("months", fn.month_key("ordered_at"))
+    return distinct.distinct_counts(orders, ["location_id"], ["customer_id", "order_id", "months"])
+
+
 # -- staging ----------------------------------------------------------------------------------------------------------
 
 for _name, _money in {"stg_customers": "", "stg_orders": "subtotal tax_paid order_total", "stg_order_items": "",
