@@ -120,6 +120,35 @@ def test_positions_follow_the_schedules(spark):
         assert a * r["t"] + (b - a) * r["t"] ** 2 / 2 == pytest.approx(r["p"], abs=1e-9)
 
 
+def test_equal_rows_are_taken_one_by_one(spark, monkeypatch):
+    rows = [(None, "w " * 50, "a", k % 3) for k in range(400)] + [(7, "v " * 50, "a", 0)] * 300 + [(1, "x " * 2000, "b", 0)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    monkeypatch.setattr(source_mix, "EQUAL", 64)
+    got = source_mix.mix(df.repartition(5)).collect()
+    assert len(got) == len(rows)
+    for source, size in (("a", 50), ("b", 2000)):
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= size / 2
+    results = []
+    for parts in (1, 3, 9):
+        out = source_mix.in_training_order(df.repartition(parts), position="at").collect()
+        results.append(sorted(map(repr, out)))
+        planned = [(p, r["source"]) for r in got for p in r["positions"]]
+        assert sorted((r["at"], r["source"]) for r in out) == sorted(planned)
+    assert results[0] == results[1] == results[2]
+
+
+def test_schedules_decide_the_positions(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    read = lambda: {r["doc_id"]: (r["taken"], r["first_position"]) for r in queries.QUERIES["op8_source_mix"](
+        spark, SF).collect()}
+    before = read()
+    monkeypatch.setattr(source_mix, "SCHEDULES", ((0.5, 1.5), (1.2, 0.8), (1.0, 1.0)))
+    after = read()
+    assert len(before) == df.count() and {d: t for d, (t, _) in before.items()} == {d: t for d, (t, _) in after.items()}
+    assert sum(before[d][1] != after[d][1] for d in before) > 0.9 * sum(p is not None for _, p in before.values())
+
+
 def test_training_order_outlives_files(spark, tmp_path):
     rng = random.Random(12)
     rows = [(i, "w " * rng.randrange(1, 300), rng.choice(["a", "b", "c"])) for i in range(400)] + [(None, "x y", "a")]

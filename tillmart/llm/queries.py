@@ -62,9 +62,10 @@ def _secret_scan(spark, sf_dir):
         F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
-@query("op8_source_mix", source_mix.ORACLE)
+@query("op8_source_mix", source_mix.oracle())
 def _source_mix(spark, sf_dir):
-    return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return source_mix.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "copies", "first_position", "last_position")
 
 
 @query("op2_substring_dedup", substring_dedup.ORACLE)
