@@ -172,6 +172,14 @@ def test_keep_one_keeps_the_least_id_of_each_group(docs, rows):
     assert ordered((r["doc_id"],) for r in kept.collect()) == ordered((least,) for least in wanted.values())
 
 
+def test_keep_one_is_the_same_for_any_partitioning(spark):
+    text = "one text that many rows of one id hold in full"
+    rows = [(3, text, f"x{i}") for i in range(50)] + [(None, "", None), (None, None, "n"), (3, text, None), (9, text, "late")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other string")
+    kept = [sorted(map(repr, simhash.keep_one(df.repartition(n)).collect())) for n in (1, 4, 17)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
+
+
 def test_bk_tree_finds_what_a_scan_finds():
     rng, tree, values = random.Random(8), simhash.BKTree(), []
     for _ in range(400):

@@ -210,13 +210,20 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with the least id of their groups, one row each, with all their columns."""
+    """The documents with the least id of their groups, one row each, with all their columns.
+
+    Of several rows with that id and fingerprint, the one whose columns hash to the least value stays, so the result does not
+    depend on how rows are partitioned. Texts are fingerprinted once; the rows that stay are found again by that hash.
+    """
     names = [f"_c{i}" for i in range(len(docs.columns))]  # so no column clashes with those added here
     given = docs.toDF(*names)
     its_id, its_text = names[docs.columns.index(doc_id)], names[docs.columns.index(text)]
-    found = materialize(fingerprints(given, [its_id], its_text))
-    kept = _groups(found, its_id).filter(F.col("_fp") == F.col("_keeper")).select(
+    rest = F.to_json(F.struct(*[n for n in names if n != its_text]))
+    in_text = F.md5(F.col(its_text).cast("binary"))  # 32 digits, none for a null
+    hashed = given.withColumn("_key", F.md5(F.concat(F.coalesce(in_text, F.lit("-")), rest).cast("binary")))
+    found = materialize(fingerprints(hashed, [its_id, "_key"], its_text))
+    groups = _groups(found, its_id).filter(F.col("_fp") == F.col("_keeper")).select(
         F.col("_fp").alias("_kept_fp"), F.col("component_id").alias("_kept_id"))
-    marked = fingerprints(given, names, its_text)
-    return (marked.join(kept, (marked["_fp"] == kept["_kept_fp"]) & marked[its_id].eqNullSafe(kept["_kept_id"]))
-            .dropDuplicates(["_kept_fp", "_kept_id"]).select(*names).toDF(*docs.columns))
+    kept = (found.join(groups, (found["_fp"] == groups["_kept_fp"]) & found[its_id].eqNullSafe(groups["_kept_id"]))
+            .groupBy("_kept_fp", "_kept_id").agg(F.min("_key").alias("_key")).select("_key"))
+    return hashed.join(kept, "_key").dropDuplicates(["_key"]).select(*names).toDF(*docs.columns)  # equal rows only
