@@ -125,6 +125,27 @@ def register(query, features, marts) -> None:
 
     query("cluster_assignment", with_ctes(assigned_sql + " SELECT * FROM assigned"))(assigned)
 
+    @query("cluster_step", with_ctes(assigned_sql + f""" SELECT (list_position(d, list_min(d)) - 1)::INT AS cluster,
+        count(*) AS customers, {rnd('sum(list_min(d))', 6)} AS cost, {", ".join(
+            rnd(f"avg(z{i})", 6) + f" AS {c}" for i, c in enumerate(segments.DIMS))} FROM far GROUP BY 1"""))
+    def _(spark, d):
+        moved = segments.cluster_step(features(spark, d), centres).filter("customers > 0")
+        return moved.select("cluster", "customers", *[round_half_away(c, 6).alias(c) for c in ["cost", *segments.DIMS]])
+
+    norm, inner = " + ".join(f"z{i} * z{i}" for i in range(4)), " + ".join(f"z{i} * m{i}" for i in range(4))
+
+    @query("cluster_silhouette", with_ctes(assigned_sql + f""",
+      p AS (SELECT *, list_position(d, list_min(d)) AS c, {norm} AS q, row_number() OVER () AS i FROM far),
+      s AS (SELECT c AS oc, count(*) AS n, avg(q) AS mq, {", ".join(f"avg(z{i}) AS m{i}" for i in range(4))} FROM p GROUP BY c),
+      e AS (SELECT i, c, oc, n, (q + mq - 2 * ({inner})) * CASE WHEN c = oc THEN n / nullif(n - 1.0, 0) ELSE 1 END AS far
+            FROM p, s),
+      v AS (SELECT i, max(far) FILTER (c = oc) AS a, min(far) FILTER (c <> oc) AS b FROM e GROUP BY i)
+      SELECT {rnd('avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END)', 6)} AS silhouette_squared
+      FROM v"""))
+    def _(spark, d):
+        return segments.given_silhouette(features(spark, d), centres).select(
+            round_half_away("silhouette_squared", 6).alias("silhouette_squared"))
+
     profiles_sql = assigned_sql + f""", profiles AS (SELECT cluster, count(*) AS customers,
         {even('avg(recency)', 1)} AS avg_recency, {even('avg(frequency)', 1)} AS avg_frequency,
         {even('avg(monetary)', 1)} AS avg_spend, {even('avg(food_item_pct)', 1)} AS avg_food_pct FROM assigned GROUP BY 1)"""

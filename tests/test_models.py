@@ -7,10 +7,11 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import SF
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
 from catalog.queries import _features, _marts
-from tillmart.models import anomaly, churn, decompose, ltv, segments, shapley, special
+from tillmart.models import anomaly, churn, decompose, lloyd, ltv, scaling, segments, shapley, special
 
 
 @pytest.fixture(scope="module")
@@ -115,6 +116,50 @@ def test_kmeans(features):
     assert [r.avg_recency for r in radar if r.cluster == best] == [1.0]
 
 
+def test_kmeans_passes_equal_plain_versions(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(c, 0.6, (80, 2)) for c in ((0, 0), (4, 0), (0, 5))] + [np.zeros((40, 2))])
+    rows = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, a double, b double")
+    models = [[[0.0, 0.0], [3.0, 1.0]], [[1.0, 1.0], [1.0, 1.0], [9.0, 9.0]]]
+    got = {(r.model, r.cluster): r for r in lloyd.step(rows.repartition(5), ["a", "b"], models).collect()}
+    for m, centres in enumerate(models):
+        far = ((x[:, None] - np.array(centres)[None]) ** 2).sum(-1)
+        for c in range(len(centres)):
+            mine = x[far.argmin(1) == c]
+            r = got[m, c]
+            assert r.n == len(mine) and np.allclose([r.s0, r.s1], mine.sum(0)) and np.isclose(r.squares, (mine ** 2).sum())
+            assert np.isclose(r.cost, far.min(1)[far.argmin(1) == c].sum())
+    chains = [lloyd.starts(rows.repartition(n), ["a", "b"], "id", 4, [1, 2]) for n in (1, 6)]
+    assert all(np.array_equal(p, q) for p, q in zip(*chains)) and not np.array_equal(*chains[0])
+    fits = lloyd.best_fits(rows, ["a", "b"], "id", [2, 3], 5, 42)
+    vectors = scaling.assemble(rows, ["a", "b"])
+    for k, fit in zip((2, 3), fits):
+        apart = min(KMeans(k=k, seed=i, maxIter=300).fit(vectors).summary.trainingCost for i in range(5))
+        assert fit.cost <= apart * 1.001 and fit.sizes.sum() == len(x)
+    few = spark.createDataFrame([(i, 1.0, 1.0) for i in range(9)] + [(9, 2.0, 2.0)], "id long, a double, b double")
+    assert lloyd.best_fits(few, ["a", "b"], "id", [4], 2, 1)[0].cost == 0
+    with pytest.raises(ValueError):
+        lloyd.starts(few.limit(0), ["a", "b"], "id", 2, [1])
+
+
+def test_silhouettes_equal_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (60, 2))
+    rows = spark.createDataFrame([tuple(map(float, p)) for p in x], "a double, b double").repartition(4)
+    models = [[[-1.0, 0.0], [1.0, 0.0], [50.0, 50.0]], [[0.0, 0.0]], [[0.0, 0.0], list(map(float, x[0] * 1.0001))]]
+    got = {r.model: r.silhouette_squared for r in lloyd.silhouettes(rows, ["a", "b"], models).collect()}
+    pairs = ((x[:, None] - x[None]) ** 2).sum(-1)
+    for m, centres in enumerate(models):
+        own = ((x[:, None] - np.array(centres)[None]) ** 2).sum(-1).argmin(1)
+        values = []
+        for i in range(len(x)):
+            means = {c: pairs[i][(own == c) & (np.arange(len(x)) != i)] for c in set(own)}
+            others = [v.mean() for c, v in means.items() if c != own[i]]
+            inside = means[own[i]]
+            values.append((min(others) - inside.mean()) / max(min(others), inside.mean()) if others and len(inside) else 0.0)
+        assert math.isclose(got[m], np.mean(values), abs_tol=1e-9)
+
+
 def test_special_functions():
     x = np.array([1e-3, 0.5, 1.0, 2.5, 10.0, 171.3, 1e5])
     assert np.allclose(special.lgamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)

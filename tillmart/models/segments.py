@@ -3,23 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
-from ..functions import round_half_even, value_map
+from ..functions import round_half_even
 from ..operators.aggregates import minmax_profile
 from ..operators.shared_storage import materialize, spread
-from .scaling import assemble, scale_parameters, standardize
+from . import lloyd
+from .scaling import scale_parameters, standardize
 
 # The features, the seed and the number of restarts.
 DIMS = ["recency", "frequency", "monetary", "food_item_pct"]
 K, SEED, RESTARTS = 4, 42, 10
-SIDE_BY_SIDE = 8  # fits that run at a time; each is a row of short jobs
+SCORES = [f"{c}_z" for c in DIMS]
 ELBOW_RANGE = range(2, 9)
 
 
@@ -33,48 +30,54 @@ def segment_features(features: DataFrame) -> DataFrame:
     return standardize(filled, DIMS, scale_parameters(filled, DIMS))
 
 
-def _vectors(features: DataFrame) -> DataFrame:
-    return materialize(spread(assemble(segment_features(features), [f"{c}_z" for c in DIMS]), "customer_id"))
+def _points(features: DataFrame) -> DataFrame:
+    return materialize(spread(segment_features(features), "customer_id"))
 
 
-def _best_fits(rows: DataFrame, ks: Sequence[int], restarts: int, seed: int) -> list[KMeansModel]:
-    """For each k the restart with the lowest within-cluster sum of squares; the fits run side by side."""
-    fit = inheritable_thread_target(rows.sparkSession)(
-        lambda job: KMeans(k=job[0], seed=seed + job[1], maxIter=300, tol=1e-4).fit(rows))
-    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
-        fits = list(pool.map(fit, [(k, i) for k in ks for i in range(restarts)]))
-    return [min(fits[n * restarts:(n + 1) * restarts], key=lambda m: m.summary.trainingCost) for n in range(len(ks))]
+def _nearest(centres: Sequence[Sequence[float]]) -> Column:
+    """The place of the nearest centre, from 0; the first one on ties."""
+    far = [sum((F.col(c) - F.lit(float(x))) ** 2 for c, x in zip(SCORES, centre)) for centre in centres]
+    return F.array_position(F.array(*far), F.array_min(F.array(*far))) - 1
+
+
+def _named(rows: DataFrame, centres: Sequence[Sequence[float]]) -> DataFrame:
+    return rows.select("customer_id", "recency", "frequency", "monetary", F.col("food_known").alias("food_item_pct"),
+                       F.concat(F.lit("Cluster "), _nearest(centres).cast("string")).alias("cluster"))
 
 
 def kmeans_segments(features: DataFrame, k: int = K, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
     """Customers with their cluster. Clusters are named by descending size, so that names do not depend on seeds."""
-    rows = _vectors(features)
-    model = _best_fits(rows, [k], restarts, seed)[0]
-    by_size = sorted(range(k), key=lambda c: (-model.summary.clusterSizes[c], c))
-    names = {str(c): f"Cluster {i}" for i, c in enumerate(by_size)}
-    return model.transform(rows).select(
-        "customer_id", "recency", "frequency", "monetary", F.col("food_known").alias("food_item_pct"),
-        value_map(F.col("prediction").cast("string"), names).alias("cluster"))
+    rows = _points(features)
+    fit = lloyd.best_fits(rows, SCORES, "customer_id", [k], restarts, seed)[0]
+    by_size = sorted(range(k), key=lambda c: (-fit.sizes[c], *fit.centres[c]))
+    return _named(rows, [fit.centres[c] for c in by_size])
 
 
 def assign_clusters(features: DataFrame, centres: Sequence[Sequence[float]]) -> DataFrame:
     """Customers with the nearest of given centres (in standard scores); the first one on ties."""
-    rows = segment_features(features)
-    far = [sum((F.col(f"{c}_z") - F.lit(float(x))) ** 2 for c, x in zip(DIMS, centre)) for centre in centres]
-    at = F.array_position(F.array(*far), F.least(*far)) - 1
-    return rows.select("customer_id", "recency", "frequency", "monetary", F.col("food_known").alias("food_item_pct"),
-                       F.concat(F.lit("Cluster "), at.cast("string")).alias("cluster"))
+    return _named(segment_features(features), centres)
+
+
+def cluster_step(features: DataFrame, centres: Sequence[Sequence[float]]) -> DataFrame:
+    """What one step from given centres makes of them: customers, cost before it and the new centre per cluster."""
+    sums = lloyd.step(segment_features(features), SCORES, [centres])
+    return sums.select("cluster", F.col("n").alias("customers"), "cost",
+                       *[(F.col(f"s{j}") / F.nullif("n", F.lit(0))).alias(c) for j, c in enumerate(DIMS)])
+
+
+def given_silhouette(features: DataFrame, centres: Sequence[Sequence[float]]) -> DataFrame:
+    """The mean silhouette, by squared distances, of customers at the nearest of given centres."""
+    return lloyd.silhouettes(segment_features(features), SCORES, [centres]).select("silhouette_squared")
 
 
 def elbow(features: DataFrame, ks: Sequence[int] = ELBOW_RANGE, restarts: int = RESTARTS, seed: int = SEED
           ) -> DataFrame:
     """Inertia and silhouette for each k. The silhouette uses squared distances, which takes linear time; the one of
     plain distances needs all pairs."""
-    rows = _vectors(features)
-    judge = ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean")
-    out = []
-    for k, model in zip(ks, _best_fits(rows, ks, restarts, seed)):
-        out.append((k, float(model.summary.trainingCost), round(judge.evaluate(model.transform(rows)), 3)))
+    rows = _points(features)
+    fits = lloyd.best_fits(rows, SCORES, "customer_id", list(ks), restarts, seed)
+    judged = {r["model"]: r["silhouette_squared"] for r in lloyd.silhouettes(rows, SCORES, [f.centres for f in fits]).collect()}
+    out = [(k, f.cost, round(judged[i], 3)) for i, (k, f) in enumerate(zip(ks, fits))]
     return features.sparkSession.createDataFrame(out, "k int, inertia double, silhouette_squared double")
 
 
