@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillmart.functions import round_half_away
-from tillmart.models import anomaly, churn, ltv, segments
+from tillmart.models import anomaly, churn, ltv, segments, shapley
 from tillmart.operators.shared_storage import materialize
 from tillmart.plans import facts
 
@@ -76,6 +78,53 @@ def register(query, features, marts) -> None:
     def _(spark, d):
         return churn.at_risk(scored(spark, d), _THRESHOLD)
 
+    given_trees = [  # of two trees
+        (0, 0, 0, "count_lifetime_orders", 9.5, 1, 2, 100.0, 52.0), (0, 1, 1, "avg_order_value", 250_000.0, 3, 4, 55.0, 40.0),
+        (0, 2, 1, None, None, -1, -1, 45.0, 12.0), (0, 3, 2, None, None, -1, -1, 30.0, 18.0),
+        (0, 4, 2, None, None, -1, -1, 25.0, 22.0),
+        (1, 0, 0, "lifetime_spend", 2_400_000.0, 1, 2, 100.0, 49.0), (1, 1, 1, "count_lifetime_orders", 6.5, 3, 4, 60.0, 41.0),
+        (1, 2, 1, None, None, -1, -1, 40.0, 8.0), (1, 3, 2, None, None, -1, -1, 24.0, 20.0),
+        (1, 4, 2, None, None, -1, -1, 36.0, 21.0)]
+    node = {(t[0], t[1]): t for t in given_trees}
+    split_on = ["count_lifetime_orders", "lifetime_spend", "avg_order_value"]
+    imputed_sql = f"""WITH x AS (SELECT customer_id, is_churned, {_IMPUTED} FROM fct_customer_churn_features,
+        (SELECT {_MEDIANS} FROM fct_customer_churn_features))"""
+
+    def expected(tree: int, at: int, known) -> str:
+        """SQL of a tree's value when only some features are known: the others follow both branches by weight."""
+        _, _, _, feature, threshold, left, right, weight, yes = node[tree, at]
+        if feature is None:
+            return f"{yes / weight!r}::DOUBLE"
+        low, high = expected(tree, left, known), expected(tree, right, known)
+        if feature in known:
+            return f"CASE WHEN {feature} <= {threshold} THEN {low} ELSE {high} END"
+        return f"({node[tree, left][7]} * {low} + {node[tree, right][7]} * {high}) / {weight}::DOUBLE"
+
+    def game(known) -> str:
+        return f"(({expected(0, 0, known)}) + ({expected(1, 0, known)})) / 2"
+
+    def shapley_value(feature: str) -> str:
+        others = [f for f in split_on if f != feature]
+        terms = [f"{('1.0/3', '1.0/6', '1.0/3')[len(s)]} * ({game([*s, feature])} - {game(s)})"
+                 for n in range(3) for s in itertools.combinations(others, n)]
+        return " + ".join(terms)
+
+    def trees(spark) -> DataFrame:
+        return spark.createDataFrame(given_trees, shapley.TREES)
+
+    @query("churn_given_trees", with_ctes(f"""{imputed_sql} SELECT customer_id, {rnd(game(split_on), 9)}
+        AS churn_probability FROM x"""))
+    def _(spark, d):
+        return churn.forest_scores(churn.impute_medians(features(spark, d)), trees(spark)).select(
+            "customer_id", round_half_away("churn_probability", 9).alias("churn_probability"))
+
+    @query("churn_given_attributions", with_ctes(f"""{imputed_sql} SELECT customer_id, {rnd(game([]), 9)} AS base_value,
+        {", ".join((rnd(shapley_value(f), 9) + " + 0.0::DOUBLE" if f in split_on else "0.0::DOUBLE") + f" AS {f}"
+                   for f in churn.FEATURES)} FROM x"""))
+    def _(spark, d):
+        found = churn.given_attributions(churn.impute_medians(features(spark, d)), trees(spark))
+        return found.select("customer_id", *[(round_half_away(c, 9) + 0.0).alias(c) for c in ["base_value", *churn.FEATURES]])
+
     @query("churn_model_metrics")
     def _(spark, d):
         return churn.train(features(spark, d)).metrics()

@@ -13,7 +13,10 @@ from tillmart.operators import aggregates, checks, distinct
 from tillmart.operators import scope as scopes
 from tillmart.operators.shared_storage import materialize, new_folder
 from tillmart.plans import analyses, facts, layers, marts, metrics, reports, staging
-from tillmart.sources import date_spine, export_table, fixture_tables, read_raw, run_sql, save_table, table_catalog
+from tillmart.sources import (
+    check_bad_lines, date_spine, export_table, fixture_tables, read_raw, read_raw_quarantined, run_sql, save_table,
+    table_catalog,
+)
 from tillmart.sources.spine import spine_over
 
 from . import models
@@ -111,6 +114,42 @@ def _(spark, d):
     return read_raw(spark, folder, "raw_orders")
 
 
+def _damaged(spark, d):
+    """Orders as CSV, some of them with an unreadable total."""
+    folder = new_folder(spark, "csv")
+    rows = fixture_tables(spark, d)["raw_orders"]
+    number = F.regexp_replace(F.col("id").cast("string"), "[^0-9]", "").cast("long")
+    total = F.col("order_total").cast("string")
+    odd = F.when(number % 50 == 0, F.concat(total, F.lit("?"))).when(number % 50 == 1, F.lit("n/a")).otherwise(total)
+    (rows.select("id", "customer", F.date_format("ordered_at", "yyyy-MM-dd'T'HH:mm:ss").alias("ordered_at"), "store_id",
+                 "subtotal", "tax_paid", odd.alias("order_total"))
+     .write.option("header", True).csv(f"{folder}/raw_orders.csv"))
+    return read_raw_quarantined(spark, folder, "raw_orders")
+
+
+_DAMAGED = "regexp_replace(id::VARCHAR, '[^0-9]', '', 'g')::BIGINT % 50 IN (0, 1)"
+
+
+@query("read_raw_quarantined", with_ctes(f"""SELECT id::VARCHAR AS id, customer::VARCHAR AS customer, ordered_at,
+    store_id::VARCHAR AS store_id, subtotal, tax_paid, order_total FROM raw_orders WHERE NOT ({_DAMAGED})"""))
+def _(spark, d):
+    return _damaged(spark, d).good
+
+
+@query("raw_bad_lines", with_ctes(f"""SELECT 'raw_orders' AS table_name, concat_ws(',', id, customer,
+    strftime(ordered_at, '%Y-%m-%dT%H:%M:%S'), store_id, subtotal, tax_paid, CASE WHEN
+    regexp_replace(id::VARCHAR, '[^0-9]', '', 'g')::BIGINT % 50 = 0 THEN order_total::VARCHAR || '?' ELSE 'n/a' END) AS line
+    FROM raw_orders WHERE {_DAMAGED}"""))
+def _(spark, d):
+    return _damaged(spark, d).bad.select("table_name", "line")
+
+
+@query("check_bad_lines", with_ctes(f"""SELECT 'raw_orders: readable lines' AS check_name, count(*) AS failures
+    FROM raw_orders WHERE {_DAMAGED}"""))
+def _(spark, d):
+    return check_bad_lines({"raw_orders": _damaged(spark, d)})
+
+
 @query("date_spine", with_ctes("""SELECT unnest(generate_series((SELECT min(ordered_at)::DATE FROM stg_orders),
     (SELECT max(ordered_at)::DATE FROM stg_orders), INTERVAL 1 DAY))::TIMESTAMP AS date_day"""))
 def _(spark, d):

@@ -104,6 +104,28 @@ def test_shapley_against_all_subsets():
     assert math.isclose(base, value(0, rows[0], set()))
 
 
+def test_forest_rows_score_like_the_forest(spark, model):
+    trees = churn.forest_rows(model.forest)
+    assert trees.select("tree").distinct().count() == model.forest.getNumTrees
+    wanted = {r.customer_id: r.churn_probability for r in model.scores().collect()}
+    got = {r.customer_id: r.churn_probability for r in churn.forest_scores(model.rows, trees).collect()}
+    assert set(got) == set(wanted) and all(math.isclose(got[c], p, abs_tol=1e-9) for c, p in wanted.items())
+    own = {r.customer_id: tuple(r) for r in model.attributions().collect()}
+    given = {r.customer_id: tuple(r) for r in churn.given_attributions(model.rows.filter("is_test"), trees).collect()}
+    assert set(given) == set(own) and all(np.allclose(given[c][1:], own[c][1:], atol=1e-9) for c in own)
+
+
+def test_forest_scores_of_odd_rows_and_trees(spark):
+    rows = spark.createDataFrame([(1, 0.5, None), (2, 3.0, 1.0), (3, None, 9.0), (4, 1.0, 2.0)], "customer_id long, a double, b double")
+    trees = spark.createDataFrame([(0, 0, 0, "a", 1.0, 1, 2, 10.0, 6.0), (0, 1, 1, None, None, -1, -1, 4.0, 1.0),
+                                   (0, 2, 1, "b", 1.0, 3, 4, 6.0, 5.0), (0, 3, 2, None, None, -1, -1, 2.0, 2.0),
+                                   (0, 4, 2, None, None, -1, -1, 4.0, 3.0), (1, 0, 0, None, None, -1, -1, 8.0, 4.0)], shapley.TREES)
+    got = {r.customer_id: r.churn_probability for r in churn.forest_scores(rows, trees, ["a", "b"]).collect()}
+    assert got == {1: 0.375, 2: 0.75, 3: 0.625, 4: 0.375}  # a null goes right
+    assert churn.forest_scores(rows.limit(0), trees, ["a", "b"]).count() == 0
+    assert [r.churn_probability for r in churn.forest_scores(rows, trees.limit(0), ["a", "b"]).collect()] == [None] * 4
+
+
 def test_kmeans(features):
     labelled = segments.kmeans_segments(features, k=3, restarts=1).collect()
     sizes = [sum(r.cluster == f"Cluster {i}" for r in labelled) for i in range(3)]

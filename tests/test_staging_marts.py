@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tillmart.functions import cents_to_dollars, round_half_away, round_half_even, safe_div, surrogate_key
 from tillmart.plans import marts, staging
-from tillmart.sources import date_spine, list_columns, read_raw, run_sql, save_table
+from tillmart.sources import (
+    check_bad_lines, date_spine, list_columns, load_raw, read_raw, read_raw_quarantined, run_sql, save_table,
+)
 
 
 def test_order_flags_from_items(spark):
@@ -84,6 +86,31 @@ def test_customers_without_orders_are_new(spark):
     assert got == {1: (2, Decimal("2.20"), "returning"), 2: (1, Decimal("1.10"), "new"), 3: (None, None, "new")}
 
 
+def test_bad_lines_are_kept_apart(spark, tmp_path):
+    good = ["A-1,flame,jaffle,1400,plain", 'A-2,,beverage,,"two, parts"']
+    bad = ["A-3,blank,jaffle,12x,bad price", "A-4,short,jaffle", "A-5,long,jaffle,5,one,two"]
+    folder = tmp_path / "raw_products.csv"
+    folder.mkdir()
+    head = "sku,name,type,price,description"
+    (folder / "a.csv").write_text("\n".join([head, good[0], *bad[:2]]) + "\n")
+    (folder / "b.csv").write_text("\n".join([head, bad[2], good[1]]) + "\n")
+    (folder / "c.csv").write_text(head + "\n")
+    read = read_raw_quarantined(spark, str(tmp_path), "raw_products")
+    assert [(r.sku, r.price, r.description) for r in read.good.orderBy("sku").collect()] == [
+        ("A-1", 1400, "plain"), ("A-2", None, "two, parts")]
+    found = {r.line: r.file.rsplit("/", 1)[1] for r in read.bad.collect()}
+    assert found == {bad[0]: "a.csv", bad[1]: "a.csv", bad[2]: "b.csv"}
+    assert [tuple(r) for r in check_bad_lines({"raw_products": read}).collect()] == [("raw_products: readable lines", 3)]
+    with pytest.raises(Exception):
+        read_raw(spark, str(tmp_path), "raw_products").collect()
+    for _ in range(2):  # the quarantine table grows with every load
+        assert load_raw(spark, str(tmp_path), str(tmp_path / "bad"), ["raw_products"])["raw_products"].count() == 2
+    assert spark.read.parquet(str(tmp_path / "bad")).groupBy("table_name").count().collect() == [("raw_products", 6)]
+    (folder / "d.csv").write_text("sku,name\nA-6,x\n")
+    with pytest.raises(Exception):
+        read_raw_quarantined(spark, str(tmp_path), "raw_products").good.collect()
+
+
 def test_read_raw_csv_details(spark, tmp_path):
     (tmp_path / "raw_products.csv").write_text(
         'sku,name,type,price,description\nA-1,flame,jaffle,1400,"pulled pork, and more! "\nA-2,blank ,beverage,600,x\n')

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,15 +10,17 @@ from pyspark.ml.classification import (
     LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from ..functions import safe_div
 from ..operators.ordered import exact_medians, number_rows_within, prefix_sum
 from ..operators.shared_storage import materialize, new_folder, spread
 from .scaling import assemble, scale_parameters, standardize
-from .shapley import attributions, leaves_of_trees
+from .shapley import TREES as TREE_ROWS
+from .shapley import as_nodes, as_rows, attributions, leaves_of_trees
 
 # The model inputs. Recency-window features are left out because they restate the label.
 FEATURES = ["count_lifetime_orders", "lifetime_spend", "avg_order_value", "avg_days_between_orders",
@@ -96,6 +98,70 @@ def fit_forest(train: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: i
                                   maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed).fit(train)
 
 
+def _forest_nodes(forest: RandomForestClassificationModel) -> pd.DataFrame:
+    """Nodes of a fitted forest: at most trees * 2^(depth + 1) rows, a bound that the parameters set."""
+    spark = SparkSession.active()
+    folder = new_folder(spark, "forest")
+    forest.write().save(folder)
+    return spark.read.parquet(f"{folder}/data").select("treeID", "nodeData.*").toPandas()
+
+
+def forest_rows(forest: RandomForestClassificationModel, features: Sequence[str] = FEATURES) -> DataFrame:
+    """A fitted forest as rows that can be stored, compared and scored without the model (``shapley.TREES``)."""
+    return SparkSession.active().createDataFrame(as_rows(_forest_nodes(forest), features), TREE_ROWS)
+
+
+def forest_scores(rows: DataFrame, trees: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Rows with the churn probability under given trees: the mean share of churned weight in the leaves they reach.
+
+    Every tree is walked in columns, level by level, over the trees as one array. A null goes right, as a value above the
+    threshold does. Without trees the probability is null.
+    """
+    at = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")).cast("int") - 1
+    node = F.struct("node", "level", at.alias("at"), "threshold", "left", "right",
+                    safe_div("churned", "weight").alias("share"))
+    levels = F.sequence(F.lit(0), F.max("level"))  # one step more than needed, so that a lone root has a step, too
+    forest = trees.groupBy("tree").agg(F.struct(F.array_sort(F.collect_list(node)).alias("nodes"), levels.alias("levels")).alias(
+        "tree_nodes")).agg(F.collect_list("tree_nodes")).scalar()  # as many nodes as the forest has
+    return (rows.withColumn("_x", F.array(*[F.col(f).cast("double") for f in features])).withColumn("_forest", forest)
+            .withColumn("_leaves", F.transform("_forest", _leaf_share))
+            .withColumn("churn_probability", F.aggregate("_leaves", F.lit(0.0), lambda total, s: total + s)
+                        / F.nullif(F.size("_leaves"), F.lit(0)))
+            .drop("_x", "_forest", "_leaves"))
+
+
+def _leaf_share(tree: Column) -> Column:
+    """The share at the leaf of ``tree``, an array of nodes, that the features in ``_x`` lead to."""
+    def below(place: Column) -> Column:
+        node = F.get(tree["nodes"], place)
+        left = F.coalesce(F.get(F.col("_x"), node["at"]) <= node["threshold"], F.lit(False))
+        return F.when(node["at"].isNull(), place).when(left, node["left"]).otherwise(node["right"])
+
+    return F.get(tree["nodes"], F.aggregate(tree["levels"], F.lit(0), lambda place, _: below(place)))["share"]
+
+
+def explain(rows: DataFrame, nodes: pd.DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Shapley values of the churn probability of each row, with the base value."""
+    names = list(features)
+    shared = rows.sparkSession.sparkContext.broadcast(leaves_of_trees(nodes, len(names)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _blocks(batches):
+            base, phi = attributions(shared.value, batch[names].to_numpy(float))
+            yield pd.DataFrame({"customer_id": batch["customer_id"], "base_value": np.full(len(batch), base),
+                                **{f: phi[:, j] for j, f in enumerate(names)}})
+
+    key_type = dict(rows.dtypes)["customer_id"]
+    schema = f"customer_id {key_type}, base_value double, " + ", ".join(f"{f} double" for f in names)
+    return spread(rows.select("customer_id", *names), "customer_id").mapInPandas(run, schema)
+
+
+def given_attributions(rows: DataFrame, trees: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """``explain`` for trees given as rows; the features must not be null."""
+    ship(rows.sparkSession)
+    return explain(rows, as_nodes(trees.toPandas(), features), features)
+
+
 def score_metrics(scored: DataFrame, label: str = LABEL, score: str = "churn_probability", threshold: float = 0.5
                   ) -> DataFrame:
     """Precision, recall, F1 (0 where undefined) and the area under the ROC curve (ties count half)."""
@@ -159,22 +225,7 @@ class ChurnModel:
 
     def attributions(self) -> DataFrame:
         """Shapley values of the forest's churn probability for each test row, with the base value."""
-        spark = self.rows.sparkSession
-        folder = new_folder(spark, "forest")
-        self.forest.write().save(folder)
-        nodes = spark.read.parquet(f"{folder}/data").select("treeID", "nodeData.*").toPandas()  # trees * 2^(depth+1)
-        shared = spark.sparkContext.broadcast(leaves_of_trees(nodes, len(FEATURES)))
-
-        def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in _blocks(batches):
-                base, phi = attributions(shared.value, batch[FEATURES].to_numpy(float))
-                yield pd.DataFrame({"customer_id": batch["customer_id"], "base_value": np.full(len(batch), base),
-                                    **{f: phi[:, j] for j, f in enumerate(FEATURES)}})
-
-        key_type = dict(self.rows.dtypes)["customer_id"]
-        schema = f"customer_id {key_type}, base_value double, " + ", ".join(f"{f} double" for f in FEATURES)
-        test = spread(self.rows.filter("is_test").select("customer_id", *FEATURES), "customer_id")
-        return test.mapInPandas(explain, schema)
+        return explain(self.rows.filter("is_test"), _forest_nodes(self.forest))
 
     def feature_importance(self) -> DataFrame:
         means = self.attributions().agg(*[F.avg(F.abs(f)).alias(f) for f in FEATURES])

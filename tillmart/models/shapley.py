@@ -7,6 +7,7 @@ the feature's interval) and the share of training weight kept when absent. With
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import factorial
 
 import numpy as np
@@ -14,6 +15,11 @@ import pandas as pd
 
 LEAF_CHUNK = 256
 
+#: A forest as rows. A leaf has no feature; ``node`` counts from 0 in each tree, whose root it is; ``level`` is the node's
+#: distance from the root; ``weight`` and ``churned`` are the training weights of all rows and of the churned ones.
+TREES = ("tree int, node int, level int, feature string, threshold double, left int, right int, weight double, "
+         "churned double")
+
 
 def leaves_of_trees(nodes: pd.DataFrame, n_features: int) -> dict[str, np.ndarray]:
     """Leaves of all trees from stored node rows: value, and per feature the interval (low, high] and kept share."""
@@ -45,6 +51,33 @@ def leaves_of_trees(nodes: pd.DataFrame, n_features: int) -> dict[str, np.ndarra
     return {k: np.array(v) for k, v in out.items()}
 
 
+def as_rows(nodes: pd.DataFrame, features: Sequence[str]) -> list[tuple]:
+    """Stored nodes of a fitted forest as rows of ``TREES``."""
+    out = []
+    for number, (_, tree) in enumerate(nodes.groupby("treeID")):
+        node, level = {r.id: r for r in tree.itertuples(index=False)}, {0: 0}
+        for i in sorted(node):  # a child's number is above its parent's
+            r = node[i]
+            leaf = r.leftChild < 0
+            if not leaf:
+                level[r.leftChild] = level[r.rightChild] = level[i] + 1
+            out.append((number, int(i), level[i], None if leaf else features[r.split["featureIndex"]],
+                        None if leaf else float(r.split["leftCategoriesOrThreshold"][0]), int(r.leftChild),
+                        int(r.rightChild), float(sum(r.impurityStats)), float(r.impurityStats[1])))
+    return out
+
+
+def as_nodes(trees: pd.DataFrame, features: Sequence[str]) -> pd.DataFrame:
+    """Rows of ``TREES`` as the nodes that ``leaves_of_trees`` reads."""
+    leaf = trees["feature"].isna()
+    return pd.DataFrame({
+        "treeID": trees["tree"], "id": trees["node"],
+        "impurityStats": [np.array([w - c, c]) for w, c in zip(trees["weight"], trees["churned"])],
+        "leftChild": np.where(leaf, -1, trees["left"]), "rightChild": np.where(leaf, -1, trees["right"]),
+        "split": [{"featureIndex": -1 if end else list(features).index(f), "leftCategoriesOrThreshold": [] if end else [t]}
+                  for f, t, end in zip(trees["feature"], trees["threshold"], leaf)]})
+
+
 def _pattern_values(value: np.ndarray, kept: np.ndarray) -> np.ndarray:
     """Shapley values for every leaf and pattern: array [leaves, 2^d, d]."""
     n_leaves, d = kept.shape
