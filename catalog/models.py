@@ -315,6 +315,20 @@ def register(query, features, marts) -> None:
         return ltv.loglik_sums(rows, ltv.bg_nbd_loglik, np.array(points)).select(
             "point", round_half_away("loglik", 4).alias("loglik"))
 
+    value_points = [[6.0, 4.0, 1500.0], [2.5, 3.5, 90_000.0]]
+
+    def value_loglik_sql(p: float, q: float, v: float) -> str:
+        return (f"sum(lgamma({p} * x + {q}) - lgamma({p} * x) - lgamma({q}) + {q} * ln({v}) + ({p} * x - 1) * ln(m)"
+                f" + {p} * x * ln(x) - ({p} * x + {q}) * ln(x * m + {v}))")
+
+    @query("ltv_value_likelihood", with_ctes(f"""WITH s AS (SELECT frequency::DOUBLE AS x, monetary_value::DOUBLE AS m
+        FROM ({summary_sql}) WHERE frequency > 0 AND monetary_value > 0) """ + " UNION ALL ".join(
+        f"SELECT {i} AS point, {rnd(value_loglik_sql(*p), 4)} AS loglik FROM s" for i, p in enumerate(value_points))))
+    def _(spark, d):
+        rows = summary(spark, d).filter("frequency > 0 and monetary_value > 0").withColumn("weight", F.lit(1))
+        return ltv.loglik_sums(rows, ltv.gamma_gamma_loglik, np.array(value_points)).select(
+            "point", round_half_away("loglik", 4).alias("loglik"))
+
     @query("ltv_report")
     def _(spark, d):
         return ltv.report(forecasts(spark, d))

@@ -207,6 +207,39 @@ def test_purchase_summary_rules(spark):
     assert got == {1: (2, 30, 30, 30.0), 2: (0, 0, 10, 0.0)}
 
 
+def test_slopes_equal_differences():
+    x = np.array([1e-2, 0.5, 1.0, 2.5, 10.0, 171.3, 1e4])
+    h = 1e-5 * x
+    assert np.allclose(special.digamma(x), (special.lgamma(x + h) - special.lgamma(x - h)) / (2 * h), rtol=1e-6, atol=1e-6)
+    assert np.allclose(special.trigamma(x), (special.digamma(x + h) - special.digamma(x - h)) / (2 * h), rtol=1e-6, atol=1e-9)
+    rows = pd.DataFrame({"frequency": [0, 1, 3, 40], "recency": [0.0, 2.0, 7.5, 9.0], "T": [4.0, 9.0, 7.5, 10.0],
+                         "monetary_value": [0.0, 12.5, 3.0, 90.0]})
+    for loglik, slopes, params, part in ((ltv.bg_nbd_loglik, ltv.bg_nbd_slopes, [0.7, 3.1, 0.6, 2.4], rows),
+                                         (ltv.gamma_gamma_loglik, ltv.gamma_gamma_slopes, [2.2, 3.4, 15.0], rows[1:])):
+        at, d = np.array(params), len(params)
+        got, pairs = slopes(at, part), [(i, j) for i in range(len(params)) for j in range(i + 1)]
+        for i in range(d):
+            step = np.eye(d)[i] * 1e-5 * at[i]
+            assert np.allclose(got[i], (loglik(at + step, part) - loglik(at - step, part)) / (2 * step[i]), rtol=1e-5, atol=1e-6)
+            change = (slopes(at + step, part) - slopes(at - step, part)) / (2 * step[i])
+            for k, (a, b) in enumerate(pairs):
+                if i in (a, b):
+                    assert np.allclose(got[d + k], change[a if b == i else b], rtol=1e-5, atol=1e-6), (a, b)
+
+
+def test_newton_finds_the_minimum_of_the_stencil(spark):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(int(x), float(x > 0) * 3.0 + 0.1 * float(x), 9.0, float(m), 1) for x, m in zip(
+        rng.poisson(2.0, 300), rng.gamma(4.0, 5.0, 300))], "frequency long, recency double, T double, monetary_value double, weight int")
+    repeat = rows.filter("frequency > 0").persist()
+    for part, loglik, slopes, n in ((rows, ltv.bg_nbd_loglik, ltv.bg_nbd_slopes, 4),
+                                    (repeat, ltv.gamma_gamma_loglik, ltv.gamma_gamma_slopes, 3)):
+        quick, plain = ltv.fit_loglik(part, loglik, n, slopes=slopes), ltv.fit_loglik(part, loglik, n)
+        assert np.allclose(quick, plain, rtol=2e-3)
+    with pytest.raises(ArithmeticError):
+        special.newton(lambda p: (float((p ** 4).sum()), 4 * p ** 3, np.diag(12 * p ** 2)), None, np.array([9.0]), max_iter=1)
+
+
 def test_ltv_fit_is_a_minimum_and_forecast_is_sane(spark):
     summary = ltv.purchase_summary(_marts(spark, SF)["orders"]).persist()
     model = ltv.fit(summary)

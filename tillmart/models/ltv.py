@@ -1,7 +1,8 @@
 """Lifetime value: repeat-purchase summary, BG/NBD and Gamma-Gamma fits, forecast and report.
 
 The likelihoods are those of Fader, Hardie and Lee (2005) and Fader and Hardie (2013). Each evaluation is one Spark
-job that sums over the customers for many parameter points at once; only the sums reach the driver.
+job that sums over the customers; only the sums reach the driver. A Newton step sums the analytic first and second
+derivatives beside the likelihood.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import days_between, safe_div
 from ..operators.ordered import exact_medians, exact_quantiles
 from ..operators.shared_storage import materialize, spread
-from .special import hyp2f1, lgamma, minimize
+from .special import Slopes, digamma, hyp2f1, lgamma, minimize, newton, trigamma
 
 PENALTY = 0.001
 FORECAST_DAYS, DISCOUNT, STEP_DAYS = 90, 0.01, 30
@@ -72,10 +73,50 @@ def gamma_gamma_loglik(params: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
             + (p * x - 1) * np.log(m) + p * x * np.log(x) - (p * x + q) * np.log(x * m + v))
 
 
-def fit_loglik(rows: DataFrame, loglik: Loglik, n_params: int, penalty: float = PENALTY) -> np.ndarray:
+def bg_nbd_slopes(params: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
+    """First derivatives of ``bg_nbd_loglik`` by (r, alpha, a, b), then the second ones, lower triangle by rows."""
+    r, alpha, a, b = params
+    x, recency, age = (rows[c].to_numpy(float) for c in ("frequency", "recency", "T"))
+    last = b + np.maximum(x, 1) - 1
+    alive = -(r + x) * np.log(alpha + age)
+    gone = np.where(x > 0, np.log(a) - np.log(last) - (r + x) * np.log(alpha + recency), -np.inf)
+    left = np.exp(gone - np.logaddexp(alive, gone))  # the chance that the customer left after the last purchase
+    none = np.zeros(len(x))
+    up_alive = np.array([-np.log(alpha + age), -(r + x) / (alpha + age), none, none])
+    up_gone = np.array([-np.log(alpha + recency), -(r + x) / (alpha + recency), none + 1 / a, -1 / last])
+    apart, both = trigamma(a + b) - trigamma(a + b + x), digamma(a + b) - digamma(a + b + x)
+    first = (1 - left) * up_alive + left * up_gone + np.array([
+        digamma(r + x) - digamma(r) + np.log(alpha), none + r / alpha, both, both + digamma(b + x) - digamma(b)])
+    mixed = [(i, j) for i in range(4) for j in range(i + 1)]
+    second = {(i, j): left * (1 - left) * (up_gone[i] - up_alive[i]) * (up_gone[j] - up_alive[j]) for i, j in mixed}
+    second[0, 0] += trigamma(r + x) - trigamma(r)
+    second[1, 0] += 1 / alpha - (1 - left) / (alpha + age) - left / (alpha + recency)
+    second[1, 1] += (r + x) * ((1 - left) / (alpha + age) ** 2 + left / (alpha + recency) ** 2) - r / alpha ** 2
+    second[2, 2] += apart - left / a ** 2
+    second[3, 2] += apart
+    second[3, 3] += apart + trigamma(b + x) - trigamma(b) + left / last ** 2
+    return np.array([*first, *[second[k] for k in mixed]])
+
+
+def gamma_gamma_slopes(params: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
+    """First derivatives of ``gamma_gamma_loglik`` by (p, q, v), then the second ones, lower triangle by rows."""
+    p, q, v = params
+    x, m = rows["frequency"].to_numpy(float), rows["monetary_value"].to_numpy(float)
+    shape, whole = p * x + q, x * m + v
+    return np.array([
+        x * (digamma(shape) - digamma(p * x) + np.log(m) + np.log(x) - np.log(whole)),
+        digamma(shape) - digamma(q) + np.log(v) - np.log(whole), q / v - shape / whole,
+        x ** 2 * (trigamma(shape) - trigamma(p * x)),
+        x * trigamma(shape), trigamma(shape) - trigamma(q),
+        -x / whole, 1 / v - 1 / whole, shape / whole ** 2 - q / v ** 2])
+
+
+def fit_loglik(rows: DataFrame, loglik: Loglik, n_params: int, penalty: float = PENALTY, slopes: Loglik | None = None
+               ) -> np.ndarray:
     """Positive parameters that maximize the mean log-likelihood minus ``penalty`` times their squared sum.
 
-    ``rows`` carries a ``weight`` column and should be stored, since every step reads it.
+    ``rows`` carries a ``weight`` column and should be stored, since every step reads it. With ``slopes``, the derivatives by
+    the parameters, a step is one job that sums values and derivatives; without, it takes differences of many points.
     """
     total = rows.agg(F.sum("weight")).first()[0]
 
@@ -86,7 +127,35 @@ def fit_loglik(rows: DataFrame, loglik: Loglik, n_params: int, penalty: float =
             value[point] = s
         return -value / total + penalty * (params ** 2).sum(axis=1)
 
-    return np.exp(minimize(losses, np.zeros(n_params)))
+    def derivatives(point: np.ndarray) -> Slopes:
+        """By the logarithms of the parameters."""
+        params = np.exp(point)
+        sums = np.zeros(1 + n_params + n_params * (n_params + 1) // 2)
+        for place, s in slope_sums(rows, loglik, slopes, params).collect():
+            sums[place] = s
+        means = -sums / total
+        first, second = means[1:n_params + 1] * params, np.zeros((n_params, n_params))
+        second[np.tril_indices(n_params)] = means[n_params + 1:]
+        second = (second + np.tril(second, -1).T) * np.outer(params, params)
+        square = penalty * params ** 2
+        return means[0] + square.sum(), first + 2 * square, second + np.diag(first + 4 * square)
+
+    start = np.zeros(n_params)
+    return np.exp(minimize(losses, start) if slopes is None else newton(derivatives, losses, start))
+
+
+def slope_sums(rows: DataFrame, loglik: Loglik, slopes: Loglik, params: np.ndarray) -> DataFrame:
+    """(place, total): the weighted log-likelihood of the rows at place 0, then its derivatives in the order of ``slopes``."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = 0.0
+        for batch in batches:
+            every = np.vstack([loglik(params, batch), slopes(params, batch)])
+            sums = sums + every @ batch["weight"].to_numpy(float)
+        if np.ndim(sums):
+            yield pd.DataFrame({"place": range(len(sums)), "total": sums})
+
+    return rows.mapInPandas(partial, "place int, total double").groupBy("place").agg(F.sum("total").alias("total"))
 
 
 def loglik_sums(rows: DataFrame, loglik: Loglik, params: np.ndarray) -> DataFrame:
@@ -138,14 +207,14 @@ def fit(summary: DataFrame, penalty: float = PENALTY) -> LtvModel:
     ages = summary.groupBy("frequency", "recency", "T").agg(F.count("*").alias("weight")).select(
         "frequency", (F.col("recency") * scale).alias("recency"), (F.col("T") * scale).alias("T"), "weight")
     counted = materialize(spread(ages, "frequency", "recency", "T"))
-    r, alpha, a, b = fit_loglik(counted, bg_nbd_loglik, 4, penalty)
+    r, alpha, a, b = fit_loglik(counted, bg_nbd_loglik, 4, penalty, bg_nbd_slopes)
     worthless = summary.filter("frequency > 0 and not coalesce(monetary_value > 0, false)").count()
     if worthless:
         raise ValueError(f"{worthless} repeat customers have no positive purchase value; the value model needs one")
     values = summary.filter("frequency > 0").groupBy("frequency", "monetary_value").agg(
         F.count("*").alias("weight"))
     repeat = materialize(spread(values, "frequency", "monetary_value"))
-    p, q, v = fit_loglik(repeat, gamma_gamma_loglik, 3, penalty)
+    p, q, v = fit_loglik(repeat, gamma_gamma_loglik, 3, penalty, gamma_gamma_slopes)
     return LtvModel(r, alpha / scale, a, b, p, q, v)
 
 

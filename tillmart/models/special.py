@@ -21,6 +21,24 @@ def lgamma(x) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(product)
 
 
+def digamma(x) -> np.ndarray:
+    """First derivative of log Gamma for positive arguments."""
+    x = np.asarray(x, float)
+    y = x + _SHIFT
+    s = 1 / (y * y)
+    series = s * (1 / 12 - s * (1 / 120 - s * (1 / 252 - s * (1 / 240 - s / 132))))
+    return np.log(y) - 0.5 / y - series - sum(1 / (x + i) for i in range(_SHIFT))
+
+
+def trigamma(x) -> np.ndarray:
+    """Second derivative of log Gamma for positive arguments."""
+    x = np.asarray(x, float)
+    y = x + _SHIFT
+    s = 1 / (y * y)
+    series = (1 / 6 - s * (1 / 30 - s * (1 / 42 - s * (1 / 30 - s * 5 / 66)))) * s / y
+    return 1 / y + s / 2 + series + sum(1 / (x + i) ** 2 for i in range(_SHIFT))
+
+
 def hyp2f1(a, b, c, z, max_terms: int = 100_000) -> np.ndarray:
     """Gauss hypergeometric function for 0 <= z < 1, by Euler's transformation: its parameters c-a and c-b stay small
     where a, b and c grow together."""
@@ -69,3 +87,32 @@ def minimize(losses: Callable[[np.ndarray], np.ndarray], start: np.ndarray, h: f
     else:
         raise ArithmeticError(f"no minimum after {max_iter} steps")
     return at
+
+
+Slopes = tuple[float, np.ndarray, np.ndarray]
+#: Parts of a step to try, in one call, when the whole step does not lower the loss.
+SHORTER = np.array([0.5, 0.25, 0.1, 0.03, 0.01, 0.001])
+
+
+def newton(slopes: Callable[[np.ndarray], Slopes], losses: Callable[[np.ndarray], np.ndarray], start: np.ndarray,
+           tol: float = 1e-10, max_iter: int = 100) -> np.ndarray:
+    """Newton's method: ``slopes`` gives loss, gradient and Hessian at a point, one call per step; ``losses`` values several
+    points and is called only where a whole step does not lower the loss."""
+    at = np.asarray(start, float)
+    f, gradient, hessian = slopes(at)
+    for _ in range(max_iter):
+        scale, axes = np.linalg.eigh(hessian)
+        step = -axes @ ((axes.T @ gradient) / np.maximum(np.abs(scale), 1e-8))
+        step *= min(1.0, 4.0 / max(np.linalg.norm(step), 1e-300))
+        ahead = slopes(at + step)
+        if not ahead[0] < f:
+            values = losses(at + SHORTER[:, None] * step)
+            if not np.nanmin(values) < f:
+                return at
+            step = step * SHORTER[int(np.nanargmin(values))]
+            ahead = slopes(at + step)
+        at, gained = at + step, f - ahead[0]
+        f, gradient, hessian = ahead
+        if gained < tol * max(1.0, abs(f)):
+            return at
+    raise ArithmeticError(f"no minimum after {max_iter} steps")
