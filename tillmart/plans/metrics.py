@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import safe_div, truncate_to
+from ..operators.distinct import WHOLE
 from ..operators.ordered import exact_medians
 from ..sources.spine import spine_over
 
@@ -61,8 +62,6 @@ DIMENSIONS = {
     "supplies": {d: d for d in ("supply_id", "product_id", "supply_name", "supply_cost", "is_perishable_supply")},
 }
 METRIC_TIME_KEY = "metric_time"
-#: Aggregates whose partial results add up.
-ADDITIVE = (F.sum, F.count, F.count_if)
 
 
 def _paths(mart: str, dims: Sequence[str]) -> dict[str, list[str]]:
@@ -80,17 +79,19 @@ def _paths(mart: str, dims: Sequence[str]) -> dict[str, list[str]]:
 
 
 def _grouped(marts: dict[str, DataFrame], mart: str, rows: DataFrame, dims: Sequence[str], others: Sequence[str],
-             parts: Sequence[str]) -> DataFrame:
-    """Sums of ``parts`` by ``dims`` and ``others`` (columns of ``rows``).
+             parts: Sequence[str], merge: Callable[[str], Column] = F.sum, first: Callable[[str], Column] | None = None
+             ) -> DataFrame:
+    """States of ``parts``, sums unless ``merge`` says otherwise, by ``dims`` and ``others`` (columns of ``rows``).
 
     Rows are summed by the keys of the mart before anything joins, and again after each join, so a join sees a row per
-    key and group, not one per row of the mart.
+    key and group, not one per row of the mart. ``first`` makes the states from rows where merging would not.
     """
     paths = _paths(mart, dims)
-    sums = [F.sum(p).alias(p) for p in parts]
+    sums = [merge(p).alias(p) for p in parts]
     own = [F.col(DIMENSIONS[mart][d]).alias(d) for d, path in paths.items() if not path]
     keys = sorted({path[0] for path in paths.values() if path})
-    out = rows.groupBy(*own, *[F.col(k).alias(f"_key_{k}") for k in keys], *others).agg(*sums)
+    out = rows.groupBy(*own, *[F.col(k).alias(f"_key_{k}") for k in keys], *others).agg(
+        *[(first or merge)(p).alias(p) for p in parts])
     here = [d for d, path in paths.items() if not path]
     for i, key in enumerate(keys):
         holder, there = FOREIGN[mart][key], [d for d, path in paths.items() if path[:1] == [key]]
@@ -112,19 +113,6 @@ def _grouped(marts: dict[str, DataFrame], mart: str, rows: DataFrame, dims: Sequ
     return out.select(*dims, *others, *parts)
 
 
-def _joined(marts: dict[str, DataFrame], mart: str, dims: Sequence[str]) -> DataFrame:
-    """A small mart with dimensions joined to its rows, for aggregates that do not add up."""
-    paths, df = _paths(mart, dims), marts[mart]
-    for dim, path in paths.items():
-        if path:
-            (key,) = path
-            holder = FOREIGN[mart][key]
-            df = df.join(marts[holder].select(key, F.col(DIMENSIONS[holder][dim]).alias(dim)), key, "left")
-        elif DIMENSIONS[mart][dim] != dim:
-            df = df.withColumn(dim, F.col(DIMENSIONS[mart][dim]))
-    return df
-
-
 def _where_dims(where: str | None) -> list[str]:
     known = {d for some in DIMENSIONS.values() for d in some}
     return [w for w in dict.fromkeys(re.findall(r"[A-Za-z_]\w*", where or "")) if w in known]
@@ -134,22 +122,53 @@ def _aggregate(marts, mart, names, dims, grain, where) -> DataFrame:
     asked = list(dict.fromkeys([*dims, *_where_dims(where)]))
     others = [METRIC_TIME_KEY] if grain else []
     measures = {n: (SIMPLE[n][1], F.lit(1) if SIMPLE[n][2] == "*" else F.expr(SIMPLE[n][2])) for n in names}
-    if all(fn in ADDITIVE for fn, _ in measures.values()):
-        rows = _dated(marts[mart], mart, grain)
-        counted = rows.select("*", *[(value.cast("int") if fn is F.count_if else
-                                      value.isNotNull().cast("int") if fn is F.count else value).alias(f"_m_{n}")
-                                     for n, (fn, value) in measures.items()])
-        parts = [f"_m_{n}" for n in names]
+    rows = _dated(marts[mart], mart, grain)
+    summed = {n: m for n, m in measures.items() if m[0] is not F.countDistinct}
+    sides = [_distinct(marts, mart, rows.withColumn("_id", value), n, asked, dims, others, where)
+             for n, (fn, value) in measures.items() if fn is F.countDistinct]
+    if summed:
+        counted = rows.select("*", *[_summand(fn, value).alias(f"_m_{n}") for n, (fn, value) in summed.items()],
+                              *[value.isNotNull().cast("int").alias(f"_n_{n}") for n, (fn, value) in summed.items() if fn is F.avg])
+        parts = [c for c in counted.columns if c not in rows.columns]
         grouped = _grouped(marts, mart, counted, asked, others, parts)
         if where:
             grouped = grouped.filter(where)
-        out = grouped.groupBy(*dims, *others).agg(*[
-            (F.coalesce(F.sum(f"_m_{n}"), F.lit(0)) if fn is not F.sum else F.sum(f"_m_{n}")).alias(n)
-            for n, (fn, _) in measures.items()])
-        return out
-    rows = _dated(_joined(marts, mart, asked), mart, grain)
-    return (rows.filter(where) if where else rows).groupBy(*dims, *others).agg(
-        *[fn(value).alias(n) for n, (fn, value) in measures.items()])
+        sides.append(grouped.groupBy(*dims, *others).agg(*[_total(fn, n).alias(n) for n, (fn, _) in summed.items()]))
+    return reduce(lambda a, b: _full_join(a, b, [*dims, *others]), sides)
+
+
+def _summand(fn: Callable, value: Column) -> Column:
+    """What a row adds to the sum that stands for the aggregate."""
+    if fn is F.count_if:
+        return value.cast("int")
+    if fn is F.count:
+        return value.isNotNull().cast("int")
+    if fn is F.avg:
+        return value.cast("double")
+    if fn is F.sum:
+        return value
+    raise ValueError("a metric is a sum, a count, an average or a distinct count")
+
+
+def _total(fn: Callable, name: str) -> Column:
+    total = F.sum(f"_m_{name}")
+    if fn is F.sum:
+        return total
+    return safe_div(total, F.sum(f"_n_{name}")) if fn is F.avg else F.coalesce(total, F.lit(0))
+
+
+def _distinct(marts, mart, rows, name, asked, dims, others, where) -> DataFrame:
+    """Distinct values of ``_id``: whole numbers as bitmaps that merge on the way to the dimensions, other types as rows."""
+    if dict(rows.dtypes)["_id"] in WHOLE:
+        ranged = rows.withColumn("_range", F.bitmap_bucket_number("_id")).withColumn("_bits", F.bitmap_bit_position("_id"))
+        states = _grouped(marts, mart, ranged, asked, [*others, "_range"], ["_bits"], F.bitmap_or_agg, F.bitmap_construct_agg)
+        states = (states.filter(where) if where else states).groupBy(*dims, *others, "_range").agg(
+            F.bitmap_or_agg("_bits").alias("_bits"))
+        counts = F.coalesce(F.sum(F.bitmap_count("_bits")), F.lit(0))
+        return states.groupBy(*dims, *others).agg(counts.cast("bigint").alias(name))
+    states = _grouped(marts, mart, rows.withColumn("_n", F.lit(1)), asked, [*others, "_id"], ["_n"])
+    values = (states.filter(where) if where else states).select(*dims, *others, "_id").distinct()
+    return values.groupBy(*dims, *others).agg(F.count("_id").alias(name))
 
 
 def _dated(df: DataFrame, mart: str, grain: str | None) -> DataFrame:
