@@ -13,7 +13,10 @@ NEW = {"buyers": ("orders", F.countDistinct, "customer_id"), "average_order": ("
 
 @pytest.fixture(scope="module")
 def marts(spark):
-    return {n: df.persist() for n, df in _marts(spark, SF).items()}
+    stored = {n: df.persist() for n, df in _marts(spark, SF).items()}
+    yield stored
+    for df in stored.values():  # later tests look at plans
+        df.unpersist()
 
 
 def plain(rows, keys, **aggregates):
