@@ -93,6 +93,35 @@ def test_exact_medians_by_group(skewed):
     assert got == want and len(got) == 8
 
 
+def test_quantiles_of_values_in_any_order_of_size(spark):
+    """Signs, both zeros, tiny and huge values, infinities, not-a-number, ties and nulls; weights; groups with a null key."""
+    nan, inf = float("nan"), float("inf")
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, inf, -inf, 1.5, -1.5, 1.5, None, 2.0 ** 53, 3.0, -7.25, 0.1]
+    rows = [(None if i % 5 == 4 else i % 5, odd[(i * 7 + i // 16) % 16], 1 + i % 3) for i in range(600)]
+    rows += [(9, None, 1), (10, nan, 1), (10, 1.0, 2)]
+    df = spark.createDataFrame(rows, "g int, v double, n int").repartition(5)
+    probs = [0.0, 0.13, 0.5, 0.77, 1.0]
+    got = {r["g"]: list(r)[1:] for r in ordered.exact_quantiles(df, ["v"], probs, ["g"], weight="n").collect()}
+    wanted = {}
+    for g in {r[0] for r in rows} - {9}:
+        values = sorted((x for h, x, n in rows for _ in range(n) if h == g and x is not None), key=lambda x: (x != x, x))
+        wanted[g] = []
+        for p in probs:
+            place = (len(values) - 1) * p
+            lo, part = int(place), place - int(place)
+            wanted[g].append(values[lo] * (1 - part) + values[lo + (part > 0)] * part)
+    assert {g: [repr(x + 0.0) for x in row] for g, row in got.items()} == {
+        g: [repr(x + 0.0) for x in row] for g, row in wanted.items()}
+
+
+def test_quantiles_sort_nothing(spark):
+    df = spark.range(3000).selectExpr("id % 7 AS g", "rand(1) AS v")
+    plan = ordered.exact_medians(df, ["v"], ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    assert ordered.exact_medians(df.limit(0), ["v"], ["g"]).count() == 0
+    assert ordered.exact_medians(df.limit(0), ["v"]).collect()[0][0] is None
+
+
 def test_empty_input(spark):
     df = spark.createDataFrame([], "id bigint, g int, v bigint")
     assert ordered.rank_rows(df, "v", "r", ["g"], tie_break=["id"]).count() == 0

@@ -11,17 +11,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 from ..deploy import ship
 from .shared_storage import new_folder
 
 ROW_BITS = 33  # monotonically_increasing_id: partition number above 33 bits of row position
+DIGIT_BITS = 16  # of the 64 that a selection counts in each pass
 
 
 def _sorted(df: DataFrame, order: Sequence[Column], runs: Sequence[Sequence[str]] = ()) -> DataFrame:
@@ -176,13 +178,6 @@ def rank_rows(df: DataFrame, value: str, name: str, by: Sequence[str] = (), *, d
     return rows.withColumn(name, rank.cast("bigint")).select(*df.columns, name)
 
 
-def _all_equal(pairs: Sequence[tuple[str, str]]) -> Column:
-    cond = F.lit(True)
-    for left, right in pairs:
-        cond = cond & F.col(left).eqNullSafe(F.col(right))
-    return cond
-
-
 def ntile_rows(df: DataFrame, tiles: int, order: Sequence[Column], name: str) -> DataFrame:
     """``ntile(tiles) over (order by ...)``: the first ``n mod tiles`` tiles hold one row more. ``order`` is unique."""
     numbered = number_rows(df, order, "_r", total="_total")
@@ -194,44 +189,73 @@ def ntile_rows(df: DataFrame, tiles: int, order: Sequence[Column], name: str) ->
     return numbered.withColumn(name, tile.cast("bigint")).drop("_r", "_total")
 
 
+@F.pandas_udf(LongType())
+def _ordered_bits(values: pd.Series) -> pd.Series:
+    """Whole numbers that sort as the doubles do: 0.0 and -0.0 are one, not-a-number comes last."""
+    numbers = values.to_numpy(np.float64) + 0.0
+    bits = np.where(np.isnan(numbers), np.nan, numbers).view(np.int64)
+    return pd.Series(np.where(bits < 0, bits ^ np.iinfo(np.int64).max, bits))
+
+
 def exact_quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
                     weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation: columns ``<value>_q<i>``, one row per group of ``by``.
 
     ``weight`` names a column that tells how often the row's values occur.
 
-    Equal values are counted before the sort, so neither a frequent value nor a large group reaches one task.
+    Selection by counting: every value becomes a whole number of 64 bits in the same order. A pass counts the rows by the
+    next ``DIGIT_BITS`` of it, among those that share the digits found so far, and the running counts tell the next digit
+    of each wanted place. Nothing is sorted or stored but the counts, at most 2^``DIGIT_BITS`` for each group, value column
+    and prefix, so neither a frequent value nor a large group reaches one task. All passes are one query over ``df``, whose
+    last exchange they share.
     """
+    ship(df.sparkSession)
     times = F.lit(1) if weight is None else F.col(weight)
-    long = df.select(*by, times.alias("_times"), F.explode(F.array(*[
+    long = df.select(times.alias("_times"), *by, F.explode(F.array(*[
         F.struct(F.lit(i).alias("_which"), F.col(v).cast("double").alias("_value")) for i, v in enumerate(values)
-    ])).alias("_s")).select(*by, "_times", "_s.*").filter("_value is not null")
-    keys = [*by, "_which"]
-    counted = long.groupBy(*keys, "_value").agg(F.sum("_times").alias("_count"))
-    order = [F.col(k).asc_nulls_last() for k in [*keys, "_value"]]
-    running = prefix_sum(counted, order, "_count", "_to").withColumn("_from", F.col("_to") - F.col("_count"))
-
-    aliases = {k: f"_g{i}" for i, k in enumerate(keys)}
-    groups = running.groupBy(*[F.col(k).alias(a) for k, a in aliases.items()]).agg(
-        F.min("_from").alias("_start"), F.sum("_count").alias("_size"))
-    if not by:
-        groups = F.broadcast(groups)  # one row per value column
-    located = running.join(groups, _all_equal(list(aliases.items())))
-
-    def value_at(rank: Column) -> Column:
-        at = F.col("_start") + rank
-        return F.max(F.when((F.col("_from") < at) & (F.col("_to") >= at), F.col("_value")))
-
-    picks = []
+    ])).alias("_s")).filter("_s._value is not null")
+    long = long.select(F.struct(*by, "_s._which").alias("_group"), "_times", F.col("_s._value").alias("_value"))
+    long = long.withColumn("_bits", _ordered_bits("_value"))
+
+    found = None  # rows (group, prefix, places): the wanted places of the group among the values with this prefix
+    for left in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        if found is None:
+            rows, keys = long.withColumn("_prefix", F.lit(0).cast("long")), ["_group", "_prefix"]
+        else:
+            found = found.drop("_value")
+            rows = long.withColumn("_prefix", F.shiftright("_bits", left + DIGIT_BITS)).join(
+                found if by else F.broadcast(found), ["_group", "_prefix"])  # without groups: two rows a quantile at most
+            keys = ["_group", "_prefix", "_places"]  # the places follow from the rest, and need no second join this way
+        counts = rows.groupBy(*keys, F.shiftright("_bits", left).alias("_next")).agg(
+            F.sum("_times").alias("_count"), F.max("_value").alias("_value"))
+        inside = W.partitionBy("_group", "_prefix")  # one row per digit
+        running = counts.withColumn("_to", F.sum("_count").over(inside.orderBy("_next")))
+        if found is None:
+            running = running.withColumn("_places", _places(F.sum("_count").over(inside), probs))
+        here = F.filter("_places", lambda p: (p["rank"] <= F.col("_to")) & (p["rank"] > F.col("_to") - F.col("_count")))
+        found = running.select("_group", F.col("_next").alias("_prefix"), "_value", F.transform(here, lambda p: F.struct(
+            p["j"].alias("j"), (p["rank"] - F.col("_to") + F.col("_count")).alias("rank"), p["part"].alias("part"),
+            p["upper"].alias("upper"))).alias("_places")).filter(F.size("_places") > 0)
+
+    picked = found.select("_group", "_value", F.explode("_places").alias("_p")).select("_group.*", "_value", "_p.*")
+
+    def pick(i: int, j: int, what: Column, upper: bool) -> Column:
+        return F.max(F.when((F.col("_which") == i) & (F.col("j") == j) & (F.col("upper") == upper), what))
+
+    result = [(pick(i, j, F.col("_value") * (1 - F.col("part")), False) + pick(i, j, F.col("_value") * F.col("part"), True)
+               ).alias(f"{v}_q{j}") for i, v in enumerate(values) for j in range(len(probs))]
+    return picked.groupBy(*by).agg(*result)
+
+
+def _places(size: Column, probs: Sequence[float]) -> Column:
+    """The ranks on both sides of each quantile among ``size`` rows, and how far it lies towards the upper one."""
+    out = []
     for j, p in enumerate(probs):
-        place = (F.col("_size") - 1) * F.lit(float(p))
-        picks += [value_at(F.floor(place) + 1).alias(f"_lo{j}"), value_at(F.ceil(place) + 1).alias(f"_hi{j}"),
-                  F.max(place - F.floor(place)).alias(f"_part{j}")]
-    found = located.groupBy(*keys).agg(*picks)
-    result = [F.max(F.when(F.col("_which") == i, F.col(f"_lo{j}") * (1 - F.col(f"_part{j}"))
-                           + F.col(f"_hi{j}") * F.col(f"_part{j}"))).alias(f"{v}_q{j}")
-              for i, v in enumerate(values) for j in range(len(probs))]
-    return found.groupBy(*by).agg(*result)
+        place = (size - 1) * F.lit(float(p))
+        for upper, rank in [(False, F.floor(place)), (True, F.ceil(place))]:
+            out.append(F.struct(F.lit(j).alias("j"), (rank + 1).cast("long").alias("rank"),
+                                (place - F.floor(place)).alias("part"), F.lit(upper).alias("upper")))
+    return F.array(*out)
 
 
 def exact_medians(df: DataFrame, values: Sequence[str], by: Sequence[str] = (), weight: str | None = None
