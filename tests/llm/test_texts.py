@@ -259,6 +259,50 @@ def test_weak_secrets_need_their_complement(spark):
         "", "secret:0:15", "secret:9:24,endpoint:28:42", "", "", ""]
 
 
+def near_parts(text):
+    """Weak secrets and endpoints by comparing every two parts."""
+    def found(pattern):
+        return [(m.start(), m.end()) for m in re.finditer(pattern, text)]
+
+    mix = [re.compile(c) for c in secret_scan.TOKEN_MIX]
+    weak = [(m.start(), m.end()) for m in ASSIGN.finditer(text) if 6 <= len(m[2]) < 12]
+    weak += [(a, b) for a, b in found(secret_scan.TOKEN) if b - a == 40 and all(c.search(text[a:b]) for c in mix)]
+    ids, ends, blanks = found(secret_scan.ACCESS) + found(secret_scan.IDENTIFIER), found(secret_scan.ENDPOINT), found(secret_scan.BLANK_LINE)
+
+    def near(p, others):
+        for o in others:
+            first, last = min(p[1], o[1]), max(p[0], o[0])
+            if last - first <= secret_scan.REACH and not any(x >= first and y <= last for x, y in blanks):
+                return True
+        return False
+
+    return sorted([f"endpoint:{a}:{b}" for a, b in ends if near((a, b), ids) and near((a, b), weak)]
+                  + [f"secret:{a}:{b}" for a, b in weak if near((a, b), ids) or near((a, b), ends)])
+
+
+def test_sweep_links_as_all_pairs_do(spark, leaky):
+    rng = random.Random(8)
+    bits = ["password=abc123 ", "token=user=ab/cd ", "secret=login=abc/x ", "user=bob ", "client_id: xyz9 ", "https://h/p ",
+            "s3://user=abc,password=abc123/", "AKIA" + "B" * 14 + " ", "aB3" * 13 + "a ", "\n\n", "\n \t\n", "\n", "é\U0001F600",
+            "y" * 130 + " ", "y" * 260 + " ", "=", "passwd=AKIA" + "B" * 14]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 40))) for _ in range(500)]
+    texts += ["".join(rng.choice(bits) for _ in range(900))] + [t or "" for _, t in leaky]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.scan(df).collect():
+        got = sorted(s for s in r["spans"].split(",") if s.startswith(("endpoint", "secret")))
+        assert got == near_parts(texts[r["doc_id"]]), texts[r["doc_id"]]
+
+
+def test_many_candidates_in_one_text_are_linear(spark):
+    """100,000 linked candidates within few scopes, and their removal."""
+    n = 50_000  # lines
+    line = "password=abc123 user=bob https://h/p\n"
+    df = spark.createDataFrame([(1, line * n)], "doc_id long, text string")
+    spans = secret_scan.scan(df).first()["spans"].split(",")
+    assert len(spans) == 2 * n and spans[-2:] == [f"secret:{37 * n - 37}:{37 * n - 22}", f"endpoint:{37 * n - 12}:{37 * n - 1}"]
+    assert secret_scan.redact(df).first()["text"] == "[SECRET] user=bob [SECRET]\n" * n
+
+
 def test_redacting_leaves_the_rest(spark, leaky):
     df = spark.createDataFrame(leaky, "doc_id long, text string").select(
         "*", F.length("text").cast("long").alias("n_chars"), F.lit(1).alias("_row"))

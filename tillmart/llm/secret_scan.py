@@ -3,13 +3,15 @@
 Base spans come from three patterns over the whole text. A weak candidate (a short password, a token of 40 mixed
 characters, the address of a service) says little alone; it is reported only where its complement lies in the same
 scope: within ``REACH`` characters of it, with no blank line between. A weak secret needs an identifier or an endpoint;
-an endpoint needs an identifier and a weak secret. Parts are joined by their intervals inside each row, so nothing is
-shuffled and no document is taken apart over tasks.
+an endpoint needs an identifier and a weak secret. Parts are joined by their intervals in a sweep over each text: parts and
+blank lines in order of their starts, each with the furthest end of every kind before it and the nearest start after it.
+That takes one sort of a text's parts, however many lie close together; nothing is shuffled.
 
 Positions come from the gaps between matches: ``split`` and ``regexp_extract_all`` cut a text at the same places.
 
 Defined cases: a null text is an empty one and has no spans; repeated rows come out each; an empty table gives an empty
-one; ``redact`` keeps all columns whatever their names, and sets ``n_chars`` anew where there is one.
+one; ``redact`` keeps all columns whatever their names, and sets ``n_chars`` anew where there is one. A text with very many
+parts or spans takes time near linear in their number.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ BLANK_LINE = r"\n[\x20\t\r]*\n"
 REACH = 400
 KINDS = ["assign", "access", "hex", "endpoint", "secret"]
 MARK = "[SECRET]"
-BLOCK = 256
+BLOCK = 256  # items of a running total, and characters of a text, that are handled as one
+#: What the sweep meets; no part holds a line break, so parts and blank lines never overlap.
+SWEPT = ["blank", "id", "endpoint", "weak"]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,32 +46,40 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _sums(values: Column) -> Column:
-    start = F.struct(F.lit(0).alias("s"), F.expr("cast(array() as array<int>)").alias("a"))
-    return F.aggregate(values, start, lambda acc, x: F.struct(
-        (acc["s"] + x).alias("s"), F.concat(acc["a"], F.array(acc["s"] + x)).alias("a")), lambda acc: acc["a"])
+def scanned(values: Column, zero: Column, plus: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array under an associative ``plus``, in blocks, so that a long array is not copied once per
+    element."""
+    def inside(items: Column) -> Column:
+        start = F.struct(zero.alias("s"), F.slice(F.array(zero), 1, 0).alias("a"))
+        return F.aggregate(items, start, lambda acc, x: let(plus(acc["s"], x), lambda s: F.struct(
+            s.alias("s"), F.concat(acc["a"], F.array(s)).alias("a"))), lambda acc: acc["a"])
 
-
-def running(values: Column) -> Column:
-    """Running sums of an array of ints, in blocks, so that a long array is not copied once per element."""
     def joined(blocks: Column) -> Column:
         last = F.transform(blocks, lambda block: F.get(block, F.size(block) - 1))
-        return let(_sums(last), lambda ends: F.flatten(F.transform(blocks, lambda block, i: let(
-            F.coalesce(F.get(ends, i - 1), F.lit(0)), lambda before: F.transform(block, lambda x: x + before)))))
+        return let(inside(last), lambda ends: F.flatten(F.transform(blocks, lambda block, i: let(
+            F.coalesce(F.get(ends, i - 1), zero), lambda before: F.transform(block, lambda x: plus(before, x))))))
+
+    def blocks(items: Column) -> Column:
+        count = F.ceil(F.size(items) / BLOCK).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), count - 1), lambda b: inside(F.slice(items, b * BLOCK + 1, BLOCK)))
+        return F.when(F.size(items) <= BLOCK, inside(items)).otherwise(let(cut, joined))
+
+    return let(values, blocks)  # computed once, not once per block
 
-    count = F.ceil(F.size(values) / BLOCK).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda b: _sums(F.slice(values, b * BLOCK + 1, BLOCK)))
-    return F.when(F.size(values) <= BLOCK, _sums(values)).otherwise(let(cut, joined))
+
+def running(values: Column) -> Column:
+    """Running sums of an array of ints."""
+    return scanned(values, F.lit(0), lambda a, b: a + b)
 
 
 def none() -> Column:
     return F.expr("cast(array() as array<struct<start:int,end:int,value:int>>)")
 
 
-def find(text: Column, pattern: str, group: int = 0) -> Column:
-    """Matches as (start, end, value): code points, end exclusive; value is the length of the group."""
-    def lengths(which: int) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(which)), lambda m: F.char_length(m))
+def find(text: Column, pattern: str, group: int = 0, measure: Callable[[Column], Column] = F.char_length) -> Column:
+    """Matches as (start, end, value): code points, end exclusive; value is the ``measure`` of the group."""
+    def matches(which: int) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(which))
 
     def placed(sizes: Column, values: Column) -> Column:
         gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(sizes)), lambda g: F.char_length(g))
@@ -75,19 +87,39 @@ def find(text: Column, pattern: str, group: int = 0) -> Column:
             F.arrays_zip(ends.alias("end"), sizes.alias("size"), values.alias("value")),
             lambda m: F.struct((m["end"] - m["size"]).alias("start"), m["end"].alias("end"), m["value"].alias("value")))))
 
-    return let(lengths(0), lambda sizes: placed(sizes, sizes) if not group
-               else let(lengths(group), lambda values: placed(sizes, values)))
+    return let(F.transform(matches(0), lambda m: F.char_length(m)), lambda sizes: placed(sizes, sizes)
+               if not group and measure is F.char_length
+               else let(F.transform(matches(group), lambda m: measure(m)), lambda values: placed(sizes, values)))
 
 
-def _found(text: Column, pattern: str, group: int = 0) -> Column:
+def _found(text: Column, pattern: str, group: int = 0, measure: Callable[[Column], Column] = F.char_length) -> Column:
     """As ``find``, looking for positions only in texts with a match."""
-    return F.when(F.rlike(text, F.lit(pattern)), find(text, pattern, group)).otherwise(none())
+    return F.when(F.rlike(text, F.lit(pattern)), find(text, pattern, group, measure)).otherwise(none())
+
+
+def _mixed(token: Column) -> Column:
+    """The length of a token, 0 if it is not one."""
+    good = reduce(lambda a, b: a & b, [F.rlike(token, F.lit(c)) for c in TOKEN_MIX])
+    return F.when((F.char_length(token) == TOKEN_LENGTH) & good, TOKEN_LENGTH).otherwise(0)
 
 
-def _near(a: Column, b: Column, breaks: Column) -> Column:
-    """Within reach of each other, and no blank line between."""
-    first, last = F.least(a["end"], b["end"]), F.greatest(a["start"], b["start"])
-    return (last - first <= REACH) & ~F.exists(breaks, lambda x: (x["start"] >= first) & (x["end"] <= last))
+def _furthest(parts: Column, place: Callable[[Column], Column]) -> Column:
+    """For each part, itself included, the furthest place of every kind so far."""
+    zero = F.struct(*[F.lit(None).cast("int").alias(k) for k in SWEPT])
+    each = F.transform(parts, lambda p: F.struct(*[F.when(p["kind"] == i, place(p)).alias(k) for i, k in enumerate(SWEPT)]))
+    return scanned(each, zero, lambda a, b: F.struct(*[F.greatest(a[k], b[k]).alias(k) for k in SWEPT]))
+
+
+def _near(part: Column, kind: str) -> Column:
+    """Whether a part of ``kind`` lies within reach of the swept ``part``, with no blank line between.
+
+    Of the parts that start earlier, the one with the furthest end decides; of the later ones, the one that starts first.
+    ``after`` holds negative starts.
+    """
+    before, after = part["before"], part["after"]
+    earlier = (before[kind] > F.coalesce(before["blank"], F.lit(-1))) & (part["start"] - before[kind] <= REACH)
+    later = (after[kind] > F.coalesce(after["blank"], after[kind] - 1)) & (-after[kind] - part["end"] <= REACH)
+    return F.coalesce(earlier, F.lit(False)) | F.coalesce(later, F.lit(False))
 
 
 def _tagged(spans: Column, kind: str) -> Column:
@@ -102,28 +134,39 @@ def _scanned(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     s0 = docs.select(*keep, body.alias("_text"))
     s1 = s0.select(*keep, "_text", _found(F.col("_text"), ASSIGN, 2).alias("_assigned"),
                    _found(F.col("_text"), ACCESS).alias("_access"), _found(F.col("_text"), HEX).alias("_hex"),
-                   _found(F.col("_text"), ENDPOINT).alias("_endpoint"), _found(F.col("_text"), TOKEN).alias("_token"))
-    def mixed(m: Column) -> Column:
-        token = F.substring(F.col("_text"), m["start"] + 1, TOKEN_LENGTH)
-        return (m["value"] == TOKEN_LENGTH) & reduce(lambda a, b: a & b, [F.rlike(token, F.lit(c)) for c in TOKEN_MIX])
-
-    s2 = s1.withColumn("_weak", F.concat(
-        F.filter("_assigned", lambda m: m["value"].between(WEAK_VALUE, ASSIGN_VALUE - 1)), F.filter("_token", mixed)))
+                   _found(F.col("_text"), ENDPOINT).alias("_endpoint"),
+                   _found(F.col("_text"), TOKEN, measure=_mixed).alias("_token"))
+    s2 = s1.withColumn("_weak", F.concat(F.filter("_assigned", lambda m: m["value"].between(WEAK_VALUE, ASSIGN_VALUE - 1)),
+                                         F.filter("_token", lambda m: m["value"] == TOKEN_LENGTH)))
     some = F.size("_weak") > 0
-    s3 = (s2.withColumn("_ids", F.when(some, F.concat("_access", _found(F.col("_text"), IDENTIFIER))).otherwise(none()))
-          .withColumn("_breaks", F.when(some, _found(F.col("_text"), BLANK_LINE)).otherwise(none())))
-    ids, ends, breaks = F.col("_ids"), F.col("_endpoint"), F.col("_breaks")
-    s4 = s3.withColumn("_secret", F.filter("_weak", lambda w: F.exists(ids, lambda i: _near(w, i, breaks))
-                                           | F.exists(ends, lambda e: _near(w, e, breaks))))
-    weak = F.col("_weak")
-    s5 = s4.withColumn("_linked", F.when(some, F.filter("_endpoint", lambda e: F.exists(ids, lambda i: _near(e, i, breaks))
-                                         & F.exists(weak, lambda w: _near(e, w, breaks)))).otherwise(none()))
+
+    def parts(spans: Column, kind: str) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(SWEPT.index(kind)).alias("kind"),
+                                                     s["end"].alias("end")))
+
+    s3 = s2.withColumn("_parts", F.when(some, F.array_sort(F.concat(
+        parts(find(F.col("_text"), BLANK_LINE), "blank"), parts(F.col("_access"), "id"),
+        parts(_found(F.col("_text"), IDENTIFIER), "id"), parts(F.col("_endpoint"), "endpoint"),
+        parts(F.col("_weak"), "weak")))))
+    after = F.reverse(_furthest(F.reverse("_parts"), lambda p: -p["start"]))
+    s4 = s3.withColumn("_swept", F.when(some, F.transform(
+        F.arrays_zip(F.col("_parts").alias("part"), _furthest(F.col("_parts"), lambda p: p["end"]).alias("before"),
+                     after.alias("after")),
+        lambda z: F.struct(z["part"]["start"].alias("start"), z["part"]["end"].alias("end"), z["part"]["kind"].alias("kind"),
+                           z["before"].alias("before"), z["after"].alias("after")))))
+
+    def linked(kind: str, test: Callable[[Column], Column]) -> Column:
+        return F.when(some, F.filter("_swept", lambda p: (p["kind"] == SWEPT.index(kind)) & test(p)))
+
+    s5 = (s4.withColumn("_secret", linked("weak", lambda p: _near(p, "id") | _near(p, "endpoint")))
+          .withColumn("_linked", linked("endpoint", lambda p: _near(p, "id") & _near(p, "weak"))))
     strong = F.filter("_assigned", lambda m: m["value"] >= ASSIGN_VALUE)
     base = F.array_sort(F.concat(_tagged(strong, "assign"), _tagged(F.col("_access"), "access"),
                                  _tagged(F.col("_hex"), "hex")))
-    s6 = s5.select(*keep, "_text", base.alias("_base"), _tagged(F.col("_linked"), "endpoint").alias("_e"),
-                   _tagged(F.col("_secret"), "secret").alias("_s"))
-    return s6.select(*keep, "_text", "_base", F.array_sort(F.concat("_base", "_e", "_s")).alias("_spans"))
+    s6 = s5.select(*keep, "_text", base.alias("_base"), F.concat(
+        _tagged(F.col("_linked"), "endpoint"), _tagged(F.col("_secret"), "secret")).alias("_more"))
+    return s6.select(*keep, "_text", "_base", F.when(F.size("_more") > 0, F.array_sort(F.concat("_base", "_more")))
+                     .otherwise(F.col("_base")).alias("_spans"))
 
 
 def _listed(spans: Column) -> Column:
@@ -145,21 +188,30 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with every span, overlapping ones together, replaced by ``MARK``."""
-    body = F.col("_text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(F.col("_spans"), start, lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
-        s["end"].alias("at"), F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]),
-                                       F.lit(MARK)).alias("out")))
-        .otherwise(F.struct(F.greatest(s["end"], acc["at"]).alias("at"), acc["out"].alias("out"))))
+    def piece(blocks: Column, at: Column, end: Column) -> Column:
+        """Characters at..end, taken from the blocks they lie in."""
+        def part(block: Column) -> Column:
+            skipped = F.greatest(at - block * BLOCK, F.lit(0))
+            return F.substring(F.get(blocks, block), skipped + 1, F.least(end - block * BLOCK, F.lit(BLOCK)) - skipped)
+
+        across = F.sequence(F.floor(at / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int"))
+        return F.when(end > at, F.array_join(F.transform(across, part), "")).otherwise("")
+
     rest = F.struct("*").alias("_row")
     rows = _scanned(docs.select(rest, F.col(text).alias("_body")), "_body", ["_row"])
-    clean = F.when(F.size("_spans") == 0, F.col(f"_row.`{text}`")).otherwise(
-        F.concat(F.col("_done.out"), F.substring(body, F.col("_done.at") + 1, F.char_length(body))))
-    rows = rows.withColumn("_done", F.when(F.size("_spans") > 0, done)).withColumn("_clean", clean)
+    ends = scanned(F.transform("_spans", lambda s: s["end"]), F.lit(0), F.greatest)
+    opened = let(ends, lambda known: F.filter(F.transform("_spans", lambda s, i: F.struct(
+        F.coalesce(F.get(known, i - 1), F.lit(0)).alias("at"), s["start"].alias("end"))), lambda p: p["end"] >= p["at"]))
+    hit = F.size("_spans") > 0
+    last = F.struct(F.array_max(F.transform("_spans", lambda s: s["end"])).alias("at"), F.char_length("_text").alias("end"))
+    left = F.concat(opened, F.array(last))
+    cut = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    clean = let(cut, lambda blocks: F.array_join(F.transform(left, lambda p: piece(blocks, p["at"], p["end"])), MARK))
+    rows = rows.withColumn("_clean", F.when(hit, clean).otherwise(F.col(f"_row.`{text}`")))
     kinds = dict(docs.dtypes)
     return rows.select(*[
         F.col("_clean").alias(text) if c == text
-        else F.when(F.size("_spans") > 0, F.char_length("_clean").cast(kinds[c])).otherwise(F.col(f"_row.`{c}`")).alias(c)
+        else F.when(hit, F.char_length("_clean").cast(kinds[c])).otherwise(F.col(f"_row.`{c}`")).alias(c)
         if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
