@@ -346,3 +346,15 @@ def test_fits_refuse_what_they_cannot_do(spark):
         special.hyp2f1(1.0, 2.0, 3.5, 0.99, max_terms=5)
     with pytest.raises(ArithmeticError):
         special.minimize(lambda p: (p ** 4).sum(axis=1), np.array([9.0]), max_iter=1)
+
+
+def test_scores_carry_no_model_into_tasks(model):
+    """A fitted model in a task's closure brings its training summary, which need not be serializable."""
+    for scored in (model.scores(), model.metrics()):
+        assert "UDF(" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    wanted = {r.customer_id: float(r.probability[1]) for r in model.forest.transform(model.rows).collect()}
+    got = {r.customer_id: r.churn_probability for r in model.scores().collect()}
+    assert got.keys() == wanted.keys() and all(math.isclose(got[c], wanted[c], abs_tol=1e-12) for c in got)
+    wanted = {r.customer_id: float(r.probability[1]) for r in model.logistic.transform(model.rows).collect()}
+    got = {r.customer_id: r.churn_probability for r in model._by_logistic(model.rows).collect()}
+    assert got.keys() == wanted.keys() and all(math.isclose(got[c], wanted[c], abs_tol=1e-12) for c in got)

@@ -6,13 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import (
     LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier,
 )
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..deploy import ship
 from ..functions import safe_div
@@ -20,7 +21,7 @@ from ..operators.ordered import exact_medians, number_rows_within, prefix_sum
 from ..operators.shared_storage import materialize, new_folder, spread
 from .scaling import assemble, scale_parameters, standardize
 from .shapley import TREES as TREE_ROWS
-from .shapley import as_nodes, as_rows, attributions, leaves_of_trees
+from .shapley import as_nodes, as_rows, attributions, leaves_of_trees, tree_arrays, tree_scores
 
 # The model inputs. Recency-window features are left out because they restate the label.
 FEATURES = ["count_lifetime_orders", "lifetime_spend", "avg_order_value", "avg_days_between_orders",
@@ -130,6 +131,24 @@ def forest_scores(rows: DataFrame, trees: DataFrame, features: Sequence[str] = F
             .drop("_x", "_forest", "_leaves"))
 
 
+def fitted_forest_scores(rows: DataFrame, nodes: pd.DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """Rows with the churn probability under the nodes of a fitted forest; the features must not be null.
+
+    Only numbers travel to the tasks: a fitted model in the closure of a task would take its training summary along.
+    """
+    names, kept = list(features), rows.select(*[c for c, t in rows.dtypes if t != "vector"])
+    ship(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast(tree_arrays(nodes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in names]).astype(float)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree_scores(shared.value, x))],
+                                             names=[*batch.schema.names, "churn_probability"])
+
+    return kept.mapInArrow(run, StructType(list(kept.schema.fields)).add("churn_probability", "double"))
+
+
 def _leaf_share(tree: Column) -> Column:
     """The share at the leaf of ``tree``, an array of nodes, that the features in ``_x`` lead to."""
     def below(place: Column) -> Column:
@@ -206,13 +225,17 @@ class ChurnModel:
     def __init__(self, rows: DataFrame, logistic: LogisticRegressionModel, forest: RandomForestClassificationModel):
         self.rows, self.logistic, self.forest = rows, logistic, forest
 
-    def _scored(self, model, rows: DataFrame) -> DataFrame:
-        return model.transform(rows).withColumn("churn_probability", vector_to_array("probability")[1])
+    def _by_logistic(self, rows: DataFrame) -> DataFrame:
+        weights = dict(zip([f"{c}_z" for c in FEATURES], self.logistic.coefficients.toArray()))
+        return logistic_scores(rows, self.logistic.intercept, weights)
+
+    def _by_forest(self, rows: DataFrame) -> DataFrame:
+        return fitted_forest_scores(rows, _forest_nodes(self.forest))
 
     def metrics(self) -> DataFrame:
         test = self.rows.filter("is_test")
-        parts = [score_metrics(self._scored(m, test)).withColumn("model", F.lit(name)) for name, m in
-                 (("logistic_regression", self.logistic), ("random_forest", self.forest))]
+        parts = [score_metrics(scored(test)).withColumn("model", F.lit(name)) for name, scored in
+                 (("logistic_regression", self._by_logistic), ("random_forest", self._by_forest))]
         return parts[0].unionByName(parts[1]).select("model", "precision", "recall", "f1", "roc_auc")
 
     def sizes(self) -> DataFrame:
@@ -220,8 +243,7 @@ class ChurnModel:
 
     def scores(self) -> DataFrame:
         """Forest probability for every customer."""
-        return self._scored(self.forest, self.rows).select("customer_id", "customer_name", LABEL,
-                                                           "churn_probability")
+        return self._by_forest(self.rows).select("customer_id", "customer_name", LABEL, "churn_probability")
 
     def attributions(self) -> DataFrame:
         """Shapley values of the forest's churn probability for each test row, with the base value."""

@@ -51,6 +51,35 @@ def leaves_of_trees(nodes: pd.DataFrame, n_features: int) -> dict[str, np.ndarra
     return {k: np.array(v) for k, v in out.items()}
 
 
+def tree_arrays(nodes: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
+    """Each tree of stored node rows as arrays by node: feature (-1 at a leaf), threshold, left, right, churned share."""
+    out = []
+    for _, tree in nodes.groupby("treeID"):
+        rows = {r.id: r for r in tree.itertuples(index=False)}
+        feature, left, right = (np.full(max(rows) + 1, -1) for _ in range(3))
+        threshold, share = np.zeros(max(rows) + 1), np.zeros(max(rows) + 1)
+        for i, r in rows.items():
+            share[i] = r.impurityStats[1] / float(sum(r.impurityStats))
+            if r.leftChild >= 0:
+                feature[i], threshold[i] = r.split["featureIndex"], r.split["leftCategoriesOrThreshold"][0]
+                left[i], right[i] = r.leftChild, r.rightChild
+        out.append((feature, threshold, left, right, share))
+    return out
+
+
+def tree_scores(trees: list[tuple[np.ndarray, ...]], x: np.ndarray) -> np.ndarray:
+    """For each row of ``x`` the mean share at the leaves it reaches."""
+    total, every = np.zeros(len(x)), np.arange(len(x))
+    for feature, threshold, left, right, share in trees:
+        at = np.zeros(len(x), dtype=int)
+        inner = every
+        while len(inner := inner[feature[at[inner]] >= 0]):
+            node = at[inner]
+            at[inner] = np.where(x[inner, feature[node]] <= threshold[node], left[node], right[node])
+        total += share[at]
+    return total / max(len(trees), 1)
+
+
 def as_rows(nodes: pd.DataFrame, features: Sequence[str]) -> list[tuple]:
     """Stored nodes of a fitted forest as rows of ``TREES``."""
     out = []
