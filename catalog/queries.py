@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from tillmart import functions as fn
 from tillmart.operators import aggregates, checks, distinct
 from tillmart.operators import scope as scopes
+from tillmart.operators.partitions import size_partitions, stored_bytes
 from tillmart.operators.shared_storage import materialize, new_folder
 from tillmart.plans import analyses, facts, layers, marts, metrics, reports, staging
 from tillmart.sources import (
     check_bad_lines, date_spine, export_table, fixture_tables, read_raw, read_raw_quarantined, run_sql, save_table,
     table_catalog,
 )
+from tillmart.sources.fixtures import SCHEMAS
 from tillmart.sources.spine import spine_over
 
 from . import models
@@ -38,7 +40,11 @@ def doubles(df: DataFrame) -> DataFrame:
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(build: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: doubles(build(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            size_partitions(spark, stored_bytes(spark, [f"{sf_dir}/{table}.parquet" for table in SCHEMAS]))
+            return doubles(build(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return build

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.partitions import partition_count
+
 
 @dataclass(frozen=True)
 class Bucketed:
@@ -28,7 +30,7 @@ class Bucketed:
 
 
 def bucket_count(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return partition_count(spark)
 
 
 def heavy_keys(rows: DataFrame, key: str, buckets: int) -> DataFrame:
