@@ -12,7 +12,7 @@ from tillmart import functions as fn
 from tillmart.operators import aggregates, checks, distinct
 from tillmart.operators import scope as scopes
 from tillmart.operators.partitions import size_partitions, stored_bytes
-from tillmart.operators.shared_storage import materialize, new_folder
+from tillmart.operators.shared_storage import materialize, new_folder, store
 from tillmart.plans import analyses, facts, layers, marts, metrics, reports, staging
 from tillmart.sources import (
     check_bad_lines, date_spine, export_table, fixture_tables, read_raw, read_raw_quarantined, run_sql, save_table,
@@ -1271,17 +1271,19 @@ LATE_DAYS = 45
 @query("refreshed_fct_daily_revenue", ORACLES["fct_daily_revenue"])
 def _(spark, d):
     m, folder = _marts(spark, d), new_folder(spark, "refreshed")
-    early, _late = scopes.split_at_cutoff(m["orders"], LATE_DAYS)
+    orders = store(m["orders"])  # read for the cutoff, and twice for marks and for months
+    early, _late = scopes.split_at_cutoff(orders, LATE_DAYS)
     layers.refresh_daily_revenue(early, m["locations"], folder)
-    return layers.refresh_daily_revenue(m["orders"], m["locations"], folder)
+    return layers.refresh_daily_revenue(orders, m["locations"], folder)
 
 
 @query("refreshed_fct_product_performance", ORACLES["fct_product_performance"])
 def _(spark, d):
     m, folder = _marts(spark, d), new_folder(spark, "refreshed")
-    early, _late = scopes.split_at_cutoff(m["order_items"], LATE_DAYS)
+    items = store(m["order_items"])  # read for the cutoff, and twice for marks and for months
+    early, _late = scopes.split_at_cutoff(items, LATE_DAYS)
     layers.refresh_product_performance(early, folder)
-    return layers.refresh_product_performance(m["order_items"], folder)
+    return layers.refresh_product_performance(items, folder)
 
 
 models.register(query, _features, _marts)
