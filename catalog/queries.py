@@ -1200,7 +1200,10 @@ def _(spark, d):
 
 @query("run_checks_facts", _checks_sql(_LAYERS["facts"]))
 def _(spark, d):
-    return checks.run_checks(facts.build_facts(_marts(spark, d)), _declared(_LAYERS["facts"]))
+    rules = _declared(_LAYERS["facts"])
+    built = facts.build_facts(layers.marts_stored_once(_stg(spark, d)))
+    passes = {name: sum(r[0] not in checks.ROW_RULES for r in some) for name, some in rules.items()}
+    return checks.run_checks({name: store(df) if passes[name] else df for name, df in built.items()}, rules)
 
 
 # The expected rows of the raw tables.
@@ -1223,7 +1226,7 @@ EXPECTED_ROWS = {"raw_customers": 935, "raw_orders": 61948, "raw_items": 90900}
         *[(t, t, "'OK'") for t in FACT_SQL]])))
 def _(spark, d):
     raw = fixture_tables(spark, d)
-    m = marts.build_marts(staging.stage_all(raw))
+    m = layers.marts_stored_once(staging.stage_all(raw))
     return checks.row_counts({**raw, **staging.stage_all(raw), **m, **facts.build_facts(m)}, EXPECTED_ROWS)
 
 

@@ -1,9 +1,11 @@
 """Partitions in proportion to the input, and work that the marts and facts share."""
 
 import pytest
+from conftest import SF
 
 from tillmart.operators import partitions
-from tillmart.sources import buckets
+from tillmart.plans import layers, marts, staging
+from tillmart.sources import buckets, fixture_tables
 
 
 @pytest.fixture
@@ -30,3 +32,13 @@ def test_bytes_of_files_and_folders(spark, tmp_path):
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "c").write_bytes(b"x" * 5)
     assert partitions.stored_bytes(spark, [f"{tmp_path}/{name}" for name in ("a", "b", "none")]) == 15
+
+
+def test_marts_stored_once_equal_marts(spark):
+    stg = staging.stage_all(fixture_tables(spark, SF))
+    stored, made = layers.marts_stored_once(stg), marts.build_marts(stg)
+    for name in ("orders", "order_items", "customers"):
+        assert stored[name].dtypes == made[name].dtypes
+        assert sorted(map(repr, stored[name].collect())) == sorted(map(repr, made[name].collect())), name
+        plan = stored[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan

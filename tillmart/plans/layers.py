@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks
 from ..operators.scope import cutoff_date
+from ..operators.shared_storage import store
 from ..sources.buckets import Bucketed, align, aligned, bucket_count, heavy_keys, save_bucketed
 from ..sources.versions import month_part, publish, refresh
 from . import facts, marts
@@ -93,6 +94,14 @@ def store_layers(raw: dict[str, DataFrame], path: str, rules: dict[str, Sequence
     return out
 
 
+def marts_stored_once(stg: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``marts.build_marts`` with the marts that need joins in storage, for work that reads them several times."""
+    made = marts.build_marts(stg)
+    orders = store(made["orders"], "orders")
+    return {**made, "orders": orders, "order_items": store(made["order_items"], "order_items"),
+            "customers": store(marts.customers(stg["stg_customers"], orders), "customers")}
+
+
 def refresh_daily_revenue(orders: DataFrame, locations: DataFrame, target: str) -> DataFrame:
     """The daily fact stored by month; months whose orders, or whose orders' place in a customer's history, changed."""
     return refresh(orders, target, month_part("ordered_at"), lambda o: facts.daily_revenue(o, locations), month_part("date_day"),
