@@ -2,9 +2,10 @@
 
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from tillmart.operators import partitions
-from tillmart.plans import layers, marts, staging
+from tillmart.plans import facts, layers, marts, staging
 from tillmart.sources import buckets, fixture_tables
 
 
@@ -42,3 +43,20 @@ def test_marts_stored_once_equal_marts(spark):
         assert sorted(map(repr, stored[name].collect())) == sorted(map(repr, made[name].collect())), name
         plan = stored[name]._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_layers_rank_products_once(spark, tmp_path, monkeypatch):
+    built = []
+    rank = facts.product_performance
+    monkeypatch.setattr(facts, "product_performance", lambda items: built.append(1) or rank(items))
+    out = layers.store_layers(fixture_tables(spark, SF), str(tmp_path))
+    assert set(facts.FACTS) <= set(out) and len(built) == 1
+
+
+def test_heavy_items_come_apart_before_prices_join(spark, tmp_path, monkeypatch):
+    seen = []
+    price = marts.price_items
+    monkeypatch.setattr(marts, "price_items", lambda items, *a: seen.append(items) or price(items, *a))
+    layers.store_layers(fixture_tables(spark, SF), str(tmp_path))
+    even, heavy = seen
+    assert heavy.count() == 0 and even.count() == staging.stage_all(fixture_tables(spark, SF))["stg_order_items"].filter(F.col("order_id").isNotNull()).count()

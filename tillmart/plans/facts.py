@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -182,13 +184,17 @@ def churn_features(customers: DataFrame, orders: DataFrame, holdout_days: int =
         (~F.col("_came_back")).alias("is_churned"), "first_ordered_at", "last_ordered_at")
 
 
-def build_facts(marts: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All six fact tables. The two with ranks store intermediate rows when called."""
-    return {
-        "fct_daily_revenue": daily_revenue(marts["orders"], marts["locations"]),
-        "fct_product_performance": product_performance(marts["order_items"]),
-        "fct_supply_cogs": supply_cogs(marts["order_items"], marts["supplies"]),
-        "fct_location_performance": location_performance(marts["orders"], marts["locations"]),
-        "fct_cohorts": cohorts(marts["customers"], marts["orders"]),
-        "fct_customer_churn_features": churn_features(marts["customers"], marts["orders"]),
-    }
+# Name -> fact from the marts.
+FACTS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {
+    "fct_daily_revenue": lambda m: daily_revenue(m["orders"], m["locations"]),
+    "fct_product_performance": lambda m: product_performance(m["order_items"]),
+    "fct_supply_cogs": lambda m: supply_cogs(m["order_items"], m["supplies"]),
+    "fct_location_performance": lambda m: location_performance(m["orders"], m["locations"]),
+    "fct_cohorts": lambda m: cohorts(m["customers"], m["orders"]),
+    "fct_customer_churn_features": lambda m: churn_features(m["customers"], m["orders"]),
+}
+
+
+def build_facts(marts: dict[str, DataFrame], names: Sequence[str] = tuple(FACTS)) -> dict[str, DataFrame]:
+    """All six fact tables, or those named. The two with ranks store intermediate rows when called."""
+    return {name: FACTS[name](marts) for name in names}

@@ -68,8 +68,8 @@ def store_layers(raw: dict[str, DataFrame], path: str, rules: dict[str, Sequence
 
     big = heavy_keys(stg["stg_order_items"], "order_id", buckets)
     orders = bucketed("staging", "stg_orders", align(stg["stg_orders"], "order_id", big), "order_id")
-    priced = marts.price_items(stg["stg_order_items"], out["products"], out["supplies"])
-    items = align(priced, "order_id", big)
+    # Heavy items come apart before prices join, so that the others are not priced a second time.
+    items = aligned(lambda i: marts.price_items(i, out["products"], out["supplies"]), align(stg["stg_order_items"], "order_id", big))
     items = bucketed("marts", "order_items", Bucketed(items.even, marts.dated_items(items.heavy, orders.heavy)), "order_id",
                      lambda even: marts.dated_items(even, orders.even))
     out._keep("order_items", items)
@@ -84,11 +84,10 @@ def store_layers(raw: dict[str, DataFrame], path: str, rules: dict[str, Sequence
     people = bucketed("staging", "stg_customers", align(stg["stg_customers"], "customer_id", big), "customer_id")
     out._keep("customers", bucketed("marts", "customers", aligned(marts.customers, people, mart), "customer_id", placed=True))
 
-    built = facts.build_facts(out)
-    built["fct_customer_churn_features"] = stored_churn_features(out)
     out["fct_daily_revenue"] = refresh_daily_revenue(out["orders"], out["locations"], f"{path}/facts/fct_daily_revenue")
     out["fct_product_performance"] = refresh_product_performance(out["order_items"], f"{path}/facts/fct_product_performance")
-    built = {name: df for name, df in built.items() if name not in out}
+    built = facts.build_facts(out, [name for name in facts.FACTS if name not in out and name != "fct_customer_churn_features"])
+    built["fct_customer_churn_features"] = stored_churn_features(out)
     for name, df in built.items():
         out[name] = publish(watched(name, df), f"{path}/facts/{name}")
     return out
