@@ -82,8 +82,10 @@ def _cogs(spark, sf_dir) -> DataFrame:
 
 
 def _features(spark, sf_dir, days: int = 30) -> DataFrame:
-    m = _marts(spark, sf_dir)
-    return facts.churn_features(m["customers"], m["orders"], days)
+    """From marts that leave supply costs out: the features do not need them."""
+    s = _stg(spark, sf_dir)
+    orders = marts.orders(s["stg_orders"], marts.flag_items(s["stg_order_items"], s["stg_products"]))
+    return facts.churn_features(marts.customers(s["stg_customers"], orders), orders, days)
 
 
 def _cohorts(spark, sf_dir) -> DataFrame:

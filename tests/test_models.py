@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import SF
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
@@ -358,3 +359,11 @@ def test_scores_carry_no_model_into_tasks(model):
     wanted = {r.customer_id: float(r.probability[1]) for r in model.logistic.transform(model.rows).collect()}
     got = {r.customer_id: r.churn_probability for r in model._by_logistic(model.rows).collect()}
     assert got.keys() == wanted.keys() and all(math.isclose(got[c], wanted[c], abs_tol=1e-12) for c in got)
+
+
+def test_forest_with_cached_node_ids_is_the_same(model):
+    rows = churn.with_class_weights(churn.spread(model.rows.filter("not is_test"), "customer_id")).persist()
+    walked = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=8, maxDepth=4,
+                                    featureSubsetStrategy="sqrt", seed=42).fit(rows)
+    cached = churn.fit_forest(rows, 8, 4, 42)
+    assert cached.getCacheNodeIds() and churn.forest_rows(cached).collect() == churn.forest_rows(walked).collect()

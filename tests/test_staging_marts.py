@@ -4,10 +4,12 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
+from catalog import queries
 from tillmart.functions import cents_to_dollars, round_half_away, round_half_even, safe_div, surrogate_key
-from tillmart.plans import marts, staging
+from tillmart.plans import facts, marts, staging
 from tillmart.sources import (
     check_bad_lines, date_spine, list_columns, load_raw, read_raw, read_raw_quarantined, run_sql, save_table,
 )
@@ -72,7 +74,7 @@ def test_unused_order_joins_leave_the_plan(spark):
     """A query on order totals reads neither items nor daily counts."""
     from catalog.queries import QUERIES
 
-    plan = QUERIES["revenue_trends"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    plan = QUERIES["revenue_trends"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "l_orderkey" not in plan and "row_number" not in plan
 
 
@@ -186,3 +188,32 @@ def test_results_do_not_depend_on_time_zone(spark):
         assert df.select(truncate_to("t", "day").alias("d")).first().d == dt.datetime(2018, 11, 4)
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_churn_features_read_no_supplies(spark, monkeypatch):
+    """Supply costs change no feature; a product that is given twice, or not at all, still counts an item once."""
+    stg = {
+        "stg_customers": spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "customer_id long, customer_name string"),
+        "stg_orders": spark.createDataFrame(
+            [(1, 1, "2024-01-01", 5.0), (2, 1, "2024-01-09", 7.0), (3, 2, "2024-03-01", 1.0), (4, 2, "2024-01-05", 2.0)],
+            "order_id long, customer_id long, d string, order_total double").select(
+                "order_id", F.lit(1).alias("location_id"), "customer_id",
+                *[F.lit(0).cast("decimal(16,2)").alias(c) for c in ("subtotal", "tax_paid")],
+                F.col("order_total").cast("decimal(16,2)").alias("order_total"),
+                F.col("d").cast("timestamp_ntz").alias("ordered_at")),
+        "stg_order_items": spark.createDataFrame([("i", 1, 1), ("j", 1, 2), ("k", 2, 9), ("l", 4, None), ("m", 4, 1)],
+                                                 "order_item_id string, order_id long, product_id long"),
+        "stg_products": spark.createDataFrame(
+            [(1, "x", True, False), (1, "x", True, None), (2, "y", False, True), (None, "z", True, True)],
+            "product_id long, product_name string, is_food_item boolean, is_drink_item boolean").withColumn(
+                "product_price", F.lit(1).cast("decimal(16,2)")),
+        "stg_locations": spark.range(1).select(F.lit(1).alias("location_id"), F.lit("2020-01-01").cast("timestamp_ntz").alias("opened_date")),
+        "stg_supplies": spark.createDataFrame([(1, 2.0), (1, 3.0), (7, 1.0), (9, 1.0)], "product_id long, c double").select(
+            "product_id", F.col("c").cast("decimal(16,2)").alias("supply_cost"), F.lit("only supplies").alias("supply_name")),
+    }
+    m = marts.build_marts(stg)
+    monkeypatch.setattr(queries, "_stg", lambda *_: stg)
+    got, wanted = queries._features(spark, "none"), facts.churn_features(m["customers"], m["orders"])
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, wanted.collect())) and got.count() == 2
+    monkeypatch.undo()
+    assert "l_suppkey" not in queries._features(spark, SF)._jdf.queryExecution().executedPlan().toString()

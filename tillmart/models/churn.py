@@ -95,8 +95,9 @@ def logistic_scores(rows: DataFrame, intercept: float, weights: dict[str, float]
 
 def fit_forest(train: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED
                ) -> RandomForestClassificationModel:
+    """Node ids are cached: each level moves a row by one node in every tree instead of walking the trees from their roots."""
     return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees,
-                                  maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed).fit(train)
+                                  maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True).fit(train)
 
 
 def _forest_nodes(forest: RandomForestClassificationModel) -> pd.DataFrame:

@@ -10,6 +10,7 @@ from ..functions import truncate_to
 
 #: Bounds of ranges of order ids come from a sample of about SAMPLE orders; every STEP of one customer and day are a range.
 SAMPLE, STEP = 16384, 64
+ATTRIBUTES = ["product_name", "product_price", "is_food_item", "is_drink_item"]  # of a product
 
 
 def product_dimension(products: DataFrame, supplies: DataFrame | None = None) -> DataFrame:
@@ -19,13 +20,12 @@ def product_dimension(products: DataFrame, supplies: DataFrame | None = None) ->
     broadcasts it to the items exactly when both are small, and otherwise the items meet one sort-merge join, which
     adaptive execution splits where a product is hot (it does not split a chain of joins on one key).
     """
-    attributes = ["product_name", "product_price", "is_food_item", "is_drink_item"]
     if supplies is None:
-        return products.select("product_id", *attributes)
+        return products.select("product_id", *ATTRIBUTES)
     types = dict(products.dtypes)
-    both = products.select("product_id", *attributes, F.lit(None).cast("decimal(16,2)").alias("supply_cost")).union(
-        supplies.select("product_id", *[F.lit(None).cast(types[a]).alias(a) for a in attributes], "supply_cost"))
-    return both.groupBy("product_id").agg(*[F.max(a).alias(a) for a in attributes],
+    both = products.select("product_id", *ATTRIBUTES, F.lit(None).cast("decimal(16,2)").alias("supply_cost")).union(
+        supplies.select("product_id", *[F.lit(None).cast(types[a]).alias(a) for a in ATTRIBUTES], "supply_cost"))
+    return both.groupBy("product_id").agg(*[F.max(a).alias(a) for a in ATTRIBUTES],
                                           F.sum("supply_cost").alias("supply_cost"))
 
 
@@ -34,6 +34,12 @@ def price_items(items: DataFrame, products: DataFrame, supplies: DataFrame | Non
     return items.join(product_dimension(products, supplies), "product_id", "left")
 
 
+def flag_items(items: DataFrame, products: DataFrame) -> DataFrame:
+    """Items as ``price_items`` gives them with supplies, less the supply cost: a product given twice joins once here, too."""
+    once = products.groupBy("product_id").agg(*[F.max(a).alias(a) for a in ATTRIBUTES])
+    return items.join(once, "product_id", "left")
+
+
 def sales(items: DataFrame, products: DataFrame, supplies: DataFrame | None = None, orders: DataFrame | None = None,
           how: str = "left") -> DataFrame:
     """Units, revenue and, given supplies, supply cost per product and, with ``orders``, per month of those orders.
@@ -77,27 +83,33 @@ def dated_items(priced: DataFrame, stg_orders: DataFrame) -> DataFrame:
 def orders(stg_orders: DataFrame, priced_items: DataFrame) -> DataFrame:
     """Order mart. ``priced_items`` needs only item columns, so the order join of the item mart is not repeated.
 
-    Items are summed before the join; an order without items keeps NULL counts, flags and cost.
+    Items are summed before the join; an order without items keeps NULL counts, flags and cost. Items without a supply cost
+    give orders without one.
     """
     return join_item_summary(number_customer_orders(stg_orders), priced_items).select(
-        *stg_orders.columns, *ITEM_SUMMARY, "customer_order_number")
+        *stg_orders.columns, *_item_summary(priced_items), "customer_order_number")
 
 
 ITEM_SUMMARY = ["order_cost", "order_items_subtotal", "count_food_items", "count_drink_items", "count_order_items",
                 "is_food_order", "is_drink_order"]
 
 
+def _item_summary(priced_items: DataFrame) -> list[str]:
+    return [c for c in ITEM_SUMMARY if c != "order_cost" or "supply_cost" in priced_items.columns]
+
+
 def join_item_summary(stg_orders: DataFrame, priced_items: DataFrame) -> DataFrame:
     """Orders with what their items add up to."""
+    costs = [F.sum(c).alias("order_cost") for c in ("supply_cost",) if c in priced_items.columns]
     summary = priced_items.groupBy("order_id").agg(
-        F.sum("supply_cost").alias("order_cost"),
+        *costs,
         F.sum("product_price").alias("order_items_subtotal"),
         F.count_if("is_food_item").alias("count_food_items"),
         F.count_if("is_drink_item").alias("count_drink_items"),
         F.count("order_item_id").alias("count_order_items"))
     flagged = (summary.withColumn("is_food_order", F.col("count_food_items") > 0)
                .withColumn("is_drink_order", F.col("count_drink_items") > 0))
-    return stg_orders.join(flagged, "order_id", "left").select(*stg_orders.columns, *ITEM_SUMMARY)
+    return stg_orders.join(flagged, "order_id", "left").select(*stg_orders.columns, *_item_summary(priced_items))
 
 
 def number_customer_orders(stg_orders: DataFrame) -> DataFrame:
