@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from ..deploy import ship
-from .shared_storage import new_folder
+from .shared_storage import new_folder, write_parquet
 
 ROW_BITS = 33  # monotonically_increasing_id: partition number above 33 bits of row position
 DIGIT_BITS = 16  # of the 64 that a selection counts in each pass
@@ -45,7 +45,7 @@ def _sorted(df: DataFrame, order: Sequence[Column], runs: Sequence[Sequence[str]
     numbered = (numbered.withColumn("_part", F.shiftright("_row", ROW_BITS))
                 .withColumn("_pos", F.col("_row").bitwiseAND((1 << ROW_BITS) - 1)).drop("_row"))
     folder = new_folder(df.sparkSession, "sorted")
-    numbered.write.parquet(folder)
+    write_parquet(numbered, folder)
     return df.sparkSession.read.schema(numbered.schema).parquet(folder)
 
 

@@ -69,9 +69,10 @@ def store_layers(raw: dict[str, DataFrame], path: str, rules: dict[str, Sequence
     big = heavy_keys(stg["stg_order_items"], "order_id", buckets)
     orders = bucketed("staging", "stg_orders", align(stg["stg_orders"], "order_id", big), "order_id")
     # Heavy items come apart before prices join, so that the others are not priced a second time.
-    items = aligned(lambda i: marts.price_items(i, out["products"], out["supplies"]), align(stg["stg_order_items"], "order_id", big))
+    priced = store(marts.product_dimension(out["products"], out["supplies"]), "product_dimension")
+    items = aligned(lambda i: marts.price_items(i, priced), align(stg["stg_order_items"], "order_id", big))
     items = bucketed("marts", "order_items", Bucketed(items.even, marts.dated_items(items.heavy, orders.heavy)), "order_id",
-                     lambda even: marts.dated_items(even, orders.even))
+                     lambda even: marts.dated_items(even, orders.even), sliced=True)
     out._keep("order_items", items)
 
     big = heavy_keys(stg["stg_orders"], "customer_id", buckets)

@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.partitions import partition_count
+from ..operators.partitions import partition_count, slices
+from ..operators.shared_storage import COMPRESSION, shuffles_released
 
 
 @dataclass(frozen=True)
@@ -35,9 +36,10 @@ def bucket_count(spark: SparkSession) -> int:
 
 def heavy_keys(rows: DataFrame, key: str, buckets: int) -> DataFrame:
     """Keys with more than one of ``buckets`` equal shares of the rows; so there are fewer of them than buckets."""
-    counted = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    share = counted.filter(F.col("_n") * buckets > rows.agg(F.count("*").alias("_all")).scalar()).select(key)
-    return rows.sparkSession.createDataFrame(share.collect(), share.schema)
+    with shuffles_released(rows.sparkSession):
+        counted = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+        share = counted.filter(F.col("_n") * buckets > rows.agg(F.count("*").alias("_all")).scalar()).select(key)
+        return rows.sparkSession.createDataFrame(share.collect(), share.schema)
 
 
 def align(rows: DataFrame, key: str, heavy: DataFrame) -> Bucketed:
@@ -54,18 +56,24 @@ def aligned(work: Callable[..., DataFrame], *tables: Bucketed) -> Bucketed:
 
 
 def save_bucketed(parts: Bucketed, key: str, folder: str, buckets: int, sort_by: Sequence[str] = (),
-                  finish: Callable[[DataFrame], DataFrame] | None = None, placed: bool = False) -> Bucketed:
+                  finish: Callable[[DataFrame], DataFrame] | None = None, placed: bool = False, sliced: bool = False) -> Bucketed:
     """Write both parts under ``folder`` and return them read back; the even part in one file per bucket.
 
     ``finish`` is applied to the even part once its rows lie by key: joins, groupings and windows on the key need no
-    shuffle there. ``placed`` says that they do so already, coming from tables with the same buckets.
+    shuffle there. ``placed`` says that they do so already, coming from tables with the same buckets. ``sliced`` makes and
+    writes the even part some buckets at a time, so that its shuffles do not all lie on the disk at once.
     """
-    even = parts.even if placed else parts.even.repartition(buckets, key)
-    even = finish(even) if finish else even
-    even.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *sort_by).option("path", f"{folder}/even").format(
-        "parquet").saveAsTable(_table(folder))
-    parts.heavy.write.mode("overwrite").parquet(f"{folder}/heavy")
-    return _read(even.sparkSession, folder, parts.heavy.schema)
+    spark, mode = parts.even.sparkSession, "overwrite"
+    with shuffles_released(spark):
+        for condition in slices(key, buckets) if sliced else [F.lit(True)]:
+            some = parts.even.filter(condition)
+            some = some if placed else some.repartition(buckets, key)
+            some = finish(some) if finish else some
+            some.write.mode(mode).bucketBy(buckets, key).sortBy(key, *sort_by).option("path", f"{folder}/even").option(
+                "compression", COMPRESSION).format("parquet").saveAsTable(_table(folder))
+            mode = "append"
+        parts.heavy.write.mode("overwrite").parquet(f"{folder}/heavy", compression=COMPRESSION)
+    return _read(spark, folder, parts.heavy.schema)
 
 
 def open_bucketed(spark: SparkSession, key: str, folder: str, buckets: int) -> Bucketed:

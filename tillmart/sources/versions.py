@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.shared_storage import COMPRESSION, shuffles_released, write_parquet
+
 VERSIONS = "version bigint, part string, folder string, mark string"
 WHOLE, UNDATED = "all", "none"
+BATCH_ROWS = 1 << 25  # of inputs to the parts that are made at a time
 
 
 def month_part(ts: str) -> Column:
@@ -27,8 +30,9 @@ def month_part(ts: str) -> Column:
 def _versions(spark: SparkSession, target: str) -> list:
     """The parts of the newest version: one row per part, and parts are few (months)."""
     listed = spark.read.schema(VERSIONS).parquet(f"{target}/versions")
-    newest = listed.agg(F.max("version").alias("_newest")).scalar()
-    return listed.filter(F.col("version") == newest).collect()
+    with shuffles_released(spark):
+        newest = listed.agg(F.max("version").alias("_newest")).scalar()
+        return listed.filter(F.col("version") == newest).collect()
 
 
 def _exists(spark: SparkSession, target: str) -> bool:
@@ -50,7 +54,7 @@ def _commit(spark: SparkSession, target: str, version: int, parts: dict[str, tup
 def publish(df: DataFrame, target: str) -> DataFrame:
     """Write ``df`` whole as the newest version and return it read back."""
     spark, folder = df.sparkSession, f"{target}/data-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    write_parquet(df, folder)
     last = max((r["version"] for r in _versions(spark, target)), default=0) if _exists(spark, target) else 0
     _commit(spark, target, last + 1, {WHOLE: (folder, "")})
     return current(spark, target, df.schema)
@@ -61,8 +65,22 @@ def marks(rows: DataFrame, part: Column, columns: Sequence[str]) -> dict[str, st
     def total(*extra: Column) -> Column:
         return F.sum(F.xxhash64(*[F.col(c) for c in columns], *extra).cast("decimal(38,0)"))
 
-    found = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("n"), total().alias("a"), total(F.lit(1)).alias("b"))
-    return {r["_part"]: f"{r['n']}:{r['a']}:{r['b']}" for r in found.collect()}
+    with shuffles_released(rows.sparkSession):
+        found = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("n"), total().alias("a"), total(F.lit(1)).alias("b"))
+        return {r["_part"]: f"{r['n']}:{r['a']}:{r['b']}" for r in found.collect()}
+
+
+def _batches(changed: dict[str, str]) -> list[list[str]]:
+    """Parts, given with their marks, with about ``BATCH_ROWS`` inputs together: so much is shuffled before the disk has it back.
+    One batch without parts where nothing changed."""
+    out, rows = [[]], 0
+    for name in sorted(changed):
+        n = int(changed[name].split(":")[0])
+        if out[-1] and rows + n > BATCH_ROWS:
+            out, rows = [*out, []], 0
+        out[-1].append(name)
+        rows += n
+    return out
 
 
 def refresh(inputs: DataFrame, target: str, part: Column, build: Callable[[DataFrame], DataFrame], built_part: Column,
@@ -70,23 +88,27 @@ def refresh(inputs: DataFrame, target: str, part: Column, build: Callable[[DataF
     """``build(inputs)`` as a stored table in which only parts with changed inputs are computed and written.
 
     ``part`` tells the part of an input row, ``built_part`` that of a row built from it: a part is built from its own inputs
-    and from ``others`` alone, and a change of those changes every part.
+    and from ``others`` alone, and a change of those changes every part. Parts with many inputs are made some at a time.
     """
     spark = inputs.sparkSession
     beside = "".join(f"/{m}" for o in others for m in marks(o, F.lit(WHOLE), o.columns).values())
     wanted = {p: m + beside for p, m in marks(inputs, part, inputs.columns).items()}
     old = {r["part"]: r for r in _versions(spark, target)} if _exists(spark, target) else {}
     changed = [p for p, m in wanted.items() if p not in old or old[p]["mark"] != m]
-    out = build(inputs.filter(part.isin(changed)))
-    if not changed and set(old) == set(wanted) and old:
-        return current(spark, target, out.schema)
     written: dict[str, str] = {}
-    if changed:
+    for batch in _batches({p: wanted[p] for p in changed}):
+        out = build(inputs.filter(part.isin(batch)))
+        if not batch:
+            break
         folder = f"{target}/data-{uuid.uuid4().hex}"
         # Tasks of even size, whatever the size of a month.
-        out.withColumn("_part", built_part).hint("rebalance", "_part").write.partitionBy("_part").parquet(folder)
-        stored = spark.read.schema(StructType(out.schema.fields).add("_part", "string")).parquet(folder)
-        written = {r["_part"]: f"{folder}/_part={r['_part']}" for r in stored.select("_part").distinct().collect()}
+        with shuffles_released(spark):
+            out.withColumn("_part", built_part).hint("rebalance", "_part").write.partitionBy("_part").parquet(
+                folder, compression=COMPRESSION)
+            stored = spark.read.schema(StructType(out.schema.fields).add("_part", "string")).parquet(folder)
+            written |= {r["_part"]: f"{folder}/_part={r['_part']}" for r in stored.select("_part").distinct().collect()}
+    if not changed and set(old) == set(wanted) and old:
+        return current(spark, target, out.schema)
     last = max((r["version"] for r in old.values()), default=0)
     _commit(spark, target, last + 1, {p: (written.get(p, "") if p in changed else old[p]["folder"], m) for p, m in wanted.items()})
     return current(spark, target, out.schema)
