@@ -13,6 +13,7 @@ from ..functions import (
 )
 from ..operators.ordered import rank_rows
 from ..operators.scope import cutoff_date
+from ..operators.shared_storage import store
 
 
 def _order_totals() -> list:
@@ -187,7 +188,8 @@ def churn_features(customers: DataFrame, orders: DataFrame, holdout_days: int =
 # Name -> fact from the marts.
 FACTS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {
     "fct_daily_revenue": lambda m: daily_revenue(m["orders"], m["locations"]),
-    "fct_product_performance": lambda m: product_performance(m["order_items"]),
+    # Stored before they are ranked: the shuffles of the sums and of the ranks need not share the disk.
+    "fct_product_performance": lambda m: product_performance(store(product_sales(m["order_items"], True), "product_sales")),
     "fct_supply_cogs": lambda m: supply_cogs(m["order_items"], m["supplies"]),
     "fct_location_performance": lambda m: location_performance(m["orders"], m["locations"]),
     "fct_cohorts": lambda m: cohorts(m["customers"], m["orders"]),

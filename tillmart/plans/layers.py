@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import checks
 from ..operators.scope import cutoff_date
-from ..operators.shared_storage import store
+from ..operators.partitions import partition_count, slices
+from ..operators.shared_storage import store, store_sliced
 from ..sources.buckets import Bucketed, align, aligned, bucket_count, heavy_keys, save_bucketed
 from ..sources.versions import month_part, publish, refresh
 from . import facts, marts
@@ -96,9 +97,12 @@ def store_layers(raw: dict[str, DataFrame], path: str, rules: dict[str, Sequence
 
 def marts_stored_once(stg: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """``marts.build_marts`` with the marts that need joins in storage, for work that reads them several times."""
+    priced = store(marts.product_dimension(stg["stg_products"], stg["stg_supplies"]), "product_dimension")
     made = marts.build_marts(stg)
-    orders = store(made["orders"], "orders")
-    return {**made, "orders": orders, "order_items": store(made["order_items"], "order_items"),
+    orders = store(marts.orders(stg["stg_orders"], marts.price_items(stg["stg_order_items"], priced)), "orders")
+    items = marts.order_items(stg["stg_order_items"], stg["stg_orders"], priced)
+    by_order = slices("order_id", partition_count(orders.sparkSession))
+    return {**made, "orders": orders, "order_items": store_sliced(items, "order_items", by_order),
             "customers": store(marts.customers(stg["stg_customers"], orders), "customers")}
 
 
